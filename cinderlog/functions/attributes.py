@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -93,7 +92,7 @@ def _contains(value: Column, wanted, top: bool) -> Column:
     return same
 
 
-def _string_leaves(wanted, keys=()):
+def _string_leaves(wanted, keys=()) -> Iterator[tuple[list[str], str]]:
     if isinstance(wanted, dict):
         for key, inner in wanted.items():
             yield from _string_leaves(inner, (*keys, key))
@@ -101,6 +100,19 @@ def _string_leaves(wanted, keys=()):
         yield list(keys), wanted
 
 
+def _words(wanted) -> Iterator[str]:
+    """All keys and texts of a literal."""
+    if isinstance(wanted, dict):
+        for key, inner in wanted.items():
+            yield key
+            yield from _words(inner)
+    elif isinstance(wanted, list):
+        for inner in wanted:
+            yield from _words(inner)
+    elif isinstance(wanted, str):
+        yield wanted
+
+
 def contains(col: Column, wanted: dict | list | str | int | float | bool | None) -> Column:
     """JSON containment of a literal, compiled to column expressions.
 
@@ -109,8 +121,20 @@ def contains(col: Column, wanted: dict | list | str | int | float | bool | None)
     also found inside a top-level array. String leaves are repeated as plain
     path equalities in front, which the scan can apply to shredded columns.
     """
-    json.dumps(wanted)
     test = _contains(col, wanted, True)
     for keys, text in _string_leaves(wanted):
         test = (attr_text(col, keys) == F.lit(text)) & test
     return test
+
+
+def contains_text(col: Column, wanted: dict | list | str | int | float | bool | None) -> Column:
+    """``contains`` for JSON text.
+
+    Text without a backslash spells every key and value out, so rows in which
+    one is missing are dropped before any parse.
+    """
+    spelled = [F.contains(col, F.lit(w)) for w in dict.fromkeys(_words(wanted)) if w]
+    maybe = F.lit(True)
+    for test in spelled:
+        maybe = maybe & test
+    return (F.contains(col, F.lit("\\")) | maybe) & contains(F.try_parse_json(col), wanted)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cinderlog import fixed
 from cinderlog.functions.times import format_rfc3339
@@ -92,9 +92,6 @@ def pack_batches(
     )
     starts = _chunk_starts(tables, max_events)
 
-    out_schema = placed.schema.add("_entry", "long").add("_done", "long")
-    keep = [f for f in out_schema if f.name in columns]
-
     def number(key, table):
         table = table.sort_by("_pos")
         entry, done = table["_entry"][0].as_py(), table["_done"][0].as_py()
@@ -111,7 +108,7 @@ def pack_batches(
     joined = placed.join(
         starts.withColumnRenamed("producer", producer).withColumnRenamed("chunk", "_chunk"), [producer, "_chunk"]
     )
-    schema = type(out_schema)(keep).add("batch_no", "long")
+    schema = T.StructType([*events.schema.fields, T.StructField("batch_no", T.LongType())])
     return joined.select(*placed.columns, "_entry", "_done").groupBy(producer, "_chunk").applyInArrow(number, schema)
 
 
@@ -202,6 +199,9 @@ def wire_event(
         hits = F.filter(fields, lambda f: f["key"] == name)
         return F.transform(F.slice(hits, F.lit(-1), F.least(F.size(hits), F.lit(1))), field_value)[0]
 
+    def lift(name):
+        return F.when(F.exists(fields, lambda f: f["key"] == name), last_of(name)).alias(name)
+
     def is_last(f, i):
         later = F.slice(fields, i + 2, F.size(fields))
         return ~F.exists(later, lambda g: g["key"] == f["key"])
@@ -214,7 +214,7 @@ def wire_event(
             resource[fixed.RESOURCE_KEYS[0]].alias("service_name"),
             severity.alias("severity"),
             message.alias("body"),
-            *[F.when(F.exists(fields, lambda f, n=n: f["key"] == n), last_of(n)).alias(n) for n in lifted],
+            *map(lift, lifted),
             F.struct(*[resource[k].alias(k) for k in fixed.RESOURCE_KEYS]).alias("resource_attributes"),
             F.when(F.size(kept) > 0, attributes).alias("log_attributes"),
         )

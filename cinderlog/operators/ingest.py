@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cinderlog import fixed
 from cinderlog.functions import severity
+from cinderlog.functions.arrays import unnest
 from cinderlog.functions.times import parse_rfc3339
 from cinderlog.operators import ranks
 from cinderlog.operators.sanitize import sanitize_column
@@ -85,9 +86,7 @@ def decode(payloads: DataFrame, max_bytes: int = fixed.MAX_PAYLOAD_BYTES) -> Dat
 
 def decoded_events(decoded: DataFrame) -> DataFrame:
     """One row per event with its place in the batch."""
-    return decoded.select("batch_id", F.posexplode("events").alias("event_index", "e")).select(
-        "batch_id", "event_index", "e.*"
-    )
+    return unnest(decoded, F.col("events"), "event_index", "e", ["batch_id"]).select("batch_id", "event_index", "e.*")
 
 
 def _violation(when: Column, index: Column, field: str, message: str) -> Column:
@@ -138,7 +137,7 @@ def check(decoded: DataFrame, max_events: int = fixed.MAX_BATCH_EVENTS) -> DataF
 
 
 def violations(checked: DataFrame) -> DataFrame:
-    return checked.select("batch_id", F.posexplode("violations").alias("violation_index", "v")).select(
+    return unnest(checked, F.col("violations"), "violation_index", "v", ["batch_id"]).select(
         "batch_id", "violation_index", "v.field", "v.message"
     )
 
@@ -156,11 +155,13 @@ def verdicts(checked: DataFrame) -> DataFrame:
 
 def acks(checked: DataFrame) -> DataFrame:
     """Receipt of each accepted batch; the id is derived, so a retry repeats it."""
-    return checked.where(F.col("problem").isNull()).select(
+    receipt = F.struct(
         F.md5(F.col("batch_id").cast("string")).alias("batch_id"),
         F.size("events").cast("bigint").alias("accepted"),
         F.lit(fixed.ESTIMATED_PROCESSING_MS).alias("estimated_processing_ms"),
     )
+    kept = F.when(F.col("problem").isNull(), F.array(receipt))
+    return unnest(checked, kept, "_i", "r", []).select("r.*")
 
 
 def accepted_events(checked: DataFrame) -> DataFrame:
@@ -170,9 +171,7 @@ def accepted_events(checked: DataFrame) -> DataFrame:
     below the projections and parse every payload a second time.
     """
     kept = F.when(F.col("problem").isNull(), F.col("events"))
-    return checked.select("batch_id", F.posexplode(kept).alias("event_index", "e")).select(
-        "batch_id", "event_index", "e.*"
-    )
+    return unnest(checked, kept, "event_index", "e", ["batch_id"]).select("batch_id", "event_index", "e.*")
 
 
 def sanitize_events(events: DataFrame) -> DataFrame:
@@ -191,10 +190,13 @@ def null_normalize(events: DataFrame) -> DataFrame:
     return events.withColumns({k: v for k, v in changes.items() if k in events.columns})
 
 
-def assign_ids(events: DataFrame, order: list[str], base: int = 0, slices: int | None = None) -> DataFrame:
-    """Dense, rising ids above ``base`` in the given order."""
-    placed = ranks.positions(events, [], order, "_pos", slices)
-    return placed.withColumn("id", (F.col("_pos") + F.lit(base + 1)).cast("bigint")).drop("_pos")
+def assign_ids(events: DataFrame, base: int = 0, materialize: bool = True) -> DataFrame:
+    """Dense ids above ``base``, rising in the order rows are written.
+
+    Events of one batch lie together, so their ids rise with their place in it.
+    """
+    numbered = ranks.row_numbers(events, "_pos", materialize)
+    return numbered.withColumn("id", (F.col("_pos") + F.lit(base + 1)).cast("bigint")).drop("_pos")
 
 
 def stamp_received(events: DataFrame, now: Column | None = None) -> DataFrame:
@@ -203,10 +205,14 @@ def stamp_received(events: DataFrame, now: Column | None = None) -> DataFrame:
     return events.withColumn("received_at", now)
 
 
+def clean_events(checked: DataFrame) -> DataFrame:
+    """Accepted events, sanitised and normalised."""
+    return null_normalize(sanitize_events(accepted_events(checked)).drop("attr_warnings"))
+
+
 def to_log_rows(
-    checked: DataFrame, base: int = 0, now: Column | None = None, slices: int | None = None
+    checked: DataFrame, base: int = 0, now: Column | None = None, materialize: bool = True
 ) -> DataFrame:
-    """Accepted events as log rows, sanitised, normalised, with ids."""
-    clean = null_normalize(sanitize_events(accepted_events(checked)).drop("attr_warnings"))
-    rows = stamp_received(assign_ids(clean, ["batch_id", "event_index"], base, slices), now)
+    """Accepted events as log rows with ids and the write time."""
+    rows = stamp_received(assign_ids(clean_events(checked), base, materialize), now)
     return rows.select(*fixed.LOG_COLUMNS)

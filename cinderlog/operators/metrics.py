@@ -28,14 +28,12 @@ def metric_rollup(points: DataFrame, step_seconds: int, slices: int | None = Non
     start = F.window("timestamp", f"{int(step_seconds)} seconds")["start"].cast("timestamp_ntz")
     keyed = points.select("metric_name", start.alias("window_start"), "value")
     keys = ["metric_name", "window_start"]
-    simple = keyed.groupBy(*keys).agg(
-        F.count("value").alias("points"),
-        F.sum("value").alias("sum"),
-        F.avg("value").alias("avg"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    high = ranks.values_at_ranks(
-        keyed, keys, "value", {"p95": ranks.nearest_rank(95), "p99": ranks.nearest_rank(99)}, slices
-    )
-    return simple.join(high, keys, "left")
+    totals = {
+        "points": (F.count("value"), "sum"),
+        "sum": (F.sum("value"), "sum"),
+        "min": (F.min("value"), "min"),
+        "max": (F.max("value"), "max"),
+    }
+    high = {"p95": ranks.nearest_rank(95), "p99": ranks.nearest_rank(99)}
+    found = ranks.values_at_ranks(keyed, keys, "value", high, totals, slices)
+    return found.withColumn("avg", F.col("sum") / F.col("points"))

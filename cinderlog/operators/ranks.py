@@ -40,6 +40,25 @@ def range_slices(
     return rows, table
 
 
+def row_numbers(df: DataFrame, name: str, materialize: bool = True) -> DataFrame:
+    """Zero-based number of every row in its present order, without a shuffle.
+
+    The rows are read twice, so they are made durable first; a caller whose
+    rows are stable (persisted, and made without any exchange) may skip that.
+    """
+    rows = (durable(df) if materialize else df).withColumns(
+        {
+            "_slice": F.spark_partition_id(),
+            "_idx": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),
+        }
+    )
+    table = rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_total"))
+    # One row per partition.
+    before = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    table = table.select("_slice", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    return rows.join(F.broadcast(table), "_slice").select(*df.columns, (F.col("_offset") + F.col("_idx")).alias(name))
+
+
 def _join_slices(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
         table = F.broadcast(table)  # one row per partition
@@ -56,15 +75,27 @@ def positions(
 
 
 def values_at_ranks(
-    df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], slices: int | None = None
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    ranks: dict[str, Column],
+    totals_of: dict[str, tuple[Column, str]] | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Exact order statistics: per key the value at each zero-based rank.
 
-    ``ranks`` maps an output name to an expression over ``n``, the row count of
-    the key. Equal values are counted before the shuffle; after the slice table
-    says which slice holds a rank, only that slice's rows are ranked.
+    ``ranks`` maps an output name to an expression over ``n``, the number of
+    values of the key. Equal values are counted before the shuffle; after the
+    slice table says which slice holds a rank, only that slice is ranked.
+
+    ``totals_of`` adds plain aggregates from the same pass over the input: a
+    name, an aggregate per (key, value) and how those merge (sum, min or max).
+    Null values have no rank but do count there.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    totals_of = totals_of or {}
+    counts = df.groupBy(*keys, value).agg(
+        F.count(value).alias("_n"), *[agg.alias(name) for name, (agg, _) in totals_of.items()]
+    )
     rows, table = range_slices(counts, keys, [value], weight="_n", slices=slices)
     totals = table.groupBy(*keys).agg(F.sum("_total").alias("n"))
     wanted = totals.select(
@@ -80,9 +111,11 @@ def values_at_ranks(
     upto = Window.partitionBy(*keys, "_label").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumn("_end", F.col("_offset") + F.sum("_n").over(upto))
     picked = near.where(F.col("_end") > F.col("_rank"))
-    return picked.groupBy(*keys).agg(
-        *[F.min(F.when(F.col("_label") == k, F.col(value))).alias(k) for k in ranks]
-    )
+    found = picked.groupBy(*keys).agg(*[F.min(F.when(F.col("_label") == k, F.col(value))).alias(k) for k in ranks])
+    if not totals_of:
+        return found
+    merged = rows.groupBy(*keys).agg(*[getattr(F, how)(name).alias(name) for name, (_, how) in totals_of.items()])
+    return merged.join(found, keys, "left") if keys else merged.crossJoin(found)  # one row each
 
 
 def nearest_rank(percent: int) -> Column:

@@ -86,11 +86,15 @@ def partition_coverage(logs: DataFrame, first: str, last: str, day: str = "event
 def ingest_lag(logs: DataFrame, slices: int | None = None) -> DataFrame:
     """Delay between event and write per service: mean, largest and p95 in seconds."""
     lags = logs.select("service_name", lag_micros().alias("lag_us"))
-    simple = lags.groupBy("service_name").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("lag_us").alias("total_us"), F.max("lag_us").alias("max_us")
+    totals = {
+        "rows": (F.count(F.lit(1)), "sum"),
+        "total_us": (F.sum("lag_us"), "sum"),
+        "max_us": (F.max("lag_us"), "max"),
+    }
+    found = ranks.values_at_ranks(
+        lags, ["service_name"], "lag_us", {"p95_us": ranks.nearest_rank(95)}, totals, slices
     )
-    p95 = ranks.values_at_ranks(lags, ["service_name"], "lag_us", {"p95_us": ranks.nearest_rank(95)}, slices)
-    return simple.join(p95, "service_name", "left").select(
+    return found.select(
         "service_name",
         "rows",
         (F.col("total_us") / F.col("rows") / 1e6).alias("avg_lag_seconds"),
@@ -104,15 +108,17 @@ def latency_summary(requests: DataFrame, by: str = "service_name", slices: int |
 
     Input columns: the group column, timestamp, status, duration_ms.
     """
-    simple = requests.groupBy(by).agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.count_if(F.col("status") >= 500).alias("errors"),
-        F.min(_micros(F.col("timestamp"))).alias("_first"),
-        F.max(_micros(F.col("timestamp"))).alias("_last"),
+    totals = {
+        "requests": (F.count(F.lit(1)), "sum"),
+        "errors": (F.count_if(F.col("status") >= 500), "sum"),
+        "_begin": (F.min(_micros(F.col("timestamp"))), "min"),
+        "_end": (F.max(_micros(F.col("timestamp"))), "max"),
+    }
+    found = ranks.values_at_ranks(
+        requests, [by], "duration_ms", {"p95_ms": ranks.nearest_rank(95)}, totals, slices
     )
-    p95 = ranks.values_at_ranks(requests, [by], "duration_ms", {"p95_ms": ranks.nearest_rank(95)}, slices)
-    seconds = (F.col("_last") - F.col("_first")) / 1e6
-    return simple.join(p95, by, "left").select(
+    seconds = (F.col("_end") - F.col("_begin")) / 1e6
+    return found.select(
         by,
         "requests",
         "errors",

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cinderlog import fixed
+from cinderlog.functions.arrays import unnest
 
 WARNINGS = T.ArrayType(T.StructType().add("kind", "string").add("path", "string"))
 RESULT = T.StructType().add("attributes", "string").add("warnings", WARNINGS)
@@ -140,6 +141,6 @@ def sanitize_column(df: DataFrame, name: str) -> DataFrame:
 
 def warnings(events: DataFrame) -> DataFrame:
     """One row per correction with the index of its event."""
-    return events.select("batch_id", "event_index", F.posexplode("attr_warnings").alias("warning_index", "w")).select(
+    return unnest(events, F.col("attr_warnings"), "warning_index", "w", ["batch_id", "event_index"]).select(
         "batch_id", "event_index", "warning_index", "w.kind", "w.path"
     )

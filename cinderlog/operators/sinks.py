@@ -32,30 +32,30 @@ def table_rows(
     return logs.withColumns(extra)
 
 
+def _clustered(rows: DataFrame) -> DataFrame:
+    """Group rows by day and service for few, sorted files.
+
+    Rebalancing joins small groups and splits those above the advisory
+    partition size, so a day or service with much of the data still fills many
+    tasks. Unlike range partitioning it does not sample, which would run the
+    whole ingest a second time.
+    """
+    grouped = rows.hint("rebalance", F.col("event_date"), F.col("service_name"))
+    hour = F.date_trunc("hour", "timestamp")
+    return grouped.withColumn("_hour", hour).sortWithinPartitions("event_date", *CLUSTER).drop("_hour")
+
+
 def append_logs(
     logs: DataFrame,
     path: str,
     load: str,
     promote: dict[str, list[str]] | None = None,
     with_terms: bool = False,
-    cluster: bool = False,
-    slices: int | None = None,
 ) -> None:
-    """Append one load; nothing is written for an empty one.
-
-    ``cluster`` range-partitions by day, service, severity and time before the
-    write: large loads get few, sorted files per day, and a busy day or service
-    is still spread over many tasks because the time is part of the range key.
-    """
-    rows = table_rows(logs, promote, with_terms).withColumns(
-        {"load": F.lit(load), "_hour": F.date_trunc("hour", "timestamp")}
-    )
-    if cluster:
-        cols = ["event_date", *CLUSTER]
-        rows = rows.repartitionByRange(slices, *cols) if slices else rows.repartitionByRange(*cols)
-    rows = rows.sortWithinPartitions("event_date", *CLUSTER).drop("_hour")
+    """Append one load; nothing is written for an empty one."""
+    rows = table_rows(logs, promote, with_terms).withColumn("load", F.lit(load))
     (
-        rows.write.mode("overwrite")
+        _clustered(rows).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("event_date", "load")
         .parquet(path)
@@ -74,17 +74,9 @@ def compact_day(spark: SparkSession, path: str, day: str, load: str, extra: str
 
     rows = read_logs(spark, path, extra).where(F.col("event_date") == F.lit(day).cast("date"))
     old = [r["load"] for r in rows.select("load").distinct().toLocalIterator() if r["load"] != load]
-    cols = ["_hour" if c == "_hour" else c for c in CLUSTER]
-    sorted_rows = (
-        rows.where(F.col("load") != load)
-        .withColumn("_hour", F.date_trunc("hour", "timestamp"))
-        .repartitionByRange(*cols)
-        .sortWithinPartitions(*cols)
-        .drop("_hour")
-        .withColumn("load", F.lit(load))
-    )
+    kept = rows.where(F.col("load") != load).withColumn("load", F.lit(load))
     (
-        sorted_rows.write.mode("overwrite")
+        _clustered(kept).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("event_date", "load")
         .parquet(path)

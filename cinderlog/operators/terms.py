@@ -14,15 +14,16 @@ def term_index(logs: DataFrame, config: str = "english") -> DataFrame:
     )
 
 
-def write_term_index(index: DataFrame, path: str, slices: int | None = None) -> None:
-    """Write the index by day, sorted by term.
+def write_term_index(index: DataFrame, path: str) -> None:
+    """Write the index by day, sorted by term inside each file.
 
-    The id is part of the range key, so a term that occurs in a third of all
-    rows fills many files instead of one task.
+    Days are split by size, not by term, so a term that occurs in a third of
+    all rows is spread over as many files as its day.
     """
-    cols = ["event_date", "term", "id"]
-    ranged = index.repartitionByRange(slices, *cols) if slices else index.repartitionByRange(*cols)
-    ranged.sortWithinPartitions(*cols).write.mode("overwrite").partitionBy("event_date").parquet(path)
+    balanced = index.hint("rebalance", F.col("event_date"))
+    balanced.sortWithinPartitions("event_date", "term", "id").write.mode("overwrite").partitionBy(
+        "event_date"
+    ).parquet(path)
 
 
 def matching_ids(index: DataFrame, keyword: str, config: str = "english") -> DataFrame:
@@ -31,8 +32,7 @@ def matching_ids(index: DataFrame, keyword: str, config: str = "english") -> Dat
     The keyword's few terms are read on the driver so that the term filter can
     skip row groups of the sorted index.
     """
-    spark = index.sparkSession
-    wanted = spark.range(1).select(text.terms(F.lit(keyword), config).alias("t")).first()["t"]
+    wanted = text.query_terms(keyword, config)
     rows = index.where(F.col("term").isin(wanted) if wanted else F.lit(False))
     if len(wanted) <= 1:
         return rows.select("id")

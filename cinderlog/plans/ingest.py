@@ -159,13 +159,22 @@ def null_normalize(spark, sf_dir):
 @query(
     "assign_id_received",
     oracle.checked(
-        f"""SELECT 5000 + row_number() OVER (ORDER BY batch_id, event_index) AS id, "timestamp",
-          TIMESTAMP '{NOW}' AS received_at, service_name, severity, body FROM accepted"""
+        f"""SELECT batch_id, event_index, event_index AS id_in_batch, "timestamp",
+          TIMESTAMP '{NOW}' AS received_at, service_name, severity, body,
+          count(*) OVER () AS ids, 5001 AS first_id, 5000 + count(*) OVER () AS last_id FROM accepted"""
     ),
 )
 def assign_id_received(spark, sf_dir):
-    rows = ingest.to_log_rows(_checked(spark, sf_dir), base=5000, now=ntz(NOW))
-    return rows.select("id", "timestamp", "received_at", "service_name", "severity", "body")
+    """Which ids a batch gets depends on the run; their steps and their range do not."""
+    rows = ingest.stamp_received(ingest.assign_ids(ingest.clean_events(_checked(spark, sf_dir)), base=5000), ntz(NOW))
+    batches = rows.groupBy("batch_id").agg(F.min("id").alias("_low"))
+    whole = rows.agg(
+        F.count_distinct("id").alias("ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
+    )
+    return rows.join(batches, "batch_id").crossJoin(F.broadcast(whole)).select(
+        "batch_id", F.col("event_index").cast("bigint"), (F.col("id") - F.col("_low")).alias("id_in_batch"),
+        "timestamp", "received_at", "service_name", "severity", "body", "ids", "first_id", "last_id",
+    )
 
 
 @query(
@@ -181,7 +190,7 @@ def sink_append(spark, sf_dir):
     logs = tables.event_logs(spark, sf_dir).select(*LOG_COLUMNS)
     promote = {"user_attr": ["user_id"]}
     early = F.col("timestamp") < ntz("2024-01-16")
-    sinks.append_logs(logs.where(early), path, "a", promote, cluster=True)
+    sinks.append_logs(logs.where(early), path, "a", promote)
     for _ in range(2):  # a replayed load replaces itself
         sinks.append_logs(logs.where(~early), path, "b", promote)
     stored = sinks.read_logs(spark, path, "user_attr string")

@@ -133,7 +133,7 @@ def ingest_lag(spark, sf_dir):
 def _requests(spark, sf_dir):
     """Completed requests: status and duration are read from the attributes."""
     attrs = attributes.as_variant(F.col("log_attributes"))
-    return _logs(spark, sf_dir).select(
+    return tables.event_logs(spark, sf_dir, heavy=True).select(
         "service_name",
         "timestamp",
         attributes.attr(attrs, "http.status_code", "int").alias("status"),

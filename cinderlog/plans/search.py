@@ -24,12 +24,12 @@ BETWEEN = "\"timestamp\" BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '
 AS_OF = dt.datetime(2024, 1, 31)
 
 
-def _filter(name, where, condition):
+def _filter(name, where, condition, heavy=False):
     """A filter query over all log rows: ``where`` in SQL, ``condition`` as a column."""
 
     @query(name, oracle.logs(f"SELECT {COLS} FROM logs WHERE {where}"))
     def job(spark, sf_dir):
-        return tables.event_logs(spark, sf_dir).where(condition()).select(*LOG_COLUMNS)
+        return tables.event_logs(spark, sf_dir, heavy).where(condition()).select(*LOG_COLUMNS)
 
     return job
 
@@ -92,22 +92,28 @@ _filter(
     "json_extract_string(log_attributes, '$.user.role') = 'admin' "
     "AND cast(json_extract(log_attributes, '$.\"http.status_code\"') AS int) = 500 "
     "AND json_extract_string(log_attributes, '$.tags[0]') = 'vip'",
-    lambda: attributes.contains(_attrs(), {"user": {"role": "admin"}, "http.status_code": 500, "tags": ["vip"]}),
+    lambda: attributes.contains_text(
+        F.col("log_attributes"), {"user": {"role": "admin"}, "http.status_code": 500, "tags": ["vip"]}
+    ),
+    heavy=True,
 )
 _filter(
     "filter_resource_contains",
     "json_extract_string(resource_attributes, '$.\"host.name\"') = 'host-3'",
-    lambda: attributes.contains(_attrs("resource_attributes"), {"host.name": "host-3"}),
+    lambda: attributes.contains_text(F.col("resource_attributes"), {"host.name": "host-3"}),
+    heavy=True,
 )
 _filter(
     "filter_attr_path",
     "json_extract_string(log_attributes, '$.user.role') = 'admin'",
     lambda: attributes.attr_text(_attrs(), ["user", "role"]) == "admin",
+    heavy=True,
 )
 _filter(
     "filter_attr_exists",
     "list_contains(json_keys(log_attributes), 'note')",
     lambda: attributes.has_key(_attrs(), "note"),
+    heavy=True,
 )
 _filter(
     "filter_errors_subset",

@@ -12,6 +12,8 @@ import gzip
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from cinderlog.session import spread
+
 SERVICE = (
     "case user_id % 5 when 0 then 'payment-service' when 1 then 'checkout-service' "
     "when 2 then 'inventory-service' when 3 then 'auth-service' else 'notification-service' end"
@@ -95,14 +97,16 @@ RAW_ATTRIBUTES = (
 ).format(id=TEXT_ID)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """One given table; ``heavy`` work per row is spread over all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if heavy else rows
 
 
-def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_logs(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """``events`` as log rows; attributes are JSON text."""
     trace = "md5(cast(user_id as string) || '-' || date_format(ts, 'yyyyMMddHH'))"
-    return table(spark, sf_dir, "events").selectExpr(
+    return table(spark, sf_dir, "events", heavy).selectExpr(
         "event_id as id",
         "ts as timestamp",
         "ts + make_dt_interval(0, 0, 0, event_id % 30) as received_at",
@@ -121,7 +125,7 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as log rows for text search."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return table(spark, sf_dir, "documents", heavy=True).selectExpr(
         "doc_id as id",
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, doc_id % 20160) as timestamp",
         "source as service_name",
@@ -164,7 +168,7 @@ def zipped_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One attribute object per event as the sanitiser's input."""
-    rows = table(spark, sf_dir, "events").selectExpr(
+    rows = table(spark, sf_dir, "events", heavy=True).selectExpr(
         f"{BATCH_ID} as batch_id", "event_id as event_index", f"{RAW_ATTRIBUTES} as log_attributes"
     )
     return rows.withColumn("log_attributes", F.from_json("log_attributes", "map<string, variant>"))

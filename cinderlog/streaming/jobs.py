@@ -26,17 +26,15 @@ def ingest_stream(
     """Decode, check and sanitise payloads and append them; rejects go to a dead-letter table.
 
     Both writes are keyed by the micro-batch, so a replay rewrites the same
-    folders. Row ids are the micro-batch number above the row's place in the
-    checked data, unique without a pass over earlier loads.
+    folders. Row ids are the micro-batch number above the row's place in it,
+    unique without a pass over earlier loads. The checked batches are persisted
+    and came without an exchange, so their rows keep their places.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         checked = ingest.check(ingest.decode(batch)).persist()
         try:
-            clean = ingest.null_normalize(ingest.sanitize_events(ingest.accepted_events(checked)).drop("attr_warnings"))
-            rows = ingest.stamp_received(
-                ingest.assign_ids(clean, ["batch_id", "event_index"], batch_id << 40), now
-            ).select(*fixed.LOG_COLUMNS)
+            rows = ingest.to_log_rows(checked, batch_id << 40, now, materialize=False)
             sinks.append_logs(rows, logs_path, f"b{batch_id}")
             rejected = ingest.verdicts(checked).where(~F.col("accepted")).withColumn("load", F.lit(f"b{batch_id}"))
             (
