@@ -48,7 +48,8 @@ def encode_column(ts: Column, row_id: Column) -> Column:
     text = F.concat(
         F.lit('{"ts":"'), format_rfc3339(ts), F.lit('","id":'), row_id.cast("string"), F.lit("}")
     )
-    return F.rtrim(F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_"), F.lit("="))
+    # base64 breaks long lines; characters without a counterpart are deleted.
+    return F.translate(F.base64(F.encode(text, "UTF-8")), "+/=\r\n", "-_")
 
 
 def decode_column(token: Column) -> Column:

@@ -177,29 +177,41 @@ def assign_id_received(spark, sf_dir):
     )
 
 
-@query(
-    "sink_append",
-    oracle.logs(
-        """SELECT id, "timestamp", received_at, service_name, severity, body, trace_id, log_attributes,
-          event_date, 'u_' || split_part(body, ' by user ', 2) AS user_attr FROM logs"""
-    ),
+_STORED = oracle.logs(
+    """SELECT id, "timestamp", received_at, service_name, severity, body, trace_id, log_attributes,
+      event_date, 'u_' || split_part(body, ' by user ', 2) AS user_attr FROM logs"""
 )
-def sink_append(spark, sf_dir):
-    """Write the log table in two loads, one of them twice, and read it back."""
-    path = scratch_path(spark, "logs")
-    logs = tables.event_logs(spark, sf_dir).select(*LOG_COLUMNS)
-    promote = {"user_attr": ["user_id"]}
-    early = F.col("timestamp") < ntz("2024-01-16")
-    sinks.append_logs(logs.where(early), path, "a", promote)
-    for _ in range(2):  # a replayed load replaces itself
-        sinks.append_logs(logs.where(~early), path, "b", promote)
-    stored = sinks.read_logs(spark, path, "user_attr string")
-    return stored.select(
+_PROMOTE = {"user_attr": ["user_id"]}
+
+
+def _stored(spark, path):
+    return sinks.read_logs(spark, path, "user_attr string").select(
         "id", "timestamp", "received_at", "service_name", "severity", "body", "trace_id",
         F.to_json("log_attributes").alias("log_attributes"), "event_date", "user_attr",
     )
 
 
+@query("sink_append", _STORED)
+def sink_append(spark, sf_dir):
+    """Write the log table and read it back."""
+    path = scratch_path(spark, "logs")
+    sinks.append_logs(tables.event_logs(spark, sf_dir, heavy=True).select(*LOG_COLUMNS), path, "a", _PROMOTE)
+    return _stored(spark, path)
+
+
+@query("sink_replay", _STORED)
+def sink_replay(spark, sf_dir):
+    """Two loads, the second delivered twice, then the first day compacted."""
+    path = scratch_path(spark, "logs")
+    logs = tables.event_logs(spark, sf_dir, heavy=True).select(*LOG_COLUMNS)
+    early = F.col("timestamp") < ntz("2024-01-01 12:00:00")
+    sinks.append_logs(logs.where(early), path, "a", _PROMOTE)
+    for _ in range(2):  # a replayed load replaces itself
+        sinks.append_logs(logs.where(~early), path, "b", _PROMOTE)
+    sinks.compact_day(spark, path, "2024-01-01", "packed", "user_attr string")
+    return _stored(spark, path)
+
+
 @query(
     "dedup_idempotent",
     oracle.logs("SELECT id, \"timestamp\", service_name, body, 0::bigint AS delivery FROM logs"),

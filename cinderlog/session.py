@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -20,8 +22,27 @@ RUNTIME_CONF = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application.
+
+    Spark itself copies the archive to every executor; it is only made on the
+    driver's disk.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="cinderlog-code-"), "cinderlog")
+    sc.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(here), os.path.basename(here)))
+    _shipped.add(sc.applicationId)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings results depend on to an existing session."""
+    ship_package(spark)
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark

@@ -199,7 +199,7 @@ def producer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         field("blob", "any", json_val="'not json {'"),
         field("dup", "int64", int64_val="event_id"),
     ]
-    return table(spark, sf_dir, "events").selectExpr(
+    return table(spark, sf_dir, "events", heavy=True).selectExpr(
         "event_id",
         f"{SERVICE} as producer",
         "ts as timestamp",
