@@ -92,6 +92,9 @@ def values_at_ranks(
     name, an aggregate per (key, value) and how those merge (sum, min or max).
     Null values have no rank but do count there.
     """
+    if not keys:
+        one = df.withColumn("_all", F.lit(1))
+        return values_at_ranks(one, ["_all"], value, ranks, totals_of, slices).drop("_all")
     totals_of = totals_of or {}
     counts = df.groupBy(*keys, value).agg(
         F.count(value).alias("_n"), *[agg.alias(name) for name, (agg, _) in totals_of.items()]
@@ -104,7 +107,7 @@ def values_at_ranks(
             F.array(*[F.struct(F.lit(k).alias("_label"), e.cast("bigint").alias("_rank")) for k, e in ranks.items()])
         ).alias("_w"),
     ).select(*keys, "_w.*")
-    holder = (table.join(wanted, keys) if keys else table.crossJoin(F.broadcast(wanted))).where(
+    holder = table.join(wanted, keys).where(
         (F.col("_rank") >= F.col("_offset")) & (F.col("_rank") < F.col("_offset") + F.col("_total"))
     )
     near = rows.join(holder.select("_slice", *keys, "_label", "_rank", "_offset"), ["_slice", *keys])
@@ -115,7 +118,7 @@ def values_at_ranks(
     if not totals_of:
         return found
     merged = rows.groupBy(*keys).agg(*[getattr(F, how)(name).alias(name) for name, (_, how) in totals_of.items()])
-    return merged.join(found, keys, "left") if keys else merged.crossJoin(found)  # one row each
+    return merged.join(found, keys, "left")
 
 
 def nearest_rank(percent: int) -> Column:

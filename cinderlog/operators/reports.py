@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cinderlog.fixed import SLO_ERROR_RATE, SLO_P95_MS
 from cinderlog.functions.times import ntz
 from cinderlog.operators import ranks
 
@@ -128,18 +129,17 @@ def latency_summary(requests: DataFrame, by: str = "service_name", slices: int |
     )
 
 
-def slo_check(summary: DataFrame, objectives: DataFrame) -> DataFrame:
-    """Compare measured p95 and error rate with a table of objectives.
-
-    ``objectives`` has one row per metric: metric, max_p95_ms, max_error_rate.
-    Both bounds are strict. A few rows meet a few rows.
-    """
-    return summary.crossJoin(F.broadcast(objectives)).select(
-        F.col("service_name"),
-        F.col("metric"),
-        (F.col("p95_ms") < F.col("max_p95_ms")).alias("p95_ok"),
-        (F.col("error_rate") < F.col("max_error_rate")).alias("errors_ok"),
-        ((F.col("p95_ms") < F.col("max_p95_ms")) & (F.col("error_rate") < F.col("max_error_rate"))).alias("passed"),
+def slo_check(
+    summary: DataFrame, p95_ms: dict[str, int] = SLO_P95_MS, max_error_rate: float = SLO_ERROR_RATE
+) -> DataFrame:
+    """Compare each measured row with the objective of every metric; bounds are strict."""
+    goals = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(b).alias("bound")) for m, b in p95_ms.items()])
+    rows = summary.withColumn("goal", F.explode(goals))
+    fast = F.col("p95_ms") < F.col("goal.bound")
+    healthy = F.col("error_rate") < max_error_rate
+    return rows.select(
+        "service_name", F.col("goal.metric").alias("metric"), fast.alias("p95_ok"), healthy.alias("errors_ok"),
+        (fast & healthy).alias("passed"),
     )
 
 
