@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from cinderlog.functions.keys import utf8_text
 from cinderlog.functions.times import format_rfc3339, parse_rfc3339
 
 
@@ -55,7 +56,7 @@ def encode_column(ts: Column, row_id: Column) -> Column:
 def decode_column(token: Column) -> Column:
     """Struct of timestamp and id; null where the token is not a cursor."""
     padded = F.concat(F.translate(token, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(token), F.lit(4))))
-    doc = F.from_json(F.decode(F.try_to_binary(padded, F.lit("base64")), "UTF-8"), "struct<ts: string, id: bigint>")
+    doc = F.from_json(utf8_text(F.try_to_binary(padded, F.lit("base64"))), "struct<ts: string, id: bigint>")
     ts = parse_rfc3339(doc["ts"])
     return F.when(
         ts.isNotNull() & doc["id"].isNotNull(),

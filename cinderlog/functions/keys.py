@@ -19,11 +19,9 @@ def clean_key(key: Column) -> Column:
     return F.when(F.length(key) == 0, F.lit("_")).otherwise(first)
 
 
-def truncate_bytes(text: Column, limit: int) -> Column:
-    """First ``limit`` bytes; a cut character shows as a replacement character."""
-    return F.when(F.octet_length(text) <= limit, text).otherwise(
-        F.decode(F.substring(F.encode(text, "UTF-8"), 1, limit), "UTF-8")
-    )
+def utf8_text(raw: Column) -> Column:
+    """Text of bytes that should be UTF-8; what is not becomes U+FFFD and no error."""
+    return F.make_valid_utf8(raw.cast("string"))
 
 
 def estimate_size(message: Column, fields: Column) -> Column:

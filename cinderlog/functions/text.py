@@ -24,7 +24,8 @@ from cinderlog.fixed import (
     STOP_WORDS,
 )
 
-WORD = r"[\p{L}\p{M}\p{N}]+"
+_LETTER = r"[\p{L}\p{M}\p{N}]"
+WORD = _LETTER + "+"
 
 
 def tokens(text: Column) -> Column:
@@ -141,35 +142,38 @@ def _all_in(found: Column, wanted: list[str]) -> Column:
     return F.size(F.array_intersect(F.array(*map(F.lit, wanted)), found)) == len(wanted)
 
 
-def _start(word: Column | str):
+def word_start(word: str) -> str:
     """First two letters with y read as i.
 
     Stemming leaves them alone (``tying`` becomes ``tie``, ``using`` ``use``),
     so words that differ here cannot share a stem.
     """
-    if isinstance(word, str):
-        return word[:2].replace("y", "i")
-    return F.translate(F.substring(word, 1, 2), "y", "i")
+    return word[:2].replace("y", "i")
+
+
+def _words_like(text: Column, pattern: str) -> Column:
+    """Distinct words of a text that match from their first letter on."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!{_LETTER})(?:{pattern})"), F.lit(0))
+    return F.array_distinct(found)
 
 
 def matches(text: Column, keyword: str, config: str = "english") -> Column:
     """All terms of ``keyword`` occur in ``text``; a keyword without terms matches nothing.
 
-    Only words that start like a wanted term are stemmed.
+    One pass over the text picks out the words in question: for ``simple`` the
+    terms themselves, for ``english`` all words that start like a wanted stem.
+    Only those are stemmed.
     """
     wanted = query_terms(keyword, config)
     if not wanted:
         return F.lit(False)
-    words = F.array_distinct(tokens(text))
     if config == "simple":
-        return _all_in(words, wanted)
-    long = sorted({_start(t) for t in wanted if len(t) > 1})
-    single = sorted({t for t in wanted if len(t) == 1})
-    near = F.filter(
-        words,
-        lambda w: (_start(w).isin(long) | F.substring(w, 1, 1).isin(single)) & ~w.isin(STOP_WORDS),
-    )
-    return _all_in(stems(near), wanted)
+        return _all_in(_words_like(text, rf"(?:{'|'.join(wanted)})(?!{_LETTER})"), wanted)
+    starts = sorted({word_start(t) for t in wanted if len(t) > 1})
+    patterns = [s.replace("i", "[iy]") + f"{_LETTER}*" for s in starts]
+    patterns += [f"{t}{_LETTER}*" for t in wanted if len(t) == 1]
+    near = _words_like(text, "|".join(patterns))
+    return _all_in(stems(F.filter(near, lambda w: ~w.isin(STOP_WORDS))), wanted)
 
 
 def matches_terms(body_terms: Column, keyword: str, config: str = "english") -> Column:

@@ -31,7 +31,7 @@ def pack_batches(
     max_events: int = fixed.PACK_MAX_EVENTS,
     max_bytes: int = fixed.PACK_MAX_BYTES,
     interval_seconds: float = fixed.PACK_INTERVAL_SECONDS,
-    chunk_rows: int = 200_000,
+    chunk_rows: int = 50_000,
     slices: int | None = None,
 ) -> DataFrame:
     """Add ``batch_no`` per producer: a batch closes at ``max_events`` events, at

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cinderlog import fixed
 from cinderlog.functions import severity
 from cinderlog.functions.arrays import unnest
+from cinderlog.functions.keys import utf8_text
 from cinderlog.functions.times import parse_rfc3339
 from cinderlog.operators import ranks
 from cinderlog.operators.sanitize import sanitize_column
@@ -68,7 +69,7 @@ def decode(payloads: DataFrame, max_bytes: int = fixed.MAX_PAYLOAD_BYTES) -> Dat
     """
     guarded = size_guard(payloads, max_bytes)
     # A top-level null is an empty request.
-    text = F.when(F.trim("payload") == "null", F.lit("{}")).otherwise(F.col("payload"))
+    text = F.when(F.trim("payload") == "null", F.lit("{}")).otherwise(utf8_text(F.col("payload")))
     parsed = guarded.withColumn("_doc", F.from_json(text, WIRE_BATCH_DDL, {"mode": "PERMISSIVE"})).drop("payload")
     doc = F.col("_doc")
     events = F.coalesce(doc["events"], F.array())

@@ -32,15 +32,16 @@ def table_rows(
     return logs.withColumns(extra)
 
 
-def _clustered(rows: DataFrame) -> DataFrame:
-    """Group rows by day and service for few, sorted files.
+def _clustered(rows: DataFrame, by_service: bool = True) -> DataFrame:
+    """Group rows by day, and by service unless the load is small, for few, sorted files.
 
     Rebalancing joins small groups and splits those above the advisory
     partition size, so a day or service with much of the data still fills many
     tasks. Unlike range partitioning it does not sample, which would run the
     whole ingest a second time.
     """
-    grouped = rows.hint("rebalance", F.col("event_date"), F.col("service_name"))
+    keys = ["event_date", "service_name"] if by_service else ["event_date"]
+    grouped = rows.hint("rebalance", *map(F.col, keys))
     hour = F.date_trunc("hour", "timestamp")
     return grouped.withColumn("_hour", hour).sortWithinPartitions("event_date", *CLUSTER).drop("_hour")
 
@@ -51,11 +52,16 @@ def append_logs(
     load: str,
     promote: dict[str, list[str]] | None = None,
     with_terms: bool = False,
+    by_service: bool = True,
 ) -> None:
-    """Append one load; nothing is written for an empty one."""
+    """Append one load; nothing is written for an empty one.
+
+    Micro-batches should pass ``by_service=False``: one file per day, which
+    ``compact_day`` later sorts out by service.
+    """
     rows = table_rows(logs, promote, with_terms).withColumn("load", F.lit(load))
     (
-        _clustered(rows).write.mode("overwrite")
+        _clustered(rows, by_service).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         # Lets a trace lookup skip row groups; the adaptive filter shrinks to fit.
         .option("parquet.bloom.filter.enabled#trace_id", "true")

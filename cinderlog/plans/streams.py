@@ -15,15 +15,15 @@ from cinderlog.session import scratch_path
 from cinderlog.sources import tables, topic
 from cinderlog.streaming import jobs
 
-FILES = 4
+FILES, FILES_PER_TRIGGER = 16, 8
 
 
 def _arriving(spark, rows, label):
-    """Write rows as several files and open them as a stream, one file at a time."""
+    """Write rows as several files and open them as a stream of two micro-batches."""
     path = scratch_path(spark, label)
     rows.repartition(FILES).write.parquet(path)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return topic.folder_payloads(spark, path, schema=ddl, files_per_trigger=1)
+    return topic.folder_payloads(spark, path, schema=ddl, files_per_trigger=FILES_PER_TRIGGER)
 
 
 @query(

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinderlog.fixed import MAX_PAYLOAD_BYTES, PROBLEM_ENCODING, PROBLEM_JSON, PROBLEM_TOO_LARGE
+from cinderlog.functions.keys import utf8_text
 
 _HEADER_BYTES = 10
 
@@ -63,6 +64,6 @@ def inflate(payloads: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFram
     read = payloads.withColumn("_z", gunzip(F.when(zipped, F.col("body"))))
     return read.select(
         "batch_id",
-        F.when(zipped, F.col("_z.payload")).otherwise(F.decode("body", "UTF-8")).alias("payload"),
+        F.when(zipped, F.col("_z.payload")).otherwise(utf8_text(F.col("body"))).alias("payload"),
         F.when(zipped, F.col("_z.problem")).alias("problem"),
     )

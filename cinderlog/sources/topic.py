@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cinderlog.functions.keys import utf8_text
+
 
 def topic_payloads(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
     """Payloads of a Kafka topic; needs Spark's Kafka package on the class path."""
@@ -16,7 +18,7 @@ def topic_payloads(spark: SparkSession, servers: str, topic: str, **options: str
     )
     return raw.select(
         F.concat_ws("-", "topic", "partition", "offset").alias("batch_id"),
-        F.col("value").cast("string").alias("payload"),
+        utf8_text(F.col("value")).alias("payload"),
     )
 
 

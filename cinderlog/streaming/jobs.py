@@ -35,7 +35,7 @@ def ingest_stream(
         checked = ingest.check(ingest.decode(batch)).persist()
         try:
             rows = ingest.to_log_rows(checked, batch_id << 40, now, materialize=False)
-            sinks.append_logs(rows, logs_path, f"b{batch_id}")
+            sinks.append_logs(rows, logs_path, f"b{batch_id}", by_service=False)
             rejected = ingest.verdicts(checked).where(~F.col("accepted")).withColumn("load", F.lit(f"b{batch_id}"))
             (
                 rejected.write.mode("overwrite")

@@ -154,3 +154,18 @@ def test_read_payload_files(spark, tmp_path):
     (tmp_path / "b.json.gz").write_bytes(gzip.compress(batch(event(), event()).encode()))
     checked = ingest.check(ingest.decode(inflate(read_payload_files(spark, str(tmp_path)))))
     assert sorted(r["n_events"] for r in ingest.verdicts(checked).where("accepted").collect()) == [1, 2]
+
+
+def test_invalid_utf8_does_not_stop_the_job(spark):
+    good = batch(event(body="ok")).encode()
+    broken = batch(event(body="@@")).encode().replace(b"@@", b"\xff\xfe")
+    rows = spark.createDataFrame(
+        [("a", bytearray(good), ""), ("b", bytearray(broken), ""), ("c", bytearray(gzip.compress(broken)), "gzip"),
+         ("d", bytearray(b"\xff\xff"), "")], "batch_id string, body binary, encoding string",
+    )
+    checked = ingest.check(ingest.decode(inflate(rows)))
+    got = {r["batch_id"]: r["body"] for r in ingest.accepted_events(checked).collect()}
+    assert got == {"a": "ok", "b": "\ufffd\ufffd", "c": "\ufffd\ufffd"}
+    raw = rows.select("batch_id", F.col("body").cast("string").alias("payload")).where("batch_id in ('b', 'd')")
+    problems = {r["batch_id"]: r["problem"] for r in ingest.check(ingest.decode(raw)).collect()}
+    assert problems == {"b": None, "d": "invalid-json"}

@@ -51,8 +51,11 @@ def test_cursor_round_trip(spark, micros):
         cursors.encode_column(times.ntz(c.timestamp), F.lit(c.id)).alias("t"),
         cursors.decode_column(F.lit(token)).alias("c"),
         cursors.decode_column(F.lit("??")).alias("bad"),
+        cursors.decode_column(F.lit("____")).alias("bytes"),
+        cursors.decode_column(F.lit("e30")).alias("empty"),
     ).first()
-    assert row["t"] == token and tuple(row["c"]) == (c.timestamp, c.id) and row["bad"] is None
+    assert row["t"] == token and tuple(row["c"]) == (c.timestamp, c.id)
+    assert row["bad"] is None and row["bytes"] is None and row["empty"] is None
 
 
 def logs(spark, rows):

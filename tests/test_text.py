@@ -55,7 +55,7 @@ def test_start_letters_are_kept_by_stemming(spark, sf_dir):
     for word in vocabulary:
         stem = text.stem(word)
         if len(stem) > 1:
-            assert text._start(word) == text._start(stem), word
+            assert text.word_start(word) == text.word_start(stem), word
         else:
             assert word[:1] == stem, word
 
