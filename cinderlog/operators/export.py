@@ -173,7 +173,8 @@ def field_value(f: Column) -> Column:
     """A typed field as VARIANT; durations become milliseconds, bad JSON stays text."""
     kind = f["type"]
     return (
-        F.when(kind == "int64", f["int64_val"].cast("variant"))
+        F.when(kind.isin("string", "error"), f["string_val"].cast("variant"))
+        .when(kind == "int64", f["int64_val"].cast("variant"))
         .when(kind == "float64", f["float64_val"].cast("variant"))
         .when(kind == "bool", f["bool_val"].cast("variant"))
         .when(kind == "duration", (f["int64_val"] / F.lit(1e6)).cast("variant"))
@@ -195,19 +196,21 @@ def wire_event(
     """
     lifted = ("trace_id", "span_id")
 
-    def last_of(name):
+    def lift(name):
         hits = F.filter(fields, lambda f: f["key"] == name)
-        return F.transform(F.slice(hits, F.lit(-1), F.least(F.size(hits), F.lit(1))), field_value)[0]
+        return F.try_element_at(F.transform(hits, field_value), F.lit(-1)).alias(name)
 
-    def lift(name):
-        return F.when(F.exists(fields, lambda f: f["key"] == name), last_of(name)).alias(name)
+    def last_of_each_key(bound):
+        is_last = lambda f, i: F.array_position(bound["back"], f["key"]) == F.size(bound["fields"]) - i
+        return F.filter(bound["fields"], lambda f, i: ~f["key"].isin(*lifted) & is_last(f, i))
 
-    def is_last(f, i):
-        later = F.slice(fields, i + 2, F.size(fields))
-        return ~F.exists(later, lambda g: g["key"] == f["key"])
+    def as_map(kept):
+        return F.map_from_entries(F.transform(kept, lambda f: F.struct(f["key"], field_value(f))))
 
-    kept = F.filter(fields, lambda f, i: ~f["key"].isin(*lifted) & is_last(f, i))
-    attributes = F.map_from_entries(F.transform(kept, lambda f: F.struct(f["key"], field_value(f))))
+    # One-element arrays bind intermediate results, which are then computed once.
+    back = F.reverse(F.transform(fields, lambda f: f["key"]))
+    kept = F.transform(F.array(F.struct(fields.alias("fields"), back.alias("back"))), last_of_each_key)
+    attributes = F.transform(F.filter(kept, lambda k: F.size(k) > 0), as_map)
     return F.to_json(
         F.struct(
             format_rfc3339(timestamp).alias("timestamp"),
@@ -216,7 +219,7 @@ def wire_event(
             message.alias("body"),
             *map(lift, lifted),
             F.struct(*[resource[k].alias(k) for k in fixed.RESOURCE_KEYS]).alias("resource_attributes"),
-            F.when(F.size(kept) > 0, attributes).alias("log_attributes"),
+            F.get(attributes, F.lit(0)).alias("log_attributes"),
         )
     )
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -44,6 +46,33 @@ class LogQuery:
             object.__setattr__(self, "cursor", cursors.decode(self.cursor) if self.cursor else None)
 
 
+def query_from_text(params: Mapping[str, str], max_range_days: int = fixed.MAX_RANGE_DAYS) -> LogQuery:
+    """A query from text parameters, as a client sends them; empty ones count as absent."""
+    given = {k: v for k, v in params.items() if v}
+    if "start_time" not in given or "end_time" not in given:
+        raise ValueError(fixed.ERR_TIMES_REQUIRED)
+    limit = given.get("limit", str(fixed.DEFAULT_PAGE))
+    return LogQuery(
+        start=_utc(given["start_time"], fixed.ERR_START_FORMAT),
+        end=_utc(given["end_time"], fixed.ERR_END_FORMAT),
+        service_name=given.get("service_name"),
+        level=given.get("level"),
+        keyword=given.get("keyword"),
+        cursor=given.get("cursor"),
+        limit=int(limit) if limit.lstrip("+-").isdigit() and limit.isascii() else 0,
+        max_range_days=max_range_days,
+    )
+
+
+def _utc(text: str, error: str) -> dt.datetime:
+    try:
+        if not re.match(fixed.RFC3339, text):
+            raise ValueError(text)
+        return dt.datetime.fromisoformat(text).astimezone(dt.timezone.utc).replace(tzinfo=None)
+    except ValueError as e:
+        raise ValueError(error) from e
+
+
 def in_time_range(start, end, ts: str = "timestamp") -> Column:
     return (F.col(ts) >= ntz(start)) & (F.col(ts) <= ntz(end))
 

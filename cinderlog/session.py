@@ -52,7 +52,9 @@ def build_session(app: str = "cinderlog", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    # Checkpoints go when nothing refers to them any more.
+    static = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+    for key, value in {**static, **RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 

@@ -146,3 +146,24 @@ def test_response_objects_leave_empty_fields_out(spark):
         "id": "1", "timestamp": "2024-01-01T00:00:00Z", "received_at": "2024-01-01T00:00:00Z",
         "service_name": "svc", "severity": "info", "body": "x",
     }
+
+
+@pytest.mark.parametrize(
+    "changes, message",
+    [
+        ({"start_time": ""}, "required"),
+        ({"start_time": "2024-01-01"}, "start_time: must be RFC3339"),
+        ({"end_time": "2024-13-01T00:00:00Z"}, "end_time: must be RFC3339"),
+        ({"end_time": "2023-12-31T00:00:00Z"}, "after start_time"),
+        ({"end_time": "2024-01-08T00:00:00.000001Z"}, "exceed 7 days"),
+        ({"limit": "ten"}, "limit"),
+        ({"limit": "9999"}, "limit"),
+        ({"level": "Error"}, "level"),
+    ],
+)
+def test_text_parameters(changes, message):
+    good = {"start_time": "2024-01-01T01:00:00+01:00", "end_time": "2024-01-08T00:00:00Z", "limit": "", "level": ""}
+    q = search.query_from_text(good)
+    assert (q.start, q.limit, q.level) == (T0, 100, None)
+    with pytest.raises(ValueError, match=message):
+        search.query_from_text({**good, **changes})
