@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlog.llm import line_chunks, radix_dedup
+from cinderlog.llm import (
+    direct_codes, line_chunks, lm_score, radix_dedup, spaced_seeds, token_counts, word_table,
+)
 from cinderlog.llm.common import id_and_text, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +56,31 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 """)
 def op6(spark, sf_dir):
     return radix_dedup.exact_groups(documents(spark, sf_dir))
+
+
+@_query("op7_spaced_seeds")
+def op7(spark, sf_dir):
+    """Every document against the whole benchmark."""
+    return spaced_seeds.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@_query("op8_direct_codes")
+def op8(spark, sf_dir):
+    """Token file of all documents, read back."""
+    out = direct_codes.write_and_read(documents(spark, sf_dir))
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@_query("op9_token_counts")
+def op9(spark, sf_dir):
+    return token_counts.count_tokens(documents(spark, sf_dir))
+
+
+@_query("op3_lm_score")
+def op3(spark, sf_dir):
+    return lm_score.score(documents(spark, sf_dir))
+
+
+@_query("op4_word_table")
+def op4(spark, sf_dir):
+    return word_table.encode_and_decode(documents(spark, sf_dir), digest=True)
