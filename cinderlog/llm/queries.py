@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.llm import (
-    direct_codes, line_chunks, lm_score, radix_dedup, spaced_seeds, token_counts, word_table,
+    direct_codes, line_chunks, lm_score, ngram_join, radix_dedup, spaced_seeds, token_counts, word_table,
 )
 from cinderlog.llm.common import id_and_text, prepare
 
@@ -84,3 +84,8 @@ def op3(spark, sf_dir):
 @_query("op4_word_table")
 def op4(spark, sf_dir):
     return word_table.encode_and_decode(documents(spark, sf_dir), digest=True)
+
+
+@_query("op10_ngram_join")
+def op10(spark, sf_dir):
+    return ngram_join.link_documents(documents(spark, sf_dir))
