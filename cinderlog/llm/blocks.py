@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.common import settle
+from cinderlog.llm.common import id_and_text, settle
 from cinderlog.session import scratch_path
 
 BLOCK_BYTES = 32 << 20
@@ -100,7 +100,7 @@ class BlockTable:
     def __init__(self, docs: DataFrame, fold: bool, limit: int = BLOCK_BYTES) -> None:
         self.spark = docs.sparkSession
         self.name = f"llm_blocks_{uuid.uuid4().hex}"
-        made = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_build(fold, limit), COLUMNS)
+        made = id_and_text(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_build(fold, limit), COLUMNS)
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         path = scratch_path(self.spark, "blocks")
         made.write.option("path", path).bucketBy(buckets, "block").saveAsTable(self.name)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlog.llm import bytebpe
+from cinderlog.llm.common import id_and_text
 from cinderlog.session import scratch_path
 
 BITS = 8
@@ -100,13 +101,13 @@ class DirectCodes:
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = bytebpe.VOCABULARY, end_id: int = END_ID) -> None:
     """Encode texts and write them in ascending doc_id order.
 
-    ``docs`` has (doc_id long, text string). Documents are dealt to tasks by ranges
+    ``docs`` has doc_id and text; other columns are ignored. Documents are dealt to tasks by ranges
     of doc_id; rows that share an id follow each other, those without one come
     first. ``end_id`` follows every document, so an empty or NULL text has one
     id. An empty table writes no segment.
     """
     tie = F.xxhash64("text")
-    placed = docs.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    placed = id_and_text(docs).repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     placed.mapInArrow(_segments(vocabulary, end_id), SEGMENTS).write.parquet(path)
 
 

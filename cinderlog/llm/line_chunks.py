@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.common import placed, settle
+from cinderlog.llm.common import id_and_text, placed, settle
 
 WINDOW = 2
 MEAN = 3
@@ -86,7 +86,7 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, mean: int = MEAN, lea
 def dedup_lines(docs: DataFrame, window: int = WINDOW, mean: int = MEAN, least: int = LEAST) -> DataFrame:
     """Texts without repeated chunks.
 
-    ``docs`` has (doc_id long, text string). Lines end at ``\\n`` only. Returns
+    ``docs`` has doc_id and text; other columns are ignored. Lines end at ``\\n`` only. Returns
     one row per input row: doc_id, n_lines, n_chunks, n_removed_chunks,
     n_removed_lines, text (the lines that stay, joined by ``\\n``).
 
@@ -94,6 +94,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, mean: int = MEAN, least:
     one line is never removed. Of rows that repeat id and text the first stays
     whole. An empty table gives an empty result.
     """
+    docs = id_and_text(docs)
     gone = settle(repeated_chunks(docs, window, mean, least), "chunk-gone")
     lists = gone.groupBy("key").agg(F.collect_list(F.struct("ord", "nos")).alias("gone"))
     base = _with_chunks(docs, window, mean)

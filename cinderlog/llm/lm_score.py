@@ -231,7 +231,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """One row per input row with the model's log10 probability of its text.
 
-    ``docs`` has (doc_id long, text string). Tokens are the words
+    ``docs`` has doc_id and text; other columns are ignored. Tokens are the words
     ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end token. Rows
     whose crc32(doc_id as text) is 0 modulo 10 are held out and not learned from;
     of the others, those with remainder 1 teach the weights.

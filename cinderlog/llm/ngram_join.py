@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlog.llm import hashing
-from cinderlog.llm.common import row_key, settle
+from cinderlog.llm.common import id_and_text, row_key, settle
 from cinderlog.llm.components import components
 
 WORDS = 5
@@ -234,6 +234,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, small: int = SMALL) -> None:
         self.small = small
+        docs = id_and_text(docs)
         key = row_key(F.col("doc_id"), F.col("text"))
         self.texts = docs.select("doc_id", key.alias("key"), F.col("text").cast("binary").alias("text"))
         self.sets = settle(self.texts.mapInArrow(_sets, SETS), "sets")
@@ -329,7 +330,7 @@ class Join:
 def link_documents(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
-    ``docs`` has (doc_id long, text string). Words are ``[^\\x20\\x09-\\x0D]+``
+    ``docs`` has doc_id and text; other columns are ignored. Words are ``[^\\x20\\x09-\\x0D]+``
     with A-Z lower-cased; a text's set are its distinct runs of five words, or
     all its words as one if it has fewer. Texts link when 100 * intersection >= 80 *
     union; component_id is the smallest doc_id reachable by links.

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.llm import (
-    direct_codes, line_chunks, lm_score, ngram_join, radix_dedup, spaced_seeds, token_counts, word_table,
+    direct_codes, line_chunks, lm_score, ngram_join, radix_dedup, spaced_seeds, suffix_dedup, token_counts,
+    word_table,
 )
-from cinderlog.llm.common import id_and_text, prepare
+from cinderlog.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,7 +32,7 @@ def _query(name: str, sql: str | None = None):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return id_and_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 @_query("op5_line_chunks")
@@ -89,3 +90,12 @@ def op4(spark, sf_dir):
 @_query("op10_ngram_join")
 def op10(spark, sf_dir):
     return ngram_join.link_documents(documents(spark, sf_dir))
+
+
+@_query("op2_suffix_dedup")
+def op2(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return out.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.common import BLANK, settle
+from cinderlog.llm.common import BLANK, id_and_text, settle
 
 HEAD = 64
 GROWTH = 8
@@ -24,7 +24,7 @@ GROWTH = 8
 def exact_groups(docs: DataFrame, head: int = HEAD, growth: int = GROWTH) -> DataFrame:
     """One row per input row with its group of equal texts.
 
-    ``docs`` has (doc_id long, text string), as ``common.id_and_text`` makes it.
+    ``docs`` has doc_id and text; other columns are ignored.
     Texts are equal when identical after all of ``[\\x20\\x09-\\x0D]`` is
     deleted. Of a group the row with the most code points, then the smallest
     doc_id, is kept.
@@ -35,7 +35,7 @@ def exact_groups(docs: DataFrame, head: int = HEAD, growth: int = GROWTH) -> Dat
     after all others. An empty table gives an empty result.
     """
     body = F.regexp_replace("text", BLANK + "+", "").cast("binary")
-    bare = docs.select("doc_id", F.char_length("text").alias("n_chars"), body.alias("rest")).withColumn(
+    bare = id_and_text(docs).select("doc_id", F.char_length("text").alias("n_chars"), body.alias("rest")).withColumn(
         "head", F.substring("rest", 1, head)
     )
     heads = bare.groupBy("head").agg(F.count("*").alias("n"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.llm import hashing
-from cinderlog.llm.common import settle
+from cinderlog.llm.common import id_and_text, settle
 
 # Kept places of each mask, each seven of at most eleven words.
 MASKS = ((0, 1, 2, 3, 4, 5, 6), (0, 1, 3, 4, 7, 8, 10), (0, 2, 3, 5, 6, 9, 10), (0, 3, 4, 6, 7, 8, 9), (0, 1, 2, 6, 8, 9, 10))
@@ -101,7 +101,7 @@ def find_leaks(
 ) -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids, n_matched_words.
 
-    ``docs`` has (doc_id long, text string); ``benchmark`` has ``item_col`` and
+    ``docs`` has doc_id and text; other columns are ignored; ``benchmark`` has ``item_col`` and
     text. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A document
     is contaminated by an item when some stretch of ``window`` words (or the whole
     item, if shorter) has at least ``share`` of its words equal at equal
@@ -112,6 +112,7 @@ def find_leaks(
     words and items with a NULL id or text are ignored. Rows that repeat an id
     are judged one by one.
     """
+    docs = id_and_text(docs)
     items = settle(
         benchmark.select(F.col(item_col).cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
         .where("id is not null and text is not null"), "seed-items",

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlog.llm import bytebpe
-from cinderlog.llm.common import settle
+from cinderlog.llm.common import id_and_text, settle
 
 CHUNK = 32_768
 OVERLAP = 256
@@ -36,11 +36,11 @@ def count_tokens(
 ) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit.
 
-    ``docs`` has (doc_id long, text string). NULL and empty texts have no tokens.
+    ``docs`` has doc_id and text; other columns are ignored. NULL and empty texts have no tokens.
     Special strings inside texts are handled as the library does by default.
     Rows are counted one by one, whether ids repeat or are NULL.
     """
-    size = F.char_length("text")
+    docs, size = id_and_text(docs), F.char_length("text")
     small = docs.where(size <= chunk).mapInArrow(_count(vocabulary), "doc_id long, n_bytes long, n_tokens long")
     long = docs.where(size > chunk).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text"

@@ -136,7 +136,7 @@ def _batch(lot: list[tuple], digest: bool) -> pa.RecordBatch:
 def encode_and_decode(docs: DataFrame, vocabulary: str = VOCABULARY, digest: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids, decoded (the ids decoded again).
 
-    ``docs`` has (doc_id long, text string). Ids are those of the tokenizers
+    ``docs`` has doc_id and text; other columns are ignored. Ids are those of the tokenizers
     library without added special tokens; ``decoded`` is what its decode gives
     with special tokens kept, for a vocabulary without a decoder: the pieces,
     joined by one blank. With ``digest`` the hex SHA-256 of the decimal ids joined

@@ -2,7 +2,7 @@
 
 import duckdb
 
-from cinderlog.llm.common import id_and_text, prepare
+from cinderlog.llm.common import prepare
 
 # Empty, blank, NULL, repeated, very long, odd white space and code points, special strings.
 LONG = "Wordy tail-end's 12 half. " * 9000
@@ -18,8 +18,7 @@ def odd_docs(spark):
     """Rows of ODD with further columns whose names operators use inside."""
     prepare(spark)
     rows = [(i, t, "key", 7, None, 1.5) for i, t in ODD]
-    return id_and_text(spark.createDataFrame(
-        rows, "doc_id long, text string, key string, ord int, block string, score double"))
+    return spark.createDataFrame(rows, "doc_id long, text string, key string, ord int, block string, score double")
 
 
 def no_docs(spark):
