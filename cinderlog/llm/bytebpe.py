@@ -3,7 +3,7 @@
 The vocabulary's own pattern never joins text across a single blank between two
 characters that are not white space, so the pieces between such blanks can be
 encoded one by one. Each piece goes through the tokenizers library once and is
-then remembered as the bytes of its ids; ``MOST`` bounds that memory.
+then remembered as the bytes of its ids, two each; ``MOST`` bounds that memory.
 """
 
 from __future__ import annotations
@@ -11,16 +11,15 @@ from __future__ import annotations
 import functools
 import os
 import re
-
-import numpy as np
+from array import array
 
 from cinderlog.llm.common import tokenizer_path
 
-MOST = 300_000
+MOST = 700_000
 VOCABULARY = "byte_bpe_50k.json"
-UNEVEN = re.compile(r"\s | \s|^ | $")
 CUT = re.compile(r"(?<=\S) (?=\S)")
-ENDS = ".,;:!?"
+# Letters, then ASCII marks: two units of the pattern.
+MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -30,31 +29,62 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Uneven(Exception):
+    """A blank stands beside other white space or at an end of the text."""
+
+
+def uneven(piece: str) -> bool:
+    return not piece or piece[0].isspace() or piece[-1].isspace()
+
+
 class Pieces(dict):
-    """Ids, as little-endian 16-bit bytes, of pieces that follow ``lead`` (a blank or nothing)."""
+    """Ids, two bytes each, of pieces that follow ``lead`` (a blank or nothing)."""
 
-    def __init__(self, tokenizer, lead: str, most: int) -> None:
+    def __init__(self, tokenizer, lead: str, most: int, head: Pieces | None = None) -> None:
         super().__init__()
         self.encode, self.bpe, self.lead, self.most = tokenizer.encode, tokenizer.model.tokenize, lead, most
+        self.head = self if head is None else head
         self.letters = byte_letters()
         self.first = self.letters[32] if lead else ""
+        self.marks: dict[str, bytes] = {}
+        self.newline = self.bytes(self.encode("\n", add_special_tokens=False).ids)
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
         if piece.isalpha():
-            ids = self.word(piece)
-        elif piece[:-1].isalpha() and piece[-1] in ENDS:
-            ids = self.word(piece[:-1]) + [t.id for t in self.bpe(piece[-1])]
+            out = self.word(piece)
+        elif (found := MARKED.fullmatch(piece)) and found[1].isalpha():
+            # Only the letters are remembered.
+            return self[found[1]] + (self.marks.get(found[2]) or self.mark(found[2]))
+        elif uneven(piece):
+            raise Uneven
+        elif "\n" in piece and not any(map(uneven, lines := piece.split("\n"))):
+            # A single line end between other characters is a unit of its own.
+            first, *rest = lines
+            return self[first] + b"".join(self.newline + self.head[line] for line in rest)
         else:
-            ids = self.encode(self.lead + piece, add_special_tokens=False).ids
-        self[piece] = out = np.array(ids, "<u2").tobytes()
+            out = self.whole(piece)
+        if len(self) >= self.most:
+            self.clear()
+        self[piece] = out
+        return out
+
+    def mark(self, run: str) -> bytes:
+        if len(self.marks) >= self.most:
+            self.marks.clear()
+        self.marks[run] = out = self.bytes([t.id for t in self.bpe(run)])
         return out
 
-    def word(self, letters: str) -> list[int]:
+    def whole(self, piece: str) -> bytes:
+        return self.bytes(self.encode(self.lead + piece, add_special_tokens=False).ids)
+
+    @staticmethod
+    def bytes(ids: list[int]) -> bytes:
+        return array("H", ids).tobytes()
+
+    def word(self, letters: str) -> bytes:
         """A run of letters is one unit of the pattern: it needs no splitting."""
         shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.bpe(self.first + shown)]
+        return self.bytes([t.id for t in self.bpe(self.first + shown)])
 
 
 class ByteBPE:
@@ -67,17 +97,20 @@ class ByteBPE:
         self.tokenizer.no_padding()
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("this form holds ids below 65536")
-        self.inner, self.head = Pieces(self.tokenizer, " ", most), Pieces(self.tokenizer, "", most)
-
-    def pieces(self, text: str) -> list[str]:
-        return CUT.split(text) if UNEVEN.search(text) else text.split(" ")
+        self.head = Pieces(self.tokenizer, "", most)
+        self.inner = Pieces(self.tokenizer, " ", most, self.head)
 
     def encode(self, text: str) -> bytes:
-        """All ids of a text as little-endian 16-bit bytes."""
+        """All ids of a text as 16-bit bytes."""
         if not text:
             return b""
-        first, *rest = self.pieces(text)
-        return self.head[first] + b"".join(map(self.inner.__getitem__, rest))
+        first, *rest = text.split(" ")
+        try:
+            return self.head[first] + b"".join(map(self.inner.__getitem__, rest))
+        except Uneven:
+            first, *rest = CUT.split(text)
+        pick = lambda known, piece: known.whole(piece) if uneven(piece) else known[piece]
+        return pick(self.head, first) + b"".join(pick(self.inner, piece) for piece in rest)
 
 
 @functools.cache
