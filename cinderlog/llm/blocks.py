@@ -130,7 +130,8 @@ class BlockTable:
         )
         return self.frame.join(lists, "block", "left")
 
-    def drop(self) -> None:
+    def forget(self) -> None:
+        """Take the table's name back. Its files stay below the shared folder for frames that read them."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 

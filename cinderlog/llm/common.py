@@ -7,6 +7,7 @@ import sys
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinderlog.session import configure, scratch_path
 
@@ -35,11 +36,19 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only (doc_id, text); a NULL text is the empty text, other columns are ignored."""
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    )
+def id_and_text(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """Only (doc_id, text); a NULL text is the empty text, other columns are ignored.
+
+    With ``carry`` the row as it came is kept in one column, ``whole``.
+    """
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
+    return docs.select(*own, *[F.struct("*").alias("whole")] * carry)
+
+
+def with_whole(ddl: str, docs: DataFrame) -> T.StructType:
+    """The schema ``ddl``, and the column ``whole`` if ``docs`` carries it."""
+    schema = T.StructType.fromDDL(ddl)
+    return schema.add(docs.schema["whole"]) if "whole" in docs.columns else schema
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from cinderlog.llm import hashing
 from cinderlog.llm.blocks import BlockTable, pack, rows_of, unpack
-from cinderlog.llm.common import settle
 
 ORDER = 3
 FOLDS = 10
@@ -239,7 +238,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     A NULL or empty text is the end token alone. A NULL id counts as held out.
     Rows that repeat an id are scored and counted one by one. Without training
     rows all words have the probability of an unknown one. An empty table gives
-    an empty result. The result is written before it is returned.
+    an empty result.
     """
     table = BlockTable(docs, fold=True)
     tokens = table.frame.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x + 1)), F.lit(0))).first()[0]
@@ -259,6 +258,6 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         stats = table.with_answers(lower).mapInArrow(_stats(model, k), STATS)
         rows = stats.groupBy("bucket", "ml", "low").agg(F.sum("n").alias("n")).collect()
         model.weights[k] = expectation_maximisation(rows)
-    out = settle(table.with_answers(answers).mapInArrow(_scores(model), SCORES), "lm-scores")
-    table.drop()
+    out = table.with_answers(answers).mapInArrow(_scores(model), SCORES)
+    table.forget()
     return out

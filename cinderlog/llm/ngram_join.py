@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlog.llm import hashing
-from cinderlog.llm.common import id_and_text, row_key, settle
+from cinderlog.llm.common import id_and_text, row_key, settle, with_whole
 from cinderlog.llm.components import components
 
 WORDS = 5
@@ -139,7 +139,10 @@ def _sets(source):
         rows = [(len(s), *set_hash(s), bool(len(s)) and signatures(s)[1]) for s in shingle_sets(table)]
         columns = [pa.array(c) for c in zip(*rows, strict=True)]
         out = [table.column("doc_id"), table.column("key"), *columns]
-        yield from pa.table(out, names=["doc_id", "key", "n_shingles", "h1", "h2", "odd"]).combine_chunks().to_batches()
+        out = pa.table(out, names=["doc_id", "key", "n_shingles", "h1", "h2", "odd"])
+        if "whole" in table.column_names:
+            out = out.append_column("whole", table.column("whole"))
+        yield from out.combine_chunks().to_batches()
 
 
 def _signatures(source):
@@ -232,12 +235,14 @@ def _stars(hot: DataFrame) -> DataFrame:
 class Join:
     """The stages of one join over ``docs`` (doc_id long, text string)."""
 
-    def __init__(self, docs: DataFrame, small: int = SMALL) -> None:
-        self.small = small
-        docs = id_and_text(docs)
+    def __init__(self, docs: DataFrame, small: int = SMALL, carry: bool = False) -> None:
+        self.small, self.carry = small, carry
+        docs = id_and_text(docs, carry)
         key = row_key(F.col("doc_id"), F.col("text"))
-        self.texts = docs.select("doc_id", key.alias("key"), F.col("text").cast("binary").alias("text"))
-        self.sets = settle(self.texts.mapInArrow(_sets, SETS), "sets")
+        texts = docs.select("doc_id", key.alias("key"), F.col("text").cast("binary").alias("text"), *["whole"] * carry)
+        made = texts.mapInArrow(_sets, with_whole(SETS, texts))
+        self.sets = settle(made.withColumn("nth", F.monotonically_increasing_id()), "sets")
+        self.texts = texts.drop("whole")
         # A class is a set of shingles; its number is fixed once written.
         classes = self.sets.where("n_shingles > 0").groupBy("h1", "h2").agg(
             F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("odd").alias("odd"))
@@ -319,15 +324,24 @@ class Join:
         return met.select(F.col("c").alias("a"), F.col("c_b").alias("b")).distinct()
 
     def result(self) -> DataFrame:
+        """doc_id, n_shingles, component_id of each row, its number, and with ``carry`` whether it stays."""
         named = self.classes.join(self.labels(), "c", "left").withColumn("label", F.coalesce("label", "c"))
         lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        known = named.join(lowest, "label").select("h1", "h2", "component_id")
-        return self.sets.join(known, ["h1", "h2"], "left").select(
-            "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-        )
-
-
-def link_documents(docs: DataFrame, small: int = SMALL) -> DataFrame:
+        known = named.join(lowest, "label").select("h1", "h2", "component_id", "label")
+        component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+        rows = self.sets.drop("whole").join(known, ["h1", "h2"], "left")
+        if not self.carry:
+            return rows.select("doc_id", "n_shingles", component.alias("component_id"))
+        # Of each component one row stays: that of the smallest id, of several or none the first read.
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "nth"))
+        stay = rows.where("n_shingles > 0").groupBy("label").agg(first.alias("f")).select(F.col("f")["nth"].alias("nth"), F.lit(True).alias("first"))
+        found = rows.join(stay, "nth", "left").select(
+            "nth", "doc_id", "n_shingles", component.alias("component_id"),
+            ((F.col("n_shingles") == 0) | F.coalesce("first", F.lit(False))).alias("kept"))
+        return found.join(self.sets.select("nth", "whole"), "nth").drop("nth")
+
+
+def link_documents(docs: DataFrame, small: int = SMALL, carry: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     ``docs`` has doc_id and text; other columns are ignored. Words are ``[^\\x20\\x09-\\x0D]+``
@@ -338,8 +352,9 @@ def link_documents(docs: DataFrame, small: int = SMALL) -> DataFrame:
     A NULL or blank text has no shingles and its own id as component. Rows that
     repeat an id or a text are members like others. A NULL id never is a
     component_id unless no member has an id. An empty table gives an empty result.
-    ``small`` is a matter of cost alone.
+    ``small`` is a matter of cost alone. With ``carry`` come the input row as ``whole``
+    and ``kept``: true for one row of each component and for all without shingles.
     """
-    join = Join(docs, small)
+    join = Join(docs, small, carry)
     join.run()
     return join.result()

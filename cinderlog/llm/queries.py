@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.llm import (
-    direct_codes, line_chunks, lm_score, ngram_join, radix_dedup, spaced_seeds, suffix_dedup, token_counts,
+    direct_codes, line_chunks, lm_score, ngram_join, radix_dedup, spaced_seeds, suffix_dedup, token_counts, toxicity,
     word_table,
 )
 from cinderlog.llm.common import prepare
@@ -99,3 +99,8 @@ def op2(spark, sf_dir):
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@_query("op1_toxicity")
+def op1(spark, sf_dir):
+    return toxicity.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -21,10 +21,11 @@ HEAD = 64
 GROWTH = 8
 
 
-def exact_groups(docs: DataFrame, head: int = HEAD, growth: int = GROWTH) -> DataFrame:
+def exact_groups(docs: DataFrame, head: int = HEAD, growth: int = GROWTH, carry: bool = False) -> DataFrame:
     """One row per input row with its group of equal texts.
 
-    ``docs`` has doc_id and text; other columns are ignored.
+    ``docs`` has doc_id and text; other columns are ignored, or kept in
+    ``whole`` with ``carry``.
     Texts are equal when identical after all of ``[\\x20\\x09-\\x0D]`` is
     deleted. Of a group the row with the most code points, then the smallest
     doc_id, is kept.
@@ -35,16 +36,17 @@ def exact_groups(docs: DataFrame, head: int = HEAD, growth: int = GROWTH) -> Dat
     after all others. An empty table gives an empty result.
     """
     body = F.regexp_replace("text", BLANK + "+", "").cast("binary")
-    bare = id_and_text(docs).select("doc_id", F.char_length("text").alias("n_chars"), body.alias("rest")).withColumn(
+    docs = id_and_text(docs, carry)
+    bare = docs.select(*["whole"] * carry, "doc_id", F.char_length("text").alias("n_chars"), body.alias("rest")).withColumn(
         "head", F.substring("rest", 1, head)
     )
     heads = bare.groupBy("head").agg(F.count("*").alias("n"))
     first = bare.join(heads, "head").select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars",
         F.sha2("rest", 256).alias("text_sha256"), F.lit(0).cast("long").alias("group"),
-        (F.col("n") > 1).alias("open"), F.when(F.col("n") > 1, F.col("rest")).alias("rest"),
+        (F.col("n") > 1).alias("open"), F.when(F.col("n") > 1, F.col("rest")).alias("rest"), *["whole"] * carry,
     )
-    state = settle(first, "radix")
+    start = state = settle(first, "radix")
     closed = state.where(~F.col("open")).select("row", "doc_id", "n_chars", "text_sha256", F.col("row").alias("group"))
     width = head * growth
     open_rows = state.where("open")
@@ -53,7 +55,10 @@ def exact_groups(docs: DataFrame, head: int = HEAD, growth: int = GROWTH) -> Dat
         closed = closed.unionByName(state.where(~F.col("open")).select(closed.columns))
         open_rows = state.where("open")
         width *= growth
-    return _choose(closed)
+    chosen = _choose(closed)
+    if carry:
+        chosen = chosen.join(start.select("row", "whole"), "row")
+    return chosen.drop("row")
 
 
 def _split(rows: DataFrame, width: int) -> DataFrame:
@@ -71,6 +76,6 @@ def _choose(rows: DataFrame) -> DataFrame:
     rank = F.struct("n_chars", -F.col("doc_id"), -F.col("row"))
     best = rows.groupBy("group").agg(F.max(rank).alias("best"), F.count("*").alias("group_size"))
     return rows.join(best, "group").select(
-        "doc_id", (-F.col("best")["col2"]).alias("keep_id"), "group_size",
+        "row", "doc_id", (-F.col("best")["col2"]).alias("keep_id"), "group_size",
         (F.col("row") == -F.col("best")["col3"]).alias("kept"), "text_sha256",
     )

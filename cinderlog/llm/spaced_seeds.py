@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.llm import hashing
-from cinderlog.llm.common import id_and_text, settle
+from cinderlog.llm.common import id_and_text, settle, with_whole
 
 # Kept places of each mask, each seven of at most eleven words.
 MASKS = ((0, 1, 2, 3, 4, 5, 6), (0, 1, 3, 4, 7, 8, 10), (0, 2, 3, 5, 6, 9, 10), (0, 3, 4, 6, 7, 8, 9), (0, 1, 2, 6, 8, 9, 10))
@@ -98,10 +98,12 @@ def overlap(words: np.ndarray, item: np.ndarray, shift: int, window: int, share:
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW,
     share: float = SHARE, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, item_col: str = "item_id",
+    carry: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids, n_matched_words.
 
-    ``docs`` has doc_id and text; other columns are ignored; ``benchmark`` has ``item_col`` and
+    ``docs`` has doc_id and text; other columns are
+    ignored, or kept in ``whole`` with ``carry``; ``benchmark`` has ``item_col`` and
     text. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A document
     is contaminated by an item when some stretch of ``window`` words (or the whole
     item, if shorter) has at least ``share`` of its words equal at equal
@@ -112,12 +114,12 @@ def find_leaks(
     words and items with a NULL id or text are ignored. Rows that repeat an id
     are judged one by one.
     """
-    docs = id_and_text(docs)
+    docs = id_and_text(docs, carry)
     items = settle(
         benchmark.select(F.col(item_col).cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
         .where("id is not null and text is not null"), "seed-items",
     )
-    out = docs.select("doc_id", "text", F.array().cast("array<long>").alias("item_ids"), F.lit(0).alias("n"))
+    out = docs.select("*", F.array().cast("array<long>").alias("item_ids"), F.lit(0).alias("n"))
     blocks = _blocks(items, block_items, block_bytes)
     block = next(blocks, None)
     while block is not None:
@@ -128,7 +130,7 @@ def find_leaks(
             out = settle(out, "seed-leaks")
     return out.select(
         "doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"),
-        F.col("n").alias("n_matched_words"),
+        F.col("n").alias("n_matched_words"), *["whole"] * carry,
     )
 
 
@@ -165,9 +167,14 @@ def _scan(docs: DataFrame, block, window: int, share: float, last: bool) -> Data
                     items[r].append(seeds.ids[i])
                     most[r] = max(most[r], n)
             texts = pa.nulls(len(items), pa.binary()) if last else table.column("text")
-            out = [table.column("doc_id"), texts, pa.array(items, pa.list_(pa.int64())), pa.array(most, pa.int32())]
-            yield from pa.table(out, names=["doc_id", "text", "item_ids", "n"]).combine_chunks().to_batches()
+            out = pa.table({
+                "doc_id": table.column("doc_id"), "text": texts, "item_ids": pa.array(items, pa.list_(pa.int64())),
+                "n": pa.array(most, pa.int32()),
+            })
+            if "whole" in table.column_names:
+                out = out.append_column("whole", table.column("whole"))
+            yield from out.combine_chunks().to_batches()
 
     return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(
-        scan, "doc_id long, text binary, item_ids array<long>, n int"
+        scan, with_whole("doc_id long, text binary, item_ids array<long>, n int", docs)
     )

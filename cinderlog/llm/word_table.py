@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.llm.blocks import BlockTable, pack, rows_of, unpack
-from cinderlog.llm.common import settle, tokenizer_path
+from cinderlog.llm.common import tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 LOT = 20_000
@@ -144,7 +144,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str = VOCABULARY, digest: boo
     decoded_sha256.
 
     A NULL or empty text has no ids. Rows are encoded one by one, whether ids
-    repeat or are NULL. The result is written before it is returned.
+    repeat or are NULL.
     """
     spark = docs.sparkSession
     if library(vocabulary).decoder is not None:
@@ -162,6 +162,6 @@ def encode_and_decode(docs: DataFrame, vocabulary: str = VOCABULARY, digest: boo
     kind = "doc_id long, n_tokens long, " + (
         "ids_sha256 string, decoded_sha256 string" if digest else "ids array<long>, decoded string"
     )
-    out = settle(table.with_answers(answers).mapInArrow(_rows(read, digest), kind), "word-documents")
-    table.drop()
+    out = table.with_answers(answers).mapInArrow(_rows(read, digest), kind)
+    table.forget()
     return out
