@@ -52,6 +52,7 @@ ERR_ORDER = "end_time must be after start_time"
 ERR_RANGE = "time range must not exceed %d days"
 ERR_LEVEL = "level: must be one of debug, info, warn, error, fatal"
 ERR_KEYWORD = "keyword: must not exceed 256 characters"
+ERR_CURSOR = "cursor: invalid cursor"
 ERR_LIMIT = "limit: must be an integer between 1 and 1000"
 
 # Columns of a log row as a search returns them.

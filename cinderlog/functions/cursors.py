@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from cinderlog.fixed import ERR_CURSOR
 from cinderlog.functions.keys import utf8_text
 from cinderlog.functions.times import format_rfc3339, parse_rfc3339
 
@@ -34,7 +35,7 @@ def decode(token: str) -> Cursor:
             raise ValueError("not base64url")
         raw = base64.urlsafe_b64decode(token + "=" * (-len(token) % 4))
     except ValueError as e:
-        raise ValueError(f"cursor: invalid cursor encoding: {e}") from e
+        raise ValueError(ERR_CURSOR) from e
     try:
         doc = json.loads(raw)
         ts = dt.datetime.fromisoformat(doc["ts"])
@@ -42,7 +43,7 @@ def decode(token: str) -> Cursor:
             raise ValueError("time zone missing")
         return Cursor(ts.astimezone(dt.timezone.utc).replace(tzinfo=None), int(doc["id"]))
     except (ValueError, KeyError, TypeError) as e:
-        raise ValueError(f"cursor: invalid cursor structure: {e}") from e
+        raise ValueError(ERR_CURSOR) from e
 
 
 def encode_column(ts: Column, row_id: Column) -> Column:

@@ -60,6 +60,14 @@ def _typed(event: Column) -> Column:
     )
 
 
+def _beyond_double(text: Column) -> Column:
+    """Whether a number of a JSON text exceeds 64-bit floats; only texts that may have one are cut up."""
+    outside = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""')
+    numbers = F.regexp_extract_all(outside, F.lit(r"-?[0-9][0-9.eE+-]*"), F.lit(0))
+    huge = F.exists(numbers, lambda n: F.coalesce(F.abs(n.try_cast("double")) == float("inf"), F.lit(False)))
+    return F.when(text.rlike(r"[0-9][eE]\+?[0-9]{3}|[0-9]{309}"), huge).otherwise(F.lit(False))
+
+
 def decode(payloads: DataFrame, max_bytes: int = fixed.MAX_PAYLOAD_BYTES) -> DataFrame:
     """One row per batch with its ``events`` array, or the problem that stops it.
 
@@ -69,11 +77,14 @@ def decode(payloads: DataFrame, max_bytes: int = fixed.MAX_PAYLOAD_BYTES) -> Dat
     """
     guarded = size_guard(payloads, max_bytes)
     # A top-level null is an empty request.
-    text = F.when(F.trim("payload") == "null", F.lit("{}")).otherwise(utf8_text(F.col("payload")))
-    parsed = guarded.withColumn("_doc", F.from_json(text, WIRE_BATCH_DDL, {"mode": "PERMISSIVE"})).drop("payload")
+    raw = utf8_text(F.col("payload"))
+    text = F.when(F.btrim(raw, F.lit(" \t\n\r")) == "null", F.lit("{}")).otherwise(raw)
+    parsed = guarded.withColumns(
+        {"_doc": F.from_json(text, WIRE_BATCH_DDL, {"mode": "PERMISSIVE"}), "_huge": _beyond_double(raw)}
+    ).drop("payload")
     doc = F.col("_doc")
     events = F.coalesce(doc["events"], F.array())
-    bad = doc.isNull() | doc["_corrupt_record"].isNotNull() | ~F.forall(events, _well_typed)
+    bad = F.col("_huge") | doc.isNull() | doc["_corrupt_record"].isNotNull() | ~F.forall(events, _well_typed)
     checked = parsed.withColumn(
         "problem", F.coalesce("problem", F.when(F.coalesce(bad, F.lit(True)), F.lit(fixed.PROBLEM_JSON)))
     )

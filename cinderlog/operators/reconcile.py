@@ -11,7 +11,8 @@ def compare_events(expected: DataFrame, stored: DataFrame, keys: list[str], fiel
     Both sides go through one aggregation over their union: copies collapse
     before the shuffle and no join has to match repeated keys.
     """
-    fingerprint = F.xxhash64(*fields)
+    # The hash skips NULLs, so which fields are NULL is part of it.
+    fingerprint = F.xxhash64(*fields, *[F.col(f).isNull() for f in fields])
     sides = expected.select(*keys, F.lit(1).alias("_e"), F.lit(0).alias("_s"), fingerprint.alias("_h")).unionByName(
         stored.select(*keys, F.lit(0).alias("_e"), F.lit(1).alias("_s"), fingerprint.alias("_h"))
     )

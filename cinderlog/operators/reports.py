@@ -40,6 +40,8 @@ def minute_gaps(logs: DataFrame, start, end) -> DataFrame:
     inside = (F.col("timestamp") >= first.cast("timestamp_ntz")) & (
         F.col("timestamp") < last.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(1))
     )
+    if "event_date" in logs.columns:
+        inside &= (F.col("event_date") >= F.to_date(first)) & (F.col("event_date") <= F.to_date(last))
     counts = logs.where(inside).groupBy(minute.alias("minute")).agg(F.count("id").alias("n"))
     spine = logs.sparkSession.range(1).select(
         F.explode(

@@ -27,6 +27,5 @@ def severity_facets(counts: DataFrame) -> DataFrame:
     domain = counts.sparkSession.range(1).select(
         F.posexplode(F.array(*map(F.lit, SEVERITIES))).alias("ordinal", "severity")
     )
-    # At most one row per severity on either side.
-    joined = domain.join(F.broadcast(found), "severity", "left")
+    joined = domain.join(found, "severity", "left")
     return joined.select("severity", "ordinal", F.coalesce("n", F.lit(0)).cast("bigint").alias("count"))

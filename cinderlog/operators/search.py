@@ -59,7 +59,7 @@ def query_from_text(params: Mapping[str, str], max_range_days: int = fixed.MAX_R
         level=given.get("level"),
         keyword=given.get("keyword"),
         cursor=given.get("cursor"),
-        limit=int(limit) if limit.lstrip("+-").isdigit() and limit.isascii() else 0,
+        limit=int(limit) if re.fullmatch(r"[+-]?[0-9]+", limit) else 0,
         max_range_days=max_range_days,
     )
 
@@ -92,7 +92,7 @@ def filtered(logs: DataFrame, q: LogQuery) -> DataFrame:
     """All filters of a query, day bounds included when the table is partitioned by day."""
     rows = logs.where(in_time_range(q.start, q.end))
     if "event_date" in logs.columns:
-        rows = rows.where(in_days(q.start, q.end))
+        rows = rows.where(in_days(max(q.start, q.cursor.timestamp) if q.cursor else q.start, q.end))
     if q.service_name:
         rows = rows.where(F.col("service_name") == q.service_name)
     if q.level:
@@ -203,7 +203,7 @@ def check_saved_queries(saved: DataFrame, max_range_days: int = fixed.MAX_RANGE_
     blank = {c: F.coalesce(F.col(c), F.lit("")) for c in saved.columns if c != "query_id"}
     start, end = parse_rfc3339(blank["start_time"]), parse_rfc3339(blank["end_time"])
     span = F.unix_micros(end) - F.unix_micros(start)
-    limit = F.expr("try_cast(`limit` as int)")
+    limit = F.when(F.col("limit").rlike(r"^[+-]?[0-9]+\z"), F.expr("try_cast(`limit` as int)"))
     error = (
         F.when((blank["start_time"] == "") | (blank["end_time"] == ""), F.lit(fixed.ERR_TIMES_REQUIRED))
         .when(start.isNull(), F.lit(fixed.ERR_START_FORMAT))
@@ -214,7 +214,7 @@ def check_saved_queries(saved: DataFrame, max_range_days: int = fixed.MAX_RANGE_
         .when(F.octet_length(blank["keyword"]) > fixed.MAX_KEYWORD_BYTES, F.lit(fixed.ERR_KEYWORD))
         .when(
             (blank["cursor"] != "") & cursors.decode_column(blank["cursor"]).isNull(),
-            F.lit("cursor: invalid cursor"),
+            F.lit(fixed.ERR_CURSOR),
         )
         .when(
             (blank["limit"] != "") & ~F.coalesce(limit.between(1, fixed.MAX_PAGE), F.lit(False)),

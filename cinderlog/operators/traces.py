@@ -29,11 +29,16 @@ def trace_tree(spans: DataFrame) -> DataFrame:
 
     Each round doubles the distance a span has looked up, so a tree of depth d
     takes log2(d) joins. Spans that reached their root leave the open set. A
-    span below a missing parent, or in a loop, gets no root and no depth.
+    span below a missing parent, or in a loop, gets no root and no depth. A span that
+    was delivered several times is looked up once, with its smallest parent, and
+    all its rows get the answer; rows without ids get none.
     """
+    once = spans.where("trace_id is not null and span_id is not null").groupBy("trace_id", "span_id").agg(
+        F.min(F.coalesce("parent_span_id", F.lit(""))).alias("parent_span_id")
+    )
     root = F.coalesce(F.col("parent_span_id"), F.lit("")) == ""
     state = durable(
-        spans.select(
+        once.select(
             "trace_id",
             "span_id",
             F.when(root, F.col("span_id")).otherwise(F.col("parent_span_id")).alias("up"),
@@ -68,7 +73,7 @@ def trace_tree(spans: DataFrame) -> DataFrame:
     found = state.select(
         "trace_id", "span_id", F.when(rooted, F.col("up")).alias("root_span_id"), F.when(rooted, F.col("dist")).alias("depth")
     )
-    return spans.join(found, ["trace_id", "span_id"])
+    return spans.join(found, ["trace_id", "span_id"], "left")
 
 
 def _micros(c: str):

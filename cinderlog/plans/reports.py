@@ -43,12 +43,11 @@ def merge_hourly_counts(spark, sf_dir):
     oracle.logs(
         """SELECT d.severity, d.ordinal, count(l.id) AS count
           FROM (VALUES ('debug', 0), ('info', 1), ('warn', 2), ('error', 3), ('fatal', 4)) d(severity, ordinal)
-          LEFT JOIN (SELECT * FROM logs WHERE severity <> 'warn') l USING (severity) GROUP BY ALL"""
+          LEFT JOIN logs l USING (severity) GROUP BY ALL"""
     ),
 )
 def severity_facets(spark, sf_dir):
-    """Facets from the rollup; one severity has no rows and still shows."""
-    return rollup.severity_facets(rollup.hourly_counts(_logs(spark, sf_dir).where("severity <> 'warn'")))
+    return rollup.severity_facets(rollup.hourly_counts(_logs(spark, sf_dir)))
 
 
 @query(
@@ -80,11 +79,13 @@ def minute_gaps(spark, sf_dir):
 
 @query(
     "schema_violation_count",
-    oracle.logs("SELECT count(*) FILTER (WHERE trace_id IS NULL OR body IS NULL) AS violations FROM logs"),
+    oracle.logs("""SELECT count(*) FILTER (WHERE service_name IS NULL OR body IS NULL) AS violations
+      FROM (SELECT body, CASE WHEN id % 19 <> 4 THEN service_name END AS service_name FROM logs)"""),
 )
 def schema_violation_count(spark, sf_dir):
-    """Rows without service or body; the trace id stands in as a service that is often missing."""
-    return reports.schema_violations(_logs(spark, sf_dir).withColumn("service_name", F.col("trace_id")))
+    """Rows without service or body, where some events have lost their service."""
+    lost = F.when(F.col("id") % 19 != 4, F.col("service_name"))
+    return reports.schema_violations(_logs(spark, sf_dir).withColumn("service_name", lost))
 
 
 @query(
@@ -110,11 +111,10 @@ def partition_stats(spark, sf_dir):
     "partition_coverage",
     oracle.logs("""SELECT cast(d AS date) AS missing_date
       FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-20', TIMESTAMP '2024-02-10', INTERVAL 1 DAY)) AS d)
-      WHERE cast(d AS date) NOT IN (SELECT event_date FROM logs WHERE severity = 'fatal')"""),
+      WHERE cast(d AS date) NOT IN (SELECT event_date FROM logs)"""),
 )
 def partition_coverage(spark, sf_dir):
-    fatal = _logs(spark, sf_dir).where("severity = 'fatal'")
-    return reports.partition_coverage(fatal, "2024-01-20", "2024-02-10")
+    return reports.partition_coverage(_logs(spark, sf_dir), "2024-01-20", "2024-02-10")
 
 
 @query(
@@ -133,7 +133,7 @@ def ingest_lag(spark, sf_dir):
 def _requests(spark, sf_dir):
     """Completed requests: status and duration are read from the attributes."""
     attrs = attributes.as_variant(F.col("log_attributes"))
-    return tables.event_logs(spark, sf_dir, heavy=True).select(
+    return tables.event_logs(spark, sf_dir).select(
         "service_name",
         "timestamp",
         attributes.attr(attrs, "http.status_code", "int").alias("status"),

@@ -24,12 +24,12 @@ BETWEEN = "\"timestamp\" BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '
 AS_OF = dt.datetime(2024, 1, 31)
 
 
-def _filter(name, where, condition, heavy=False):
+def _filter(name, where, condition):
     """A filter query over all log rows: ``where`` in SQL, ``condition`` as a column."""
 
     @query(name, oracle.logs(f"SELECT {COLS} FROM logs WHERE {where}"))
     def job(spark, sf_dir):
-        return tables.event_logs(spark, sf_dir, heavy).where(condition()).select(*LOG_COLUMNS)
+        return tables.event_logs(spark, sf_dir).where(condition()).select(*LOG_COLUMNS)
 
     return job
 
@@ -77,7 +77,7 @@ def _attrs(name="log_attributes"):
 
 
 _filter("filter_time_range", BETWEEN, lambda: search.in_time_range(START, END))
-_filter("filter_service", "service_name = 'payment-service'", lambda: F.col("service_name") == "payment-service")
+_filter("filter_service", "service_name = 'ledger-api'", lambda: F.col("service_name") == "ledger-api")
 _filter("filter_severity", "severity = 'error'", lambda: F.col("severity") == "error")
 _filter(
     "filter_min_severity", "severity IN ('warn', 'error', 'fatal')",
@@ -89,41 +89,37 @@ _filter(
 )
 _filter(
     "filter_attr_contains",
-    "json_extract_string(log_attributes, '$.user.role') = 'admin' "
+    "json_extract_string(log_attributes, '$.user.role') = 'editor' "
     "AND cast(json_extract(log_attributes, '$.\"http.status_code\"') AS int) = 500 "
-    "AND json_extract_string(log_attributes, '$.tags[0]') = 'vip'",
+    "AND json_extract_string(log_attributes, '$.tags[0]') = 'gold'",
     lambda: attributes.contains_text(
-        F.col("log_attributes"), {"user": {"role": "admin"}, "http.status_code": 500, "tags": ["vip"]}
+        F.col("log_attributes"), {"user": {"role": "editor"}, "http.status_code": 500, "tags": ["gold"]}
     ),
-    heavy=True,
 )
 _filter(
     "filter_resource_contains",
     "json_extract_string(resource_attributes, '$.\"host.name\"') = 'host-3'",
     lambda: attributes.contains_text(F.col("resource_attributes"), {"host.name": "host-3"}),
-    heavy=True,
 )
 _filter(
     "filter_attr_path",
-    "json_extract_string(log_attributes, '$.user.role') = 'admin'",
-    lambda: attributes.attr_text(_attrs(), ["user", "role"]) == "admin",
-    heavy=True,
+    "json_extract_string(log_attributes, '$.user.role') = 'editor'",
+    lambda: attributes.attr_text(_attrs(), ["user", "role"]) == "editor",
 )
 _filter(
     "filter_attr_exists",
     "list_contains(json_keys(log_attributes), 'note')",
     lambda: attributes.has_key(_attrs(), "note"),
-    heavy=True,
 )
 _filter(
     "filter_errors_subset",
-    f"severity = 'error' AND service_name = 'auth-service' AND {BETWEEN}",
-    lambda: (F.col("severity") == "error") & (F.col("service_name") == "auth-service")
+    f"severity = 'error' AND service_name = 'gate-api' AND {BETWEEN}",
+    lambda: (F.col("severity") == "error") & (F.col("service_name") == "gate-api")
     & search.in_time_range(START, END),
 )
 _filter(
-    "filter_trace_null", "trace_id IS NULL AND service_name = 'auth-service'",
-    lambda: F.col("trace_id").isNull() & (F.col("service_name") == "auth-service"),
+    "filter_trace_null", "trace_id IS NULL AND service_name = 'gate-api'",
+    lambda: F.col("trace_id").isNull() & (F.col("service_name") == "gate-api"),
 )
 _filter(
     "filter_recent_received", "received_at > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 600 MINUTE",
@@ -154,7 +150,7 @@ def filter_trace_lookup(spark, sf_dir):
     oracle.logs(
         f"""SELECT {COLS}, json_extract_string(log_attributes, '$.user_id') AS user_attr,
           json_extract_string(log_attributes, '$.user.role') AS user_role
-          FROM logs WHERE json_extract_string(log_attributes, '$.user.role') = 'admin'"""
+          FROM logs WHERE json_extract_string(log_attributes, '$.user.role') = 'editor'"""
     ),
 )
 def promote_attr_column(spark, sf_dir):
@@ -168,7 +164,7 @@ def promote_attr_column(spark, sf_dir):
             "user_role": attributes.attr_text(attrs, ["user", "role"]),
         }
     ).write.parquet(path)
-    return spark.read.parquet(path).where(F.col("user_role") == "admin")
+    return spark.read.parquet(path).where(F.col("user_role") == "editor")
 
 
 @query(
@@ -193,12 +189,12 @@ def filter_keyword_simple(spark, sf_dir):
 @query(
     "page_logs",
     oracle.logs(
-        f"""SELECT {COLS} FROM logs WHERE {BETWEEN} AND service_name = 'payment-service' AND severity = 'error'
+        f"""SELECT {COLS} FROM logs WHERE {BETWEEN} AND service_name = 'ledger-api' AND severity = 'error'
           ORDER BY "timestamp", id LIMIT 50"""
     ),
 )
 def page_logs(spark, sf_dir):
-    q = search.LogQuery(START, END, service_name="payment-service", level="error", limit=50)
+    q = search.LogQuery(START, END, service_name="ledger-api", level="error", limit=50)
     return search.page(tables.event_logs(spark, sf_dir), q)
 
 
@@ -253,12 +249,12 @@ def cursor_codec(spark, sf_dir):
         f"""SELECT page_no, count(*) AS rows, CASE WHEN count(*) = 64 THEN arg_max(token, pos) END AS next_cursor FROM (
           SELECT pos, pos // 64 + 1 AS page_no, {_TOKEN} AS token FROM (
             SELECT id, ts, row_number() OVER (ORDER BY ts, id) - 1 AS pos FROM (
-              SELECT id, date_trunc('hour', "timestamp") AS ts FROM logs WHERE severity <> 'debug')))
+              SELECT id, date_trunc('hour', "timestamp") AS ts FROM logs)))
           GROUP BY page_no"""
     ),
 )
 def page_index(spark, sf_dir):
-    logs = tables.event_logs(spark, sf_dir).where(F.col("severity") != "debug")
+    logs = tables.event_logs(spark, sf_dir)
     tied = logs.withColumn("timestamp", F.date_trunc("hour", "timestamp").cast("timestamp_ntz"))
     return search.page_index(tied, 64)
 
@@ -301,7 +297,7 @@ def preset_window_filter(spark, sf_dir):
         WHEN event_type NOT IN ('error', 'signup') THEN 'level: must be one of debug, info, warn, error, fatal'
         WHEN event_id % 23 = 0 THEN 'keyword: must not exceed 256 characters'
         WHEN event_id % 29 = 0 THEN 'cursor: invalid cursor'
-        WHEN event_id % 5 = 0 OR event_id % 5 = 1 OR event_id % 5 = 2 THEN 'limit: must be an integer between 1 and 1000'
+        WHEN event_id % 31 = 0 OR event_id % 5 IN (0, 1, 2) THEN 'limit: must be an integer between 1 and 1000'
       END AS error FROM events""",
 )
 def validate_query_params(spark, sf_dir):
@@ -317,7 +313,8 @@ def validate_query_params(spark, sf_dir):
         "case when event_id % 23 = 0 then repeat('é', 129) else 'timeout' end as keyword",
         "case when event_id % 29 = 0 then 'not*a*cursor' when event_id % 3 = 0 then '' "
         "else 'eyJ0cyI6IjIwMjQtMDEtMDFUMDA6MDA6MDBaIiwiaWQiOjF9' end as cursor",
-        "case event_id % 5 when 0 then '0' when 1 then '1001' when 2 then 'ten' when 3 then '' else '1000' end as `limit`",
+        "case when event_id % 31 = 0 then ' 10 ' when event_id % 5 = 0 then '0' when event_id % 5 = 1 then '1001' "
+        "when event_id % 5 = 2 then 'ten' when event_id % 5 = 3 then '' else '1000' end as `limit`",
     )
     return search.check_saved_queries(saved)
 

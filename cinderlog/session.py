@@ -83,16 +83,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/cinderlog/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df):
-    """Shuffle rows over all cores if the input is a few unsplittable files.
-
-    A large table has more splits than cores and is left alone. Filters and
-    column pruning still pass below the exchange.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def durable(df):
     """Cut the lineage of ``df`` with a reliable checkpoint."""
     shared_dir(df.sparkSession)

@@ -12,11 +12,9 @@ import gzip
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from cinderlog.session import spread
-
 SERVICE = (
-    "case user_id % 5 when 0 then 'payment-service' when 1 then 'checkout-service' "
-    "when 2 then 'inventory-service' when 3 then 'auth-service' else 'notification-service' end"
+    "case user_id % 5 when 0 then 'ledger-api' when 1 then 'basket-api' "
+    "when 2 then 'stock-api' when 3 then 'gate-api' else 'courier-api' end"
 )
 SEVERITY = (
     "case event_type when 'view' then 'debug' when 'click' then 'info' when 'signup' then 'warn' "
@@ -32,8 +30,8 @@ LOG_ATTRIBUTES = (
     "'{{\"duration_ms\":' || cast(cast(round(value * 100) as bigint) as string) || ',\"http.status_code\":' || "
     "cast(200 + 100 * (event_id % 4) as string) || ',\"k\":' || {k} || "
     "case when event_id % 11 = 0 then ',\"note\":null' else '' end || ',\"tags\":[\"' || "
-    "case when event_id % 3 = 0 then 'vip' else 'std' end || '\",\"beta\"],\"user\":{{\"id\":\"u_' || "
-    "cast(user_id as string) || '\",\"role\":\"' || case when event_id % 7 = 0 then 'admin' else 'member' end || "
+    "case when event_id % 3 = 0 then 'gold' else 'std' end || '\",\"trial\"],\"user\":{{\"id\":\"u_' || "
+    "cast(user_id as string) || '\",\"role\":\"' || case when event_id % 7 = 0 then 'editor' else 'reader' end || "
     "'\"}},\"user_id\":\"u_' || cast(user_id as string) || '\"}}'"
 )
 RESOURCE_ATTRIBUTES = (
@@ -79,11 +77,11 @@ PAYLOAD = (
 )
 
 # Attribute objects for the sanitiser, by event_id % 64.
-DEEP = "{\"a\":{\"b\":{\"c\":{\"d\":{\"e\":"
+DEEP = "{\"p\":{\"q\":{\"r\":{\"s\":{\"t\":"
 RAW_ATTRIBUTES = (
     "case event_id % 64 "
-    "when 1 then '{{\"1leading\":3,\"emoji😀here\":4,\"has spaces\":1,\"has-dashes\":' || {id} || '}}' "
-    "when 2 then '" + DEEP.replace("{", "{{") + "{{\"f\":' || {id} || '}}}}}}}}}}}}' "
+    "when 1 then '{{\"9lives\":3,\"wave🌊top\":4,\"two words\":1,\"semi;colon\":' || {id} || '}}' "
+    "when 2 then '" + DEEP.replace("{", "{{") + "{{\"u\":' || {id} || '}}}}}}}}}}}}' "
     "when 3 then '" + DEEP.replace("{", "{{") + "' || {id} || '}}}}}}}}}}' "
     "when 4 then '{{\"host.name\":\"y\",\"ok\":' || {id} || ',\"process.pid\":1,\"service.name\":\"x\"}}' "
     "when 5 then '{{\"payload\":{{\"service.name\":' || {id} || '}}}}' "
@@ -97,16 +95,14 @@ RAW_ATTRIBUTES = (
 ).format(id=TEXT_ID)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
-    """One given table; ``heavy`` work per row is spread over all cores."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if heavy else rows
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_logs(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as log rows; attributes are JSON text."""
     trace = "md5(cast(user_id as string) || '-' || date_format(ts, 'yyyyMMddHH'))"
-    return table(spark, sf_dir, "events", heavy).selectExpr(
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id as id",
         "ts as timestamp",
         "ts + make_dt_interval(0, 0, 0, event_id % 30) as received_at",
@@ -125,7 +121,7 @@ def event_logs(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFra
 
 def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as log rows for text search."""
-    return table(spark, sf_dir, "documents", heavy=True).selectExpr(
+    return table(spark, sf_dir, "documents").selectExpr(
         "doc_id as id",
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, doc_id % 20160) as timestamp",
         "source as service_name",
@@ -168,7 +164,7 @@ def zipped_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One attribute object per event as the sanitiser's input."""
-    rows = table(spark, sf_dir, "events", heavy=True).selectExpr(
+    rows = table(spark, sf_dir, "events").selectExpr(
         f"{BATCH_ID} as batch_id", "event_id as event_index", f"{RAW_ATTRIBUTES} as log_attributes"
     )
     return rows.withColumn("log_attributes", F.from_json("log_attributes", "map<string, variant>"))
@@ -194,12 +190,12 @@ def producer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         field("ok", "bool", bool_val="event_id % 2 = 0"),
         field("elapsed", "duration", int64_val="cast(round(value * 100) as bigint) * 10000"),
         field("error", "error", string_val="'quote \" slash \\\\ line\\n end'"),
-        field("tags", "string_slice", json_val="'[\"vip\",\"beta\"]'"),
+        field("tags", "string_slice", json_val="'[\"gold\",\"trial\"]'"),
         field("user", "object", json_val="'{\"id\":\"u_' || cast(user_id as string) || '\"}'"),
         field("blob", "any", json_val="'not json {'"),
         field("dup", "int64", int64_val="event_id"),
     ]
-    return table(spark, sf_dir, "events", heavy=True).selectExpr(
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id",
         f"{SERVICE} as producer",
         "ts as timestamp",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -135,5 +138,11 @@ def poll(logs: DataFrame, q: search.LogQuery) -> tuple[list, str | None]:
 
 
 def dedup_stream(events: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
-    """Drop repeated deliveries that arrive within ``delay`` of each other."""
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+    """Drop repeated deliveries that arrive within ``delay`` of each other.
+
+    State holds one key and its expiry per event of the last ``delay``. A row with a
+    NULL in its key has no key and passes.
+    """
+    known = reduce(and_, (F.col(k).isNotNull() for k in keys))
+    timed = events.withWatermark(ts, delay)
+    return timed.where(known).dropDuplicatesWithinWatermark(keys).unionByName(timed.where(~known))

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from cinderlog import fixed
 from cinderlog.operators import ingest
 from cinderlog.sources.payloads import inflate
 
@@ -169,3 +170,12 @@ def test_invalid_utf8_does_not_stop_the_job(spark):
     raw = rows.select("batch_id", F.col("body").cast("string").alias("payload")).where("batch_id in ('b', 'd')")
     problems = {r["batch_id"]: r["problem"] for r in ingest.check(ingest.decode(raw)).collect()}
     assert problems == {"b": None, "d": "invalid-json"}
+
+
+def test_json_edges_of_payloads(spark):
+    """Numbers beyond 64-bit floats are no JSON; white space around null is."""
+    event = '{"events":[{"timestamp":"2024-01-01T00:00:00Z","severity":"info","body":"%s","service_name":"s","log_attributes":{"n":%s}}]}'
+    cases = [event % ("b", "1e400"), event % ("b", "-1E+999"), event % ("1e400 \\\" 1e999", "1e300"), event % ("b", "9" * 400), "null\n", " null\t"]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(cases)], "batch_id int, payload string")
+    got = {r["batch_id"]: r["problem"] for r in ingest.decode(rows).collect()}
+    assert [got[i] for i in range(6)] == [fixed.PROBLEM_JSON, fixed.PROBLEM_JSON, None, fixed.PROBLEM_JSON, None, None]

@@ -25,8 +25,8 @@ T0 = dt.datetime(2024, 1, 1)
         ({"end": T0 + dt.timedelta(days=8)}, "exceed 7 days"),
         ({"level": "VERBOSE"}, "level"),
         ({"keyword": "é" * 129}, "keyword"),
-        ({"cursor": "not*base64"}, "invalid cursor encoding"),
-        ({"cursor": "e30"}, "invalid cursor structure"),
+        ({"cursor": "not*base64"}, "invalid cursor"),
+        ({"cursor": "e30"}, "invalid cursor"),
         ({"limit": 0}, "limit"),
         ({"limit": 1001}, "limit"),
         ({"limit": "ten"}, "limit"),
@@ -103,8 +103,8 @@ def test_keyword(spark, keyword, hit):
 
 
 def test_hyphenated_marker_is_found(spark):
-    frame = logs(spark, [(1, T0, "verification event e2e-test-17359"), (2, T0, "verification event e2e-test-17360")])
-    page, _ = search.fetch(frame, LogQuery(T0, T0, keyword="e2e-test-17359"))
+    frame = logs(spark, [(1, T0, "planted line canary-lot-4471"), (2, T0, "planted line canary-lot-4472")])
+    page, _ = search.fetch(frame, LogQuery(T0, T0, keyword="canary-lot-4471"))
     assert [r["id"] for r in page] == [1]
 
 
@@ -118,16 +118,16 @@ def test_plan_of_a_page(spark, tmp_path, sf_dir):
     source = tables.event_logs(spark, sf_dir).select(*LOG_COLUMNS)
     sinks.append_logs(source, str(tmp_path / "t"), "a", with_terms=False)
     table = sinks.read_logs(spark, str(tmp_path / "t"))
-    q = LogQuery(dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 4), service_name="auth-service", level="error",
+    q = LogQuery(dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 4), service_name="gate-api", level="error",
                  cursor=Cursor(dt.datetime(2024, 1, 3, 1), 7))
     text = plan(search.page(table, q))
     assert "TakeOrderedAndProject" in text and "Exchange" not in text
     assert "PartitionFilters: [isnotnull(event_date" in text and "event_date#" in text
-    for pushed in ("EqualTo(service_name,auth-service)", "EqualTo(severity,error)", "GreaterThanOrEqual(timestamp"):
+    for pushed in ("EqualTo(service_name,gate-api)", "EqualTo(severity,error)", "GreaterThanOrEqual(timestamp"):
         assert pushed in text
     from cinderlog.functions import attributes
 
-    hit = table.where(attributes.contains(F.col("log_attributes"), {"user": {"role": "admin"}})).select("id")
+    hit = table.where(attributes.contains(F.col("log_attributes"), {"user": {"role": "editor"}})).select("id")
     text = plan(hit)
     assert "EqualTo(log_attributes" in text, text  # the shredded field is filtered in the scan
 

@@ -27,7 +27,7 @@ def test_promoted_column_and_terms(spark, sf_dir, tmp_path):
     path = str(tmp_path / "t")
     write(spark, sf_dir, path, promote={"role": ["user", "role"]}, with_terms=True)
     stored = sinks.read_logs(spark, path, "role string, body_terms array<string>")
-    assert stored.where("role = 'admin'").count() == 143
+    assert stored.where("role = 'editor'").count() == 143
     assert stored.where(F.array_contains("body_terms", "by")).count() == 0
 
 
@@ -126,3 +126,28 @@ def test_compaction_survives_a_crash(spark, sf_dir, tmp_path):
     assert [i for i in got if i != -1] == want and len(got) - len(want) <= 1
     assert sorted(r["load"] for r in sinks.read_logs(spark, path).where(f"event_date = '{day}'").select("load").distinct().collect())[0] == "again"
 
+
+
+def test_dedup_keeps_rows_without_a_key(spark):
+    from cinderlog.operators.dedup import dedup
+
+    rows = spark.createDataFrame([(None, "x", 1), (None, "y", 2), (1, "a", 2), (1, "b", 1)], "id int, body string, n int")
+    assert sorted(r["body"] for r in dedup(rows, ["id"], ["n"]).collect()) == ["b", "x", "y"]
+
+
+def test_reconcile_sees_moved_nulls(spark):
+    from cinderlog.operators.reconcile import compare_events
+
+    ddl = "id int, a string, b string"
+    want, have = spark.createDataFrame([(1, None, "x"), (2, None, "x")], ddl), spark.createDataFrame([(1, "x", None), (2, None, "x")], ddl)
+    got = {r["id"]: r["altered"] for r in compare_events(want, have, ["id"], ["a", "b"]).collect()}
+    assert got == {1: True, 2: False}
+
+
+def test_trace_tree_keeps_repeated_spans(spark):
+    from cinderlog.operators.traces import trace_tree
+
+    rows = [("t", "a", ""), ("t", "b", "a"), ("t", "b", "a"), ("t", "c", "b"), ("t", "a", None), (None, "z", "")]
+    got = trace_tree(spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string")).collect()
+    assert len(got) == len(rows)
+    assert {(r["span_id"], r["depth"]) for r in got} == {("a", 0), ("b", 1), ("c", 2), ("z", None)}
