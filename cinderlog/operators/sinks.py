@@ -1,12 +1,18 @@
 """Day-partitioned log table: append, compaction and reading back.
 
-Layout: ``<path>/event_date=.../load=.../*.parquet``. A load id names one batch
-of rows; writing the same id again replaces what it wrote before, which makes a
-replayed micro-batch harmless.
+Layout: ``<path>/event_date=.../load=.../*.parquet`` and ``<path>/_loads/<load>``,
+one small JSON file for each finished load. A load id names one batch of rows. Its
+rows are visible once its file is there, all days at once; a load that broke off
+isn't seen, and the next try writes over it. A load that has its file is never
+written again, so a replay changes nothing, also after its rows were compacted
+into another load.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cinderlog.functions import attributes, text
@@ -14,6 +20,8 @@ from cinderlog.schema import LOG_DDL
 
 # Sort order inside files; min/max statistics then skip row groups.
 CLUSTER = ["service_name", "severity", "_hour", "timestamp"]
+# Loads that a reader spells out in its plan; with more it joins the ledger.
+FEW_LOADS = 1000
 
 
 def table_rows(
@@ -59,9 +67,16 @@ def append_logs(
     Micro-batches should pass ``by_service=False``: one file per day, which
     ``compact_day`` later sorts out by service.
     """
+    if _is_committed(logs.sparkSession, path, load):
+        return
     rows = table_rows(logs, promote, with_terms).withColumn("load", F.lit(load))
+    _write(_clustered(rows, by_service), path)
+    _commit(logs.sparkSession, path, load)
+
+
+def _write(rows: DataFrame, path: str) -> None:
     (
-        _clustered(rows, by_service).write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         # Lets a trace lookup skip row groups; the adaptive filter shrinks to fit.
         .option("parquet.bloom.filter.enabled#trace_id", "true")
@@ -71,37 +86,80 @@ def append_logs(
     )
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path`` and a constructor of its paths."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _is_committed(spark: SparkSession, path: str, load: str) -> bool:
+    fs, at = _files(spark, path)
+    return fs.exists(at(f"{path}/_loads/{load}"))
+
+
+def _commit(spark: SparkSession, path: str, load: str, day: str | None = None, replaces: list[str] | None = None) -> None:
+    """Make a load visible: its file appears by one rename."""
+    fs, at = _files(spark, path)
+    draft = at(f"{path}/_loads/.{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(bytearray(json.dumps({"load": load, "day": day, "replaces": replaces or []}).encode()))
+    out.close()
+    if not fs.rename(draft, at(f"{path}/_loads/{load}")):
+        raise OSError(f"could not commit load {load} of {path}")
+
+
+def _ledger(spark: SparkSession, path: str) -> DataFrame:
+    """(load, day, replaces) of the finished loads."""
+    fs, at = _files(spark, path)
+    fs.mkdirs(at(f"{path}/_loads"))
+    return spark.read.schema("load string, day date, replaces array<string>").json(f"{path}/_loads")
+
+
 def read_logs(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
     """Log table as written by ``append_logs``; ``extra`` lists promoted columns as DDL."""
     ddl = LOG_DDL + (f", {extra}" if extra else "") + ", event_date date, load string"
-    return spark.read.schema(ddl).parquet(path)
+    rows, loads = spark.read.schema(ddl).parquet(path), _ledger(spark, path)
+    few = loads.limit(FEW_LOADS + 1).collect()
+    if len(few) <= FEW_LOADS:
+        return rows.where(_visible(few))
+    done = loads.select("load", F.col("day").alias("_day"))
+    gone = loads.select(F.col("day").alias("event_date"), F.explode("replaces").alias("load"))
+    seen = rows.join(done, (rows["load"] == done["load"]) & (done["_day"].isNull() | (done["_day"] == rows["event_date"])), "left_semi")
+    return seen.join(gone, ["event_date", "load"], "left_anti")
+
+
+def _visible(loads: list) -> Column:
+    """The ledger as a predicate on the partition columns, so that other folders aren't read."""
+    day, load = F.col("event_date"), F.col("load")
+    packed = [r for r in loads if r["day"] is not None]
+    seen = load.isin([r["load"] for r in loads if r["day"] is None])
+    for r in packed:
+        seen |= (day == F.lit(r["day"])) & (load == r["load"])
+    for r in packed:
+        seen &= ~((day == F.lit(r["day"])) & load.isin(r["replaces"]))
+    return seen
 
 
 def compact_day(spark: SparkSession, path: str, day: str, load: str, extra: str = "") -> None:
     """Replace all loads of one closed day by a single sorted load.
 
-    The new files are staged in a folder that readers ignore, together with the
-    names of the loads they replace; then those loads are removed and the
-    staged folder takes their place. A run that finds a finished staging area
-    completes that swap, so a crash at any point loses and repeats nothing.
+    The new load is written beside the old ones and takes their place when it is
+    committed, in one step. Until then, and after a crash, readers see the old
+    ones. Their folders stay for readers that began before; ``sweep_day`` removes
+    them.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-
-    def at(name):
-        return jvm.org.apache.hadoop.fs.Path(name)
-
-    home, staged, names = f"{path}/event_date={day}", f"{path}/_compact/{day}", f"{path}/_compact/{day}-loads"
-    fs = at(path).getFileSystem(conf)
-    if not fs.exists(at(f"{staged}/_SUCCESS")):
-        old = [(s.getPath().getName(),) for s in fs.listStatus(at(home)) if s.getPath().getName().startswith("load=")]
-        if not old:
-            return
-        spark.createDataFrame(old, "value string").write.mode("overwrite").text(names)
-        rows = read_logs(spark, path, extra).where(F.col("event_date") == F.lit(day).cast("date"))
-        kept = rows.where(F.concat(F.lit("load="), F.col("load")).isin([n for (n,) in old]))
-        _clustered(kept).drop("event_date", "load").write.mode("overwrite").parquet(staged)
-    for row in spark.read.text(names).collect():  # one short name per load of the day
-        fs.delete(at(f"{home}/{row['value']}"), True)
-    if not fs.rename(at(staged), at(f"{home}/load={load}")):
-        raise OSError(f"could not move {staged} into place")
+    if _is_committed(spark, path, load):
+        return
+    rows = read_logs(spark, path, extra).where(F.col("event_date") == F.lit(day).cast("date"))
+    old = [r["load"] for r in rows.select("load").distinct().collect()]  # one short name per load of the day
+    if old:
+        _write(_clustered(rows.withColumn("load", F.lit(load))), path)
+        _commit(spark, path, load, day, old)
+
+
+def sweep_day(spark: SparkSession, path: str, day: str) -> int:
+    """Remove the folders of a day's replaced loads; returns how many went."""
+    fs, at = _files(spark, path)
+    gone = _ledger(spark, path).where(F.col("day") == F.lit(day).cast("date")).select(F.explode("replaces").alias("load")).distinct()
+    homes = [at(f"{path}/event_date={day}/load={r['load']}") for r in gone.collect()]
+    return sum(fs.delete(home, True) for home in homes if fs.exists(home))

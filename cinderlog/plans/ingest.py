@@ -204,7 +204,7 @@ def sink_append(spark, sf_dir):
 
 @query("sink_replay", _STORED)
 def sink_replay(spark, sf_dir):
-    """Two loads, the second delivered twice, then the first day compacted."""
+    """Two loads, the second delivered twice, the first day compacted, then all delivered again."""
     path = scratch_path(spark, "logs")
     logs = tables.event_logs(spark, sf_dir).select(*LOG_COLUMNS)
     early = F.col("timestamp") < ntz("2024-01-01 12:00:00")
@@ -212,6 +212,9 @@ def sink_replay(spark, sf_dir):
     for _ in range(2):  # a replayed load replaces itself
         sinks.append_logs(logs.where(~early), path, "b", _PROMOTE)
     sinks.compact_day(spark, path, "2024-01-01", "packed", "user_attr string")
+    sinks.append_logs(logs.where(early), path, "a", _PROMOTE)
+    sinks.sweep_day(spark, path, "2024-01-01")
+    sinks.append_logs(logs.where(~early), path, "b", _PROMOTE)
     return _stored(spark, path)
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from cinderlog.fixed import LOG_COLUMNS
@@ -104,29 +105,50 @@ def test_correlate_keeps_rows_without_ids(spark):
     assert got == {1: "op", 2: None, 3: None, 4: None}
 
 
-def test_compaction_survives_a_crash(spark, sf_dir, tmp_path):
+@pytest.mark.parametrize("few", [1000, 0])
+def test_compaction_is_one_step(spark, sf_dir, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(sinks, "FEW_LOADS", few)
     path = str(tmp_path / "t")
     logs = tables.event_logs(spark, sf_dir).select(*LOG_COLUMNS)
-    for load in ("a", "b", "c"):
-        sinks.append_logs(logs.where(F.col("id") % 3 == "abc".index(load)), path, load)
+    parts = {load: logs.where(F.col("id") % 3 == "abc".index(load)) for load in "abc"}
+    for load, rows in parts.items():
+        sinks.append_logs(rows, path, load)
     day = "2024-01-02"
-    want = sorted(r["id"] for r in sinks.read_logs(spark, path).where(f"event_date = '{day}'").collect())
 
+    def ids(where="true"):
+        return sorted(r["id"] for r in sinks.read_logs(spark, path).where(where).collect())
+
+    want, whole = ids(f"event_date = '{day}'"), ids()
+    # A run that stopped before its commit changes nothing, and the next one takes its place.
+    sinks._write(sinks._clustered(sinks.read_logs(spark, path).where(f"event_date = '{day}'").withColumn("load", F.lit("packed"))), path)
+    assert ids() == whole
+    sinks.compact_day(spark, path, day, "packed")
     sinks.compact_day(spark, path, day, "packed")
-    assert os.listdir(f"{path}/event_date={day}") == ["load=packed"]
+    assert ids(f"event_date = '{day}'") == want and ids() == whole
+    assert {r["load"] for r in sinks.read_logs(spark, path).where(f"event_date = '{day}'").collect()} == {"packed"}
+    # Replays change nothing, before and after the old folders go.
+    sinks.append_logs(parts["a"], path, "a")
+    assert ids() == whole
+    assert sinks.sweep_day(spark, path, day) == 3 and sinks.sweep_day(spark, path, day) == 0
+    sinks.append_logs(parts["b"], path, "b")
+    assert ids() == whole and os.listdir(f"{path}/event_date={day}") == ["load=packed"]
+    # A late load joins the day, and a second compaction packs both.
     sinks.append_logs(logs.where("id = 40").withColumn("id", F.lit(-1).cast("bigint")), path, "late")
-
-    # As if a run had stopped after removing one load.
-    staged = f"{path}/_compact/{day}"
-    spark.createDataFrame([("load=packed",), ("load=gone",)], "value string").write.mode("overwrite").text(staged + "-loads")
-    rows = sinks.read_logs(spark, path).where(f"event_date = '{day}' and load = 'packed'").drop("event_date", "load")
-    rows.write.parquet(staged)
+    late = ids(f"event_date = '{day}'")
     sinks.compact_day(spark, path, day, "again")
-    got = sorted(r["id"] for r in sinks.read_logs(spark, path).where(f"event_date = '{day}'").collect())
-    assert [i for i in got if i != -1] == want and len(got) - len(want) <= 1
-    assert sorted(r["load"] for r in sinks.read_logs(spark, path).where(f"event_date = '{day}'").select("load").distinct().collect())[0] == "again"
+    assert ids(f"event_date = '{day}'") == late
 
 
+def test_unfinished_load_is_not_seen(spark, sf_dir, tmp_path):
+    path = str(tmp_path / "t")
+    logs = tables.event_logs(spark, sf_dir).select(*LOG_COLUMNS)
+    sinks.append_logs(logs.where("id < 100"), path, "a")
+    half = sinks.table_rows(logs.where("id between 100 and 400")).withColumn("load", F.lit("b"))
+    sinks._write(sinks._clustered(half), path)
+    assert sinks.read_logs(spark, path).count() == 100
+    sinks.append_logs(logs.where("id between 100 and 499"), path, "b")
+    assert sinks.read_logs(spark, path).count() == 500
+
 
 def test_dedup_keeps_rows_without_a_key(spark):
     from cinderlog.operators.dedup import dedup
