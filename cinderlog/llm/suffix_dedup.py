@@ -31,7 +31,7 @@ from cinderlog.llm import hashing
 from cinderlog.llm.common import id_and_text, placed, settle
 
 LENGTH = 200
-HOT = 2000
+HOT = 20_000
 # Contexts sorted at a time.
 LOT = 4096
 
