@@ -31,7 +31,7 @@ WINDOW, STRIDE = 32, 24
 HEAD, TAIL = 8, 4
 BUCKET_BITS = 14
 WORD_SIZE, LETTER_SIZE, STATE, ATTEND = 8, 16, 8, 8
-STEPS, BATCH, RATE = 1000, 192, 0.01
+STEPS, BATCH, RATE = 500, 192, 0.01
 # Windows of one training document, at most.
 WINDOWS = 24
 LOT = 4096
