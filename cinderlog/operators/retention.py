@@ -44,6 +44,18 @@ def delete_paths(spark: SparkSession, paths: list[str]) -> int:
     return removed
 
 
+def drop_aged_days(
+    spark: SparkSession, path: str, logs: DataFrame, as_of: dt.datetime, days: int = LOG_RETENTION_DAYS, ts: str = "timestamp"
+) -> int:
+    """Drop the ``event_date=`` folders in which every row has outlived ``days``, return how many.
+
+    ``logs`` are the rows of ``path``; only their times are read, and one row per
+    expired day comes to the driver.
+    """
+    aged = by_row_age(logs, F.lit(as_of).cast("timestamp_ntz"), days, ts=ts).where("dropped")
+    return delete_paths(spark, [f"{path}/event_date={r['event_date']}" for r in aged.select("event_date").collect()])
+
+
 def drop_old_days(
     spark: SparkSession, path: str, as_of: dt.datetime, days: int = LOG_RETENTION_DAYS
 ) -> int:

@@ -112,10 +112,27 @@ def page(logs: DataFrame, q: LogQuery) -> DataFrame:
     return filtered(logs, q).orderBy("timestamp", "id").limit(q.limit).select(*fixed.LOG_COLUMNS)
 
 
-def latest(logs: DataFrame, limit: int) -> DataFrame:
+def latest(logs: DataFrame, limit: int, since=None) -> DataFrame:
+    """The newest rows; with ``since`` only days from then on are read."""
+    if since is not None:
+        logs = logs.where(F.col("timestamp") >= ntz(since))
+        if "event_date" in logs.columns:
+            logs = logs.where(F.col("event_date") >= F.to_date(ntz(since)))
     return logs.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit).select(*fixed.LOG_COLUMNS)
 
 
+def trace_lookup(logs: DataFrame, trace_id: str, span_id: str | None = None, start=None, end=None) -> DataFrame:
+    """All rows of a trace, or of one of its spans; times bound the days that are read."""
+    rows = logs.where(F.col("trace_id") == trace_id)
+    if span_id is not None:
+        rows = rows.where(F.col("span_id") == span_id)
+    if start is not None and end is not None:
+        rows = rows.where(in_time_range(start, end))
+        if "event_date" in logs.columns:
+            rows = rows.where(in_days(start, end))
+    return rows.select(*fixed.LOG_COLUMNS)
+
+
 def next_cursor(page_rows: DataFrame, limit: int) -> DataFrame:
     """Cursor of a page's last row if the page is full, else NULL.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cinderlog.functions import text
+from cinderlog.operators import search
 
 
 def term_index(logs: DataFrame, config: str = "english") -> DataFrame:
@@ -26,12 +27,15 @@ def write_term_index(index: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
-def matching_ids(index: DataFrame, keyword: str, config: str = "english") -> DataFrame:
+def matching_ids(index: DataFrame, keyword: str, config: str = "english", start=None, end=None) -> DataFrame:
     """Ids whose rows hold every term of the keyword; none for a keyword of stop words.
 
     The keyword's few terms are read on the driver so that the term filter can
-    skip row groups of the sorted index.
+    skip row groups of the sorted index. With ``start`` and ``end`` only the days
+    between them are read.
     """
+    if start is not None and end is not None:
+        index = index.where(search.in_days(start, end))
     wanted = text.query_terms(keyword, config)
     rows = index.where(F.col("term").isin(wanted) if wanted else F.lit(False))
     if len(wanted) <= 1:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cinderlog.fixed import ROLLUP_RETENTION_DAYS
 from cinderlog.functions import attributes
 from cinderlog.functions.times import ntz
 from cinderlog.operators import reconcile, reports, retention, rollup
@@ -243,4 +244,4 @@ def retention_ttl(spark, sf_dir):
 )
 def retention_rollup_ttl(spark, sf_dir):
     counts = rollup.hourly_counts(_logs(spark, sf_dir)).withColumn("event_date", F.to_date("hour"))
-    return retention.by_row_age(counts, ntz("2024-02-10 12:00:00"), 30, ts="hour")
+    return retention.by_row_age(counts, ntz("2024-02-10 12:00:00"), ROLLUP_RETENTION_DAYS, ts="hour")

@@ -337,5 +337,8 @@ def build_term_index(spark, sf_dir):
     oracle.docs("SELECT id FROM docs WHERE list_contains(words, 'the') AND list_contains(words, 'of')"),
 )
 def term_index_search(spark, sf_dir):
-    index = terms.term_index(tables.document_logs(spark, sf_dir), "simple")
+    """Search through the written index."""
+    path = scratch_path(spark, "terms")
+    terms.write_term_index(terms.term_index(tables.document_logs(spark, sf_dir), "simple"), path)
+    index = spark.read.schema("term string, id bigint, event_date date").parquet(path)
     return terms.matching_ids(index, "the of", "simple")

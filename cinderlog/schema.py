@@ -23,8 +23,3 @@ WIRE_EVENT_DDL = "struct<{}>".format(
     ", ".join([f"{c}: variant" for c in _WIRE_SCALARS] + [f"{c}: map<string, variant>" for c in WIRE_MAPS])
 )
 WIRE_BATCH_DDL = f"struct<events: array<{WIRE_EVENT_DDL}>, _corrupt_record: string>"
-
-FIELD_DDL = (
-    "struct<key: string, type: string, string_val: string, int64_val: bigint, "
-    "float64_val: double, bool_val: boolean, json_val: string>"
-)

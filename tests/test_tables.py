@@ -173,3 +173,23 @@ def test_trace_tree_keeps_repeated_spans(spark):
     got = trace_tree(spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string")).collect()
     assert len(got) == len(rows)
     assert {(r["span_id"], r["depth"]) for r in got} == {("a", 0), ("b", 1), ("c", 2), ("z", None)}
+
+
+def test_aged_days_and_bounded_reads(spark, sf_dir, tmp_path):
+    from cinderlog.operators import search
+
+    path = str(tmp_path / "t")
+    write(spark, sf_dir, path)
+    logs = sinks.read_logs(spark, path)
+    last = logs.where("event_date = '2024-01-03'").agg(F.max("timestamp")).first()[0]
+    young = logs.where("event_date > '2024-01-03'").count()
+    assert retention.drop_aged_days(spark, path, logs, last + dt.timedelta(days=14)) == 2
+    logs = sinks.read_logs(spark, path)
+    assert retention.drop_aged_days(spark, path, logs, last + dt.timedelta(days=14, seconds=1)) == 1
+    logs = sinks.read_logs(spark, path)
+    assert logs.count() == young
+    since = dt.datetime(2024, 1, 20)
+    assert search.latest(logs, 30).select("id").collect() == search.latest(logs, 30, since).select("id").collect()
+    trace = logs.where("trace_id is not null and event_date = '2024-01-21'").first()["trace_id"]
+    found = search.trace_lookup(logs, trace, start=dt.datetime(2024, 1, 21), end=dt.datetime(2024, 1, 22))
+    assert found.count() == logs.where(F.col("trace_id") == trace).count() > 0
