@@ -117,9 +117,9 @@ def signatures(shingles: np.ndarray) -> tuple[np.ndarray, bool]:
     for j in range(band(smallest_partner(n)), band(n) + 1):
         top = first_size(j + 1) - 1
         salt = U(j * 0x9E3779B1)
-        if difference(top, largest_partner(top)) <= 1:
+        if (most := difference(top, largest_partner(top))) <= 1:
             whole = mixed.sum(dtype=np.uint64)
-            out.append(hashing.mix(np.concatenate([[whole], whole - mixed]) + salt))
+            out.append(hashing.mix(np.concatenate([[whole], whole - mixed[: n * most]]) + salt))
             continue
         h = difference(n, largest_partner(n)) if band(n) == j else difference(n, min(n, top))
         segments = max(1, round(largest_partner(top) / PER_SEGMENT))
@@ -218,18 +218,27 @@ def _reserve(a: Column, b: Column) -> Column:
 
 
 def _sent(keys: DataFrame) -> DataFrame:
-    """``keys`` (written, one long each), to be broadcast if they are few enough, joined by shuffle if not."""
+    """``keys`` (written, a few longs each), to be broadcast if they are few enough, joined by shuffle if not."""
     return F.broadcast(keys) if keys.count() <= MOST_SENT else keys
 
 
 def _stars(hot: DataFrame) -> DataFrame:
-    """Each member of a signature with a centre of about its size, and neighbouring centres."""
-    sized = hot.withColumn("size", F.floor(F.log(F.col("n").cast("double")) * 2 / F.log(F.lit(100 / PERCENT))))
-    centres = sized.groupBy("sig", "size").agg(F.min("c").alias("centre"))
-    own = sized.join(centres, ["sig", "size"]).select(F.col("c").alias("a"), F.col("centre").alias("b"))
-    larger = centres.select("sig", (F.col("size") - 1).alias("size"), F.col("centre").alias("other"))
-    beside = centres.join(larger, ["sig", "size"]).select(F.col("centre").alias("a"), F.col("other").alias("b"))
-    return own.union(beside)
+    """Members of hot signatures with centres of about their size, and neighbouring centres.
+
+    The centre is the member with most hot signatures, so that copies agree on
+    theirs. A pair must meet in an eighth of the member's: what isn't compared
+    here leaves its signatures unsettled, and is met otherwise.
+    """
+    often = hot.groupBy("c").agg(F.count("*").alias("h"))
+    size = F.floor(F.log(F.col("n").cast("double")) * 2 / F.log(F.lit(100 / PERCENT)))
+    sized = hot.join(often, "c").select("sig", "c", "h", size.alias("size"))
+    centres = sized.groupBy("sig", "size").agg(F.max(F.struct("h", "c")).alias("m")).select(
+        "sig", "size", F.col("m.c").alias("b"), F.col("m.h").alias("h_b"))
+    own = sized.join(centres, ["sig", "size"]).select(F.col("c").alias("a"), "h", "b")
+    larger = centres.select("sig", (F.col("size") - 1).alias("size"), F.col("b").alias("other"))
+    beside = centres.join(larger, ["sig", "size"]).select(F.col("b").alias("a"), F.col("h_b").alias("h"), F.col("other").alias("b"))
+    met = own.union(beside).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("met"), F.first("h").alias("h"))
+    return met.where("met * 8 >= h").select("a", "b")
 
 
 class Join:
@@ -257,12 +266,15 @@ class Join:
         return settle(components(links).select(F.col("node").alias("c"), "label"), "set-labels")
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """(c, n, shingles) of the written classes ``wanted`` (c), from one text of each."""
+        """(c, n, shingles) of the written classes ``wanted`` (c), from a text of each.
+
+        A class comes twice if a text with its key does.
+        """
         at = settle(self.classes.join(wanted, "c", "left_semi").select("key", "h1", "h2", "c", "n"), "wanted")
         keys = settle(at.select("key").distinct(), "wanted-keys")
         found = self.texts.join(_sent(keys), "key", "left_semi").mapInArrow(_shingles, "h1 long, h2 long, shingles binary")
-        # A key can bring texts of other classes, and equal texts.
-        return found.join(at, ["h1", "h2"]).dropDuplicates(["c"]).select("c", "n", "shingles")
+        # A key can bring texts of other classes.
+        return found.join(_sent(at), ["h1", "h2"]).select("c", "n", "shingles")
 
     def verify(self, pairs: DataFrame) -> None:
         """Add those of ``pairs`` (a, b: class numbers) that are similar to the links."""
@@ -310,7 +322,7 @@ class Join:
         smallest = F.ceil(F.col("n") * PERCENT / 100)
         rest = self.classes.join(skipped, "c", "left").where(
             F.col("odd") | (F.coalesce("skipped", F.lit(0)) > _reserve(F.col("n"), smallest))).select("c")
-        sets = settle(self.sets_of(settle(rest, "rest")).mapInArrow(_explode, "c long, n long, shingle long"), "rest-shingles")
+        sets = settle(self.sets_of(settle(rest, "rest")).dropDuplicates(["c"]).mapInArrow(_explode, "c long, n long, shingle long"), "rest-shingles")
         often = sets.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
         known = sets.join(often, "shingle")
         # Shingles of one set only come first in its order; they meet nobody, just their number counts.
@@ -318,9 +330,11 @@ class Join:
         place = F.row_number().over(one.orderBy("df", "shingle")) + F.col("n") - F.count("*").over(one)
         rarest = known.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
         kept = settle(rarest.join(self.labels(), "c", "left").select(
-            "shingle", "c", "n", F.coalesce("label", "c").alias("label")), "rest-prefixes")
-        other = kept.select("shingle", *(F.col(x).alias(f"{x}_b") for x in ("c", "n", "label")))
-        met = kept.join(other, "shingle").where((F.col("c") < F.col("c_b")) & (F.col("label") != F.col("label_b")) & _near())
+            "shingle", "c", "n", F.coalesce("label", "c").alias("label"), (F.col("n") - F.col("place") + 1).alias("left")), "rest-prefixes")
+        other = kept.select("shingle", *(F.col(x).alias(f"{x}_b") for x in ("c", "n", "label", "left")))
+        # From the first common shingle on, enough of both sets must be left for the intersection.
+        room = F.least("left", "left_b") * (100 + PERCENT) >= (F.col("n") + F.col("n_b")) * PERCENT
+        met = kept.join(other, "shingle").where((F.col("c") < F.col("c_b")) & (F.col("label") != F.col("label_b")) & _near() & room)
         return met.select(F.col("c").alias("a"), F.col("c_b").alias("b")).distinct()
 
     def result(self) -> DataFrame:
