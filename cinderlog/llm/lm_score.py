@@ -25,6 +25,8 @@ from cinderlog.llm import hashing
 from cinderlog.llm.blocks import BlockTable, pack, rows_of, unpack
 
 ORDER = 3
+# Text of a block; some thirty bytes of arrays stand beside each of its bytes.
+BLOCK_BYTES = 8 << 20
 FOLDS = 10
 LEARN_FOLD = 1
 BUCKETS = 24
@@ -54,12 +56,12 @@ class Sequence:
         self.hashes = hashing.stretch(hashing.running(data), ends[:-1], ends[1:])
         lengths = block.sizes + 1
         self.begins = np.cumsum(lengths) - lengths
-        self.codes = np.full(int(lengths.sum()), n, np.int64)
+        self.codes = np.full(int(lengths.sum()), n, np.int32)
         inner = np.ones(len(self.codes), bool)
         inner[self.begins + block.sizes] = False
         self.codes[inner] = block.codes
-        self.place = np.arange(len(self.codes)) - np.repeat(self.begins, lengths)
-        folds = np.array([fold_of(i) for i in block.doc_ids])
+        self.place = (np.arange(len(self.codes)) - np.repeat(self.begins, lengths)).astype(np.int32)
+        folds = np.array([fold_of(i) for i in block.doc_ids], np.int8)
         self.fold = np.repeat(folds, lengths)
         self.n_begin = n + 1
 
@@ -127,9 +129,10 @@ def _sum(rows):
     asked = [(b, _fields(q)) for b, q in rows]
     keys = [np.cumsum(unpack(f[0], np.uint64), dtype=np.uint64) for _, f in asked]
     unique, which = np.unique(np.concatenate(keys), return_inverse=True)
-    both = np.zeros((2, len(unique)), np.uint64)
-    for i in (0, 1):
-        np.add.at(both[i], which, np.concatenate([unpack(f[i + 1], np.uint32) for _, f in asked]).astype(np.uint64))
+    # Sums of 32-bit counts are exact in 64-bit floats.
+    both = np.stack([
+        np.bincount(which, np.concatenate([unpack(f[i], np.uint32) for _, f in asked]), len(unique)).astype(np.uint64) for i in (1, 2)
+    ])
     at = 0
     for (b, _), k in zip(asked, keys, strict=True):
         yield b, pack(both[:, which[at : at + len(k)]].ravel())
@@ -240,7 +243,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     rows all words have the probability of an unknown one. An empty table gives
     an empty result.
     """
-    table = BlockTable(docs, fold=True)
+    table = BlockTable(docs, fold=True, limit=BLOCK_BYTES)
     tokens = table.frame.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x + 1)), F.lit(0))).first()[0]
     answers, parts = None, []
     for k in range(1, order + 1):
