@@ -2,9 +2,11 @@
 
 Each mask keeps some of a run of words and ignores the others, so a run with
 substituted words still has a hash in common with the original as long as one
-mask ignores the substituted places. Hashes of all places of the benchmark are
-joined with those of all places of the documents; around each hit the two word
-sequences are laid side by side and compared.
+mask ignores the substituted places. Masks are chosen by enumeration: however the
+allowed substitutions are placed in a stretch, one mask keeps none of them, for
+the window and for each shorter item's own size. Hashes of all places of the
+benchmark are joined with those of all places of the documents; around each hit
+the two word sequences are laid side by side and compared.
 
 The benchmark is a stated query set: it is read in blocks of at most
 ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` bytes of text, each broadcast to one
@@ -13,6 +15,9 @@ pass over the documents, so what is broadcast has a fixed bound.
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,13 +26,50 @@ from pyspark.sql import functions as F
 from cinderlog.llm import hashing
 from cinderlog.llm.common import id_and_text, settle, with_whole
 
-# Kept places of each mask, each seven of at most eleven words.
-MASKS = ((0, 1, 2, 3, 4, 5, 6), (0, 1, 3, 4, 7, 8, 10), (0, 2, 3, 5, 6, 9, 10), (0, 3, 4, 6, 7, 8, 9), (0, 1, 2, 6, 8, 9, 10))
 WINDOW = 13
 SHARE = 0.8
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 8 << 20
 BITS = 22
+# Masks of one size at most, and the size up to which they are enumerated.
+MOST_MASKS = 5
+ENUMERATED = 14
+
+
+def misses(size: int, share: float) -> int:
+    """How many of ``size`` words may differ when at least ``share`` of them are equal."""
+    return min(sum(equal >= share * size for equal in range(size)), size - 1)
+
+
+@functools.cache
+def masks_for(size: int, wrong: int) -> tuple[tuple[int, ...], ...]:
+    """Masks of which, wherever ``wrong`` of ``size`` words differ, one fits at some place on equal words only.
+
+    The heaviest weight that at most ``MOST_MASKS`` masks can do. A run of equal
+    words, which the pigeonhole leaves in any case, is the mask where no such
+    weight is found or the size is too large to enumerate.
+    """
+    if size <= ENUMERATED:
+        placings = list(itertools.combinations(range(size), wrong))
+        run = -(-(size - wrong) // (wrong + 1))
+        for weight in range(size - wrong, run, -1):
+            if found := _cover(size, placings, weight):
+                return found
+    return (tuple(range(-(-(size - wrong) // (wrong + 1)))),)
+
+
+def _cover(size: int, placings: list[tuple[int, ...]], weight: int) -> tuple[tuple[int, ...], ...] | None:
+    """Few masks of ``weight`` that leave no placing out, chosen greedily, or None."""
+    gains = {}
+    for rest in itertools.combinations(range(1, size), weight - 1):
+        mask = (0, *rest)
+        shifted = [{place + by for place in mask} for by in range(size - mask[-1])]
+        gains[mask] = sum(1 << bit for bit, placing in enumerate(placings) if any(own.isdisjoint(placing) for own in shifted))
+    left, chosen = (1 << len(placings)) - 1, []
+    while left and len(chosen) < MOST_MASKS:
+        chosen.append(max(gains, key=lambda mask: ((gains[mask] & left).bit_count(), -mask[-1])))
+        left &= ~gains[chosen[-1]]
+    return None if left else tuple(chosen)
 
 
 def mask_hashes(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -40,44 +82,49 @@ def mask_hashes(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 
 
 class Block:
-    """Seeds of some benchmark items: sorted hashes with their item and place."""
+    """Seeds of some benchmark items: sorted hashes with their place among the items' words."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], masks: tuple[tuple[int, ...], ...]) -> None:
+    def __init__(self, ids: list[int], texts: list[bytes], window: int = WINDOW, share: float = SHARE) -> None:
         data = np.frombuffer(b"".join(texts), np.uint8)
         rows = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        self.ids, self.words = ids, None
+        self.ids = ids
         self.words, self.begins = hashing.words(data, rows)
-        # An item too short for a mask is sought as a whole.
-        sizes = np.diff(self.begins)
-        self.masks = [(m, m[-1] + 1, False) for m in masks]
-        longest = max(m[-1] + 1 for m in masks)
-        self.masks += [(tuple(range(n)), n, True) for n in sorted(set(sizes[(sizes > 0) & (sizes < longest)].tolist()))]
+        # An item shorter than the window is compared as a whole, so it has the masks of its own size.
+        stretch = np.minimum(np.diff(self.begins), window)
         self.tables = []
-        for mask, span, exact in self.masks:
-            item, place, seed = [], [], []
-            for i in np.flatnonzero(sizes == span if exact else sizes >= span):
-                own = mask_hashes(self.words[self.begins[i] : self.begins[i + 1]], mask)
-                seed.append(own)
-                place.append(np.arange(len(own)))
-                item.append(np.full(len(own), i))
-            seed = np.concatenate(seed) if seed else np.zeros(0, np.uint64)
-            order = np.argsort(seed, kind="stable")
-            bits = np.zeros(1 << BITS, bool)
-            bits[seed >> np.uint64(64 - BITS)] = True
-            pick = lambda x: np.concatenate(x)[order] if x else np.zeros(0, np.int64)
-            self.tables.append((mask, seed[order], pick(item), pick(place), bits))
+        for size in np.unique(stretch[stretch > 0]).tolist():
+            own = np.flatnonzero(stretch == size)
+            for mask in masks_for(size, misses(size, share)):
+                self.tables.append((mask, *self._seeds(own, mask)))
+
+    def _seeds(self, items: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted seeds of ``items``, their places, and a table of the seeds' leading bits."""
+        counts = np.diff(self.begins)[items] - mask[-1]
+        place = np.repeat(self.begins[items], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        seed = mask_hashes(self.words, mask)[place]
+        order = np.argsort(seed, kind="stable")
+        bits = np.zeros(1 << min(BITS, 6 + len(seed).bit_length()), bool)
+        bits[seed >> _unused(bits)] = True
+        return seed[order], place[order].astype(np.int32), bits
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in ``words``, item, place in the item) of every equal seed."""
-        found = []
-        for mask, seeds, item, place, bits in self.tables:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        for mask, seeds, place, bits in self.tables:
             own = mask_hashes(words, mask)
-            at = np.flatnonzero(bits[own >> np.uint64(64 - BITS)])
+            at = np.flatnonzero(bits[own >> _unused(bits)])
             low, high = np.searchsorted(seeds, own[at], "left"), np.searchsorted(seeds, own[at], "right")
             n = high - low
             which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append((np.repeat(at, n), item[which], place[which]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            found.append((np.repeat(at, n), place[which]))
+        at, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        item = np.searchsorted(self.begins, place, "right") - 1
+        return at, item, place - self.begins[item]
+
+
+def _unused(bits: np.ndarray) -> np.uint64:
+    """By how much a hash is shifted to be a place in ``bits``."""
+    return np.uint64(64 - (len(bits).bit_length() - 1))
 
 
 def overlap(words: np.ndarray, item: np.ndarray, shift: int, window: int, share: float) -> int:
@@ -96,9 +143,8 @@ def overlap(words: np.ndarray, item: np.ndarray, shift: int, window: int, share:
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW,
-    share: float = SHARE, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, item_col: str = "item_id",
-    carry: bool = False,
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, block_items: int = BLOCK_ITEMS,
+    block_bytes: int = BLOCK_BYTES, item_col: str = "item_id", carry: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids, n_matched_words.
 
@@ -123,7 +169,7 @@ def find_leaks(
     blocks = _blocks(items, block_items, block_bytes)
     block = next(blocks, None)
     while block is not None:
-        seeds = docs.sparkSession.sparkContext.broadcast(Block(*block, masks))
+        seeds = docs.sparkSession.sparkContext.broadcast(Block(*block, window, share))
         block = next(blocks, None)
         out = _scan(out, seeds, window, share, last=block is None)
         if block is not None:

@@ -1,6 +1,7 @@
 """Exact dedup, line chunks, benchmark search, toxicity and the pipeline."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -151,6 +152,37 @@ def test_leaks_with_substitutions(spark):
     assert spaced_seeds.find_leaks(no_docs(spark), bench).collect() == []
 
 
+def test_leaks_of_all_placings(spark):
+    """Every way to put the allowed substitutions into a stretch of each size, and every fifth word of a long passage."""
+    rng = random.Random(12)
+    words = [f"u{i}" for i in range(5000)]
+    items = [(n, " ".join(rng.sample(words, n))) for n in [*range(1, 14), 40]]
+    texts = []
+    for n, item in items:
+        own = item.split()[-13:]
+        wrong = max(k for k in range(3) if len(own) - k >= spaced_seeds.SHARE * len(own))
+        for placing in itertools.combinations(range(len(own)), wrong):
+            changed = [f"other{i}" if i in placing else w for i, w in enumerate(own)]
+            texts.append(" ".join(["before"] * 3 + changed + ["behind"] * 3))
+    for first in range(5):
+        texts.append(" ".join(f"other{i}" if i % 5 == first else w for i, w in enumerate(items[-1][1].split())))
+    rows = list(enumerate(texts))
+    assert len(rows) == 4 + sum([5, 6, 7, 8, 9, 45, 55, 66, 78, 78]) + 5
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in spaced_seeds.find_leaks(docs, bench).collect()}
+    assert got == plain_leaks(rows, items)
+    assert all(got.values())
+
+
+@pytest.mark.parametrize("window,share", [(13, 0.7), (8, 0.5), (20, 0.8)])
+def test_masks_of_other_limits(window, share):
+    for size in range(1, window + 1):
+        wrong = spaced_seeds.misses(size, share)
+        assert size - wrong >= share * size > size - wrong - 1
+        masks = [{p + by for p in m} for m in spaced_seeds.masks_for(size, wrong) for by in range(size - m[-1])]
+        assert all(any(m.isdisjoint(p) for m in masks) for p in itertools.combinations(range(size), wrong))
+
+
 # Toxicity
 
 def test_gradients_match_differences():
