@@ -37,8 +37,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op5_line_chunks")
 def op5(spark, sf_dir):
-    """Repeated multi-line chunks of all documents; the digest is of the text that stays."""
-    out = line_chunks.dedup_lines(documents(spark, sf_dir))
+    """Repeated multi-line passages of all documents; the digest is of the text that stays."""
+    out = line_chunks.dedup_passages(documents(spark, sf_dir))
     return out.select(
         "doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256")
     )

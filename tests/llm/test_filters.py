@@ -96,6 +96,51 @@ def test_chunks_against_dictionaries(spark, sf_dir):
     assert queries.QUERIES["op5_line_chunks"](spark, sf_dir).count() == len(sample_texts(sf_dir))
 
 
+def plain_passages(rows):
+    """(doc_id, kept text) where lines of any pair of neighbours seen before, in order of rows, are gone."""
+    seen, out = set(), []
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        gone = set()
+        for i, pair in enumerate(itertools.pairwise(lines)):
+            if pair in seen:
+                gone |= {i, i + 1}
+            seen.add(pair)
+        out.append((doc_id, "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_passages_go_whole(spark):
+    """Passages of 2 to 10 lines that two otherwise different texts share: all of them go, at any place."""
+    rng = random.Random(8)
+    line = lambda: " ".join(rng.choices([f"w{i}" for i in range(500)], k=8))
+    rows, lost = [], {}
+    for n in range(2, 11):
+        for k in range(12):
+            passage = [line() for _ in range(n)]
+            for place in range(2):
+                edges = [[line() for _ in range(rng.choice([0, 1, 4]))] for _ in range(2)]
+                rows.append((len(rows), "\n".join(edges[0] + passage + edges[1])))
+            lost[rows[-1][0]] = n
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_chunks.dedup_passages(docs).collect()
+    assert {r.doc_id: r.n_removed_lines for r in got if r.n_removed_lines} == lost
+    assert {r.n_removed_chunks for r in got} == {0, 1}
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == plain_passages(rows)
+
+
+def test_passages_against_plain_pairs(spark, sf_dir):
+    rng = random.Random(3)
+    mixed = [(i, "\n".join(rng.choices(["a", "b", "", "c d", "é"], k=rng.randint(0, 12)))) for i in range(120)]
+    for rows in (sample_texts(sf_dir), mixed, [x for x in ODD if x[0] is not None]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = line_chunks.dedup_passages(docs).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=repr) == plain_passages(rows)
+        assert all(r.n_lines - r.n_removed_lines == (r.text.count("\n") + 1 if r.n_chunks > r.n_removed_chunks else 0) for r in got)
+    assert line_chunks.dedup_passages(odd_docs(spark)).count() == len(ODD)
+    assert line_chunks.dedup_passages(no_docs(spark)).collect() == []
+
+
 # Benchmark search
 
 def plain_leaks(rows, items, window=spaced_seeds.WINDOW, share=spaced_seeds.SHARE):
