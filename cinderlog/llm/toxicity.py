@@ -2,7 +2,8 @@
 
 A word's input is a learned vector of its hash bucket beside a vector made of its
 first and last letters' bytes by place, so that unseen words are judged by their
-letters. A gated recurrent network reads each window of ``WINDOW`` words in both
+letters. A word too long for these places is read in overlapping pieces, so every
+byte is an input. A gated recurrent network reads each window of ``WINDOW`` words in both
 directions, attention pools its states and gives the window a logit. All
 overlapping windows of a whole text are read; a logistic layer over what they say
 together (the largest, the largest few, their number and share) scores the document.
@@ -29,6 +30,8 @@ FOLDS = 5
 MOST = 2000
 WINDOW, STRIDE = 32, 24
 HEAD, TAIL = 8, 4
+# From one piece of a long word to the next, in bytes.
+PIECE_STEP = 4
 BUCKET_BITS = 14
 WORD_SIZE, LETTER_SIZE, STATE, ATTEND = 8, 16, 8, 8
 STEPS, BATCH, RATE = 500, 192, 0.01
@@ -66,17 +69,45 @@ class Words:
     owner: np.ndarray
 
 
+def pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of more than HEAD + TAIL bytes split at inner marks and into overlapping pieces; others as they are.
+
+    Marks between letters go, those of a word of nothing else stay.
+    """
+    size = HEAD + TAIL
+    long = end - start > size
+    if not long.any():
+        return start, end
+    a, b = start[long], end[long]
+    at = np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())
+    word = np.repeat(np.arange(len(a)), b - a)
+    letter = ~IS_MARK[data[at]]
+    letter |= (np.bincount(word, letter, len(a)) == 0)[word]
+    joined = (word[1:] == word[:-1]) & letter[1:] & letter[:-1]
+    a = at[letter & ~np.concatenate([[False], joined])]
+    b = at[letter & ~np.append(joined, False)] + 1
+    # The last piece of a stretch ends with it.
+    count = np.maximum(0, -(-(b - a - size) // PIECE_STEP)) + 1
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    a, b = np.repeat(a, count), np.repeat(b, count)
+    first = np.maximum(np.minimum(a + nth * PIECE_STEP, b - size), a)
+    start, end = np.concatenate([start[~long], first]), np.concatenate([end[~long], np.minimum(first + size, b)])
+    order = np.argsort(start, kind="stable")
+    return start[order], end[order]
+
+
 def read_words(data: np.ndarray, rows: np.ndarray) -> Words:
-    """Words without the ASCII marks around them; a run of one and the same word is read once."""
+    """Words, or pieces of long ones, without the ASCII marks around them; a run of one and the same is read once."""
     solid = ~hashing.IS_BLANK[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[rows] = True
     start = np.flatnonzero(solid & (edge[:-1] | ~np.concatenate([[False], solid[:-1]])[: len(data)]))
     end = np.flatnonzero(solid & (edge[1:] | ~np.append(solid[1:], False)[: len(data)])) + 1
-    owner_of = np.searchsorted(rows, start, "right") - 1
     for _ in range(MARKS):
         end -= (end - start > 1) & IS_MARK[data[end - 1]]
         start += (end - start > 1) & IS_MARK[data[start]]
+    start, end = pieces(data, start, end)
+    owner_of = np.searchsorted(rows, start, "right") - 1
     hashes = hashing.stretch(hashing.running(data, hashing.FOLDED_VALUES), start, end)
     if len(hashes):
         once = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner_of[1:] != owner_of[:-1])])

@@ -261,6 +261,27 @@ def test_windows_cover_every_word():
     assert np.bincount(words.owner).tolist() == [4, 1, 1, 1]
 
 
+def test_every_byte_of_long_words_is_read():
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("日本語で書かれた文章", k=k)) for k in (4, 5, 60)] + [
+        "one/two,three;four", "x" * 12 + "middle" + "y" * 12, "-" * 40, "ab" * 40, "short words, only", "", "averylongword" * 9 + "."]
+    for text in texts:
+        data, rows = toxicity._flat([text.encode()])
+        first = np.flatnonzero(~toxicity.hashing.IS_BLANK[data] & np.append(True, toxicity.hashing.IS_BLANK[data[:-1]])) if len(data) else np.zeros(0, int)
+        last = first + [len(w) for w in text.encode().split()] if len(data) else first
+        start, end = toxicity.pieces(data, first.astype(np.int64), np.array(last, np.int64))
+        assert all(b - a <= toxicity.HEAD + toxicity.TAIL for a, b in zip(start, end, strict=True))
+        read = {i for a, b in zip(start, end, strict=True) for i in range(a, b)}
+        words = {i for a, b in zip(first, last, strict=True) for i in range(a, b)}
+        assert {i for i in words - read if not toxicity.IS_MARK[data[i]]} == set()
+    for middle in ("文", "語"):
+        text = ("日本語で書かれた" * 3 + middle + "日本語で書かれた" * 3).encode()
+        other = text.replace(middle.encode(), "章".encode())
+        letters = [toxicity.read_words(*toxicity._flat([x])) for x in (text, other)]
+        assert letters[0].letters.tolist() != letters[1].letters.tolist()
+        assert len(letters[0].letters) > 2
+
+
 @pytest.fixture(scope="module")
 def insults():
     rng = random.Random(2)
