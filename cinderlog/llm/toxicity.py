@@ -3,14 +3,17 @@
 A word's input is a learned vector of its hash bucket beside a vector made of its
 first and last letters' bytes by place, so that unseen words are judged by their
 letters. A word too long for these places is read in overlapping pieces, so every
-byte is an input. A gated recurrent network reads each window of ``WINDOW`` words in both
-directions, attention pools its states and gives the window a logit. All
-overlapping windows of a whole text are read; a logistic layer over what they say
-together (the largest, the largest few, their number and share) scores the document.
+byte but the marks in it is an input. A gated recurrent network reads each window
+of ``WINDOW`` words in both directions, attention pools its states and gives the
+window a logit. Windows start at every ``STRIDE``-th word, so they overlap and each word of a text is read, but a
+phrase longer than the overlap can lie across two of them. A logistic layer over
+what they say together (the largest, the largest few, their number and share)
+scores the document.
 
 Everything is trained here with numpy: on at most ``MOST`` labelled documents of
 each class, chosen by hash of their ids, of which a quarter only teach the logistic
-layer. Texts come in; labels, language, source and ids never do.
+layer; of a document the network learns from ``WINDOWS`` windows. Texts come in;
+labels, language, source and ids never do.
 """
 
 from __future__ import annotations
@@ -57,7 +60,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Distinct words of some texts, and all windows over them.
+    """Distinct words of some texts, and the windows over them.
 
     ``windows`` numbers words by their row in ``buckets`` and ``letters``; the last
     row is padding. ``owner`` is the text of each window, in order.
