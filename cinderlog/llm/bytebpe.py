@@ -88,11 +88,14 @@ class Pieces(dict):
 
 
 class ByteBPE:
-    def __init__(self, vocabulary: str = VOCABULARY, most: int = MOST) -> None:
+    """With ``plain`` special strings inside texts are ordinary text."""
+
+    def __init__(self, vocabulary: str = VOCABULARY, most: int = MOST, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
+        self.tokenizer.encode_special_tokens = plain
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         if self.tokenizer.get_vocab_size() > 1 << 16:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.llm import (
-    direct_codes, line_chunks, lm_score, ngram_join, radix_dedup, spaced_seeds, suffix_dedup, token_counts, toxicity,
+    alignment, direct_codes, hash_ring, line_chunks, lm_score, merkle, ngram_join, radix_dedup, spaced_seeds, suffix_dedup, token_counts, toxicity,
     word_table,
 )
 from cinderlog.llm.common import prepare
@@ -104,3 +104,79 @@ def op2(spark, sf_dir):
 @_query("op1_toxicity")
 def op1(spark, sf_dir):
     return toxicity.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@_query("op11_hash_ring")
+def op11(spark, sf_dir):
+    """All documents over 24 shards, counts at most one apart."""
+    out = hash_ring.shard_rows(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@_query("op12_merkle_manifest", r"""
+WITH RECURSIVE
+f AS (
+  SELECT doc_id, lang,
+         coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') AS head,
+         text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(str_split(doc_id::varchar, ''), lambda c: ascii(c)::BIGINT)),
+           lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)),
+             lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) AS crc
+  FROM documents),
+l AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS tampered
+  FROM f),
+k AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM l),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, tampered) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n
+  FROM k),
+t AS (
+  SELECT g, 0 AS level, pos, n, leaf AS digest FROM p
+  UNION ALL
+  SELECT g, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM t WHERE n > 1 GROUP BY g, level, pos // 8, n),
+u AS (
+  SELECT 0 AS level, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, g, digest FROM t WHERE n = 1
+  UNION ALL
+  SELECT level + 1, pos // 8, (n + 7) // 8, NULL, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM u WHERE n > 1 GROUP BY level, pos // 8, n),
+every AS (
+  SELECT g, level, pos, n, digest FROM t
+  UNION ALL SELECT -1, level, pos, n, digest FROM u),
+s AS (
+  SELECT g, level, pos, n,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY g, level, pos // 8 ORDER BY pos
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY g, level, pos // 8 ORDER BY pos
+           ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM every),
+w AS (
+  SELECT row_number() OVER () AS id, g AS home, g, 0 AS level, pos, n, '' AS proof, coalesce(tampered, leaf) AS own FROM p
+  UNION ALL
+  SELECT w.id, w.home,
+         CASE WHEN w.n > 1 THEN w.g ELSE -1 END,
+         CASE WHEN w.n > 1 THEN w.level + 1 ELSE 0 END,
+         CASE WHEN w.n > 1 THEN w.pos // 8 ELSE w.home END,
+         CASE WHEN w.n > 1 THEN (w.n + 7) // 8 ELSE (SELECT count(DISTINCT g) FROM p) END,
+         CASE WHEN w.n > 1 THEN w.proof || s.l || s.r ELSE w.proof END,
+         CASE WHEN w.n > 1 THEN sha256(s.l || w.own || s.r) ELSE w.own END
+  FROM w JOIN s ON s.g = w.g AND s.level = w.level AND s.pos = w.pos
+  WHERE w.n > 1 OR w.g >= 0),
+e AS (SELECT id, proof, own FROM w WHERE n = 1 AND g = -1),
+i AS (SELECT row_number() OVER () AS id, * FROM p)
+SELECT i.doc_id, i.leaf, subs.digest AS subroot, top.digest AS root, sha256(e.proof) AS proof_sha256, e.own AS folded_root,
+       e.own = top.digest AS verified
+FROM i JOIN e USING (id) JOIN (SELECT g, digest FROM t WHERE n = 1) subs ON subs.g = i.g
+CROSS JOIN (SELECT digest FROM u WHERE n = 1) top
+""")
+def op12(spark, sf_dir):
+    """Digests, roots and proofs of all documents."""
+    return merkle.manifest(documents(spark, sf_dir)).drop("lang")
+
+
+@_query("op13_lockstep_alignment")
+def op13(spark, sf_dir):
+    """All documents by both vocabularies."""
+    return alignment.align_documents(documents(spark, sf_dir))
