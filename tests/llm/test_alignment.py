@@ -33,6 +33,7 @@ def plain(libraries, text):
     if not text:
         return [], [], [], []
     got = a.encode(" " + text, add_special_tokens=False)
+    a_ids = got.ids
     a_bytes = [bytes(LETTERS[c] for c in t) for t in got.tokens]
     b_ids = b.encode(text)
     b_bytes = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in b_ids]
@@ -46,7 +47,7 @@ def plain(libraries, text):
     for cut in sorted(ends[0] & ends[1]):
         groups.append([list(dict.fromkeys(side[low:cut])) for side in owner])
         low = cut
-    return got.ids, b_ids, [([got.ids[i] for i in x], [b_ids[j] for j in y]) for x, y in groups], [(got.ids[i], b_ids[j]) for i, j in pairs]
+    return a_ids, b_ids, [([a_ids[i] for i in x], [b_ids[j] for j in y]) for x, y in groups], [(a_ids[i], b_ids[j]) for i, j in pairs]
 
 
 def plain_rows(libraries, rows):
