@@ -37,7 +37,8 @@ from cinderlog.llm.bytebpe import ByteBPE, byte_letters
 from cinderlog.llm.common import id_and_text, settle, tokenizer_path
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
-BLOCK_BYTES = 8 << 20
+# Text of a block; some fifty bytes of arrays stand beside each of its bytes.
+BLOCK_BYTES = 3 << 20
 # Bytes of a lane at least, if the text is longer.
 LANE = 2048
 MOST = 400_000
@@ -161,7 +162,7 @@ def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, begin_a: np.ndarray, begin_
         if (at_a >= stop).any():
             going = at_a < stop
             at_a, at_b, stop = at_a[going], at_b[going], stop[going]
-    empty = [np.zeros(0, np.int64)]
+    empty = [np.zeros(0, np.int32)]
     return tuple(np.concatenate(x or empty) for x in (links_a, links_b, cuts_a, cuts_b))
 
 
@@ -197,7 +198,8 @@ def align(both: Vocabularies, texts: list[str], lane: int = LANE) -> dict[str, n
         lane_a.append(np.concatenate([begins[0][i : i + 1], cut[0][:-1]]))
         lane_b.append(np.concatenate([begins[1][i : i + 1], cut[1][:-1]]))
         stop_a.append(cut[0])
-    lists = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lane_a, lane_b, stop_a)]
+    # Token numbers within a block fit 32 bits.
+    lists = [np.concatenate(x or [empty]).astype(np.int32) for x in (lane_a, lane_b, stop_a)]
     link_a, link_b, cut_a, cut_b = lockstep(ends[0], ends[1], *lists)
     cut_a, cut_b = np.sort(cut_a), np.sort(cut_b)
     at = np.searchsorted(cut_a, begins[0])
@@ -209,9 +211,10 @@ def align(both: Vocabularies, texts: list[str], lane: int = LANE) -> dict[str, n
         mine = slice(at[i], at[i + 1])
         text = written(both, *x, cut_a[mine] - begins[0][i], cut_b[mine] - begins[1][i])
         digests.append(hashlib.sha256(text.encode()).hexdigest())
-    owner = np.searchsorted(begins[0], link_a, "right") - 1
+    owner = (np.searchsorted(begins[0], link_a, "right") - 1).astype(np.int32)
     order = np.argsort(owner, kind="stable")
     key = flat[0][link_a].astype(np.int64) << 32 | flat[1][link_b]
+    del link_a, link_b
     return {
         "n_a": np.diff(begins[0]), "n_b": np.diff(begins[1]), "n_groups": np.diff(at), "digests": digests,
         "n_links": np.bincount(owner, minlength=len(texts)), "keys": key[order],
