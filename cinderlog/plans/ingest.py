@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cinderlog.fixed import LOG_COLUMNS
 from cinderlog.functions import keys, severity
 from cinderlog.functions.times import ntz
+from cinderlog.sources.attribute_cases import CASES
 from cinderlog.operators import dedup, ingest, sanitize, sinks
 from cinderlog.plans import oracle
 from cinderlog.plans.registry import query
@@ -98,27 +99,12 @@ def ingest_ack(spark, sf_dir):
     return ingest.acks(_checked(spark, sf_dir))
 
 
-_ROUND = """CASE event_id % 64
-  WHEN 1 THEN '{"_lives":3,"semi_colon":' || event_id || ',"two_words":1,"wave____top":4}'
-  WHEN 2 THEN '{"p":{"q":{"r":{"s":{}}}},"p.q.r.s.t.u":' || event_id || '}'
-  WHEN 3 THEN '{"p":{"q":{"r":{"s":{"t":' || event_id || '}}}}}'
-  WHEN 4 THEN '{"ok":' || event_id || '}'
-  WHEN 5 THEN '{"payload":{"service.name":' || event_id || '}}'
-  WHEN 6 THEN '{"big":"' || repeat('x', 32768) || '","id":' || event_id || '}'
-  WHEN 7 THEN (SELECT '{' || string_agg('"k' || lpad(cast(i AS varchar), 3, '0') || '":' || i, ',' ORDER BY i) || '}'
-               FROM range(200) r(i))
-  WHEN 8 THEN '{"' || repeat('a', 255) || '":' || event_id || '}'
-  WHEN 9 THEN '{"l":[{"bad key":1}],"m":{"x_y":' || event_id || '}}'
-  WHEN 10 THEN '{"a_b":' || event_id || '}'
-  WHEN 11 THEN '{}'
-  ELSE '{"id":' || event_id || ',"k":1.5,"s":"plain"}' END"""
-
-_WARNED = """(VALUES
-  (1, 0, 'key-rewritten', '9lives'), (1, 1, 'key-rewritten', 'semi;colon'), (1, 2, 'key-rewritten', 'two words'),
-  (1, 3, 'key-rewritten', 'wave🌊top'), (2, 0, 'flattened', 'p.q.r.s.t'), (4, 0, 'reserved', 'host.name'),
-  (4, 1, 'reserved', 'process.pid'), (4, 2, 'reserved', 'service.name'), (6, 0, 'value-truncated', 'big'),
-  (8, 0, 'key-truncated', repeat('a', 305)), (9, 0, 'key-rewritten', 'x y'), (10, 0, 'key-rewritten', 'a b'),
-  (10, 1, 'key-rewritten', 'a-b')) w(slot, warning_index, kind, path)"""
+_ROUND = "replace(CASE event_id % 64 " + " ".join(
+    f"WHEN {slot} THEN {case.clean}" for slot, case in enumerate(CASES)) + " END, '@', cast(event_id AS varchar))"
+
+_WARNED = "(VALUES " + ", ".join(
+    f"({slot}, {i}, '{kind}', {path})" for slot, case in enumerate(CASES) for i, (kind, path) in enumerate(case.warned)
+) + ") w(slot, warning_index, kind, path)"
 
 
 @query("attr_sanitize", f"SELECT event_id, md5({_ROUND}) AS attributes_md5 FROM events")
@@ -130,10 +116,7 @@ def attr_sanitize(spark, sf_dir):
 @query(
     "attr_sanitize_warnings",
     f"""SELECT {tables.BATCH_ID} AS batch_id, event_id AS event_index, warning_index, kind, path
-      FROM events JOIN {_WARNED} ON event_id % 64 = slot
-      UNION ALL
-      SELECT {tables.BATCH_ID}, event_id, i, 'key-limit', 'k' || (200 + i)
-      FROM events, range(50) r(i) WHERE event_id % 64 = 7""",
+      FROM events JOIN {_WARNED} ON event_id % 64 = slot""",
 )
 def attr_sanitize_warnings(spark, sf_dir):
     clean = sanitize.sanitize_column(tables.raw_attributes(spark, sf_dir), "log_attributes")

@@ -77,7 +77,7 @@ def _attrs(name="log_attributes"):
 
 
 _filter("filter_time_range", BETWEEN, lambda: search.in_time_range(START, END))
-_filter("filter_service", "service_name = 'ledger-api'", lambda: F.col("service_name") == "ledger-api")
+_filter("filter_service", "service_name = 'svc-0'", lambda: F.col("service_name") == "svc-0")
 _filter("filter_severity", "severity = 'error'", lambda: F.col("severity") == "error")
 _filter(
     "filter_min_severity", "severity IN ('warn', 'error', 'fatal')",
@@ -89,11 +89,11 @@ _filter(
 )
 _filter(
     "filter_attr_contains",
-    "json_extract_string(log_attributes, '$.user.role') = 'editor' "
+    "json_extract_string(log_attributes, '$.user.role') = 'r0' "
     "AND cast(json_extract(log_attributes, '$.\"http.status_code\"') AS int) = 500 "
-    "AND json_extract_string(log_attributes, '$.tags[0]') = 'gold'",
+    "AND json_extract_string(log_attributes, '$.tags[0]') = 't0'",
     lambda: attributes.contains_text(
-        F.col("log_attributes"), {"user": {"role": "editor"}, "http.status_code": 500, "tags": ["gold"]}
+        F.col("log_attributes"), {"user": {"role": "r0"}, "http.status_code": 500, "tags": ["t0"]}
     ),
 )
 _filter(
@@ -103,8 +103,8 @@ _filter(
 )
 _filter(
     "filter_attr_path",
-    "json_extract_string(log_attributes, '$.user.role') = 'editor'",
-    lambda: attributes.attr_text(_attrs(), ["user", "role"]) == "editor",
+    "json_extract_string(log_attributes, '$.user.role') = 'r0'",
+    lambda: attributes.attr_text(_attrs(), ["user", "role"]) == "r0",
 )
 _filter(
     "filter_attr_exists",
@@ -113,13 +113,13 @@ _filter(
 )
 _filter(
     "filter_errors_subset",
-    f"severity = 'error' AND service_name = 'gate-api' AND {BETWEEN}",
-    lambda: (F.col("severity") == "error") & (F.col("service_name") == "gate-api")
+    f"severity = 'error' AND service_name = 'svc-3' AND {BETWEEN}",
+    lambda: (F.col("severity") == "error") & (F.col("service_name") == "svc-3")
     & search.in_time_range(START, END),
 )
 _filter(
-    "filter_trace_null", "trace_id IS NULL AND service_name = 'gate-api'",
-    lambda: F.col("trace_id").isNull() & (F.col("service_name") == "gate-api"),
+    "filter_trace_null", "trace_id IS NULL AND service_name = 'svc-3'",
+    lambda: F.col("trace_id").isNull() & (F.col("service_name") == "svc-3"),
 )
 _filter(
     "filter_recent_received", "received_at > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 600 MINUTE",
@@ -150,7 +150,7 @@ def filter_trace_lookup(spark, sf_dir):
     oracle.logs(
         f"""SELECT {COLS}, json_extract_string(log_attributes, '$.user_id') AS user_attr,
           json_extract_string(log_attributes, '$.user.role') AS user_role
-          FROM logs WHERE json_extract_string(log_attributes, '$.user.role') = 'editor'"""
+          FROM logs WHERE json_extract_string(log_attributes, '$.user.role') = 'r0'"""
     ),
 )
 def promote_attr_column(spark, sf_dir):
@@ -164,7 +164,7 @@ def promote_attr_column(spark, sf_dir):
             "user_role": attributes.attr_text(attrs, ["user", "role"]),
         }
     ).write.parquet(path)
-    return spark.read.parquet(path).where(F.col("user_role") == "editor")
+    return spark.read.parquet(path).where(F.col("user_role") == "r0")
 
 
 @query(
@@ -189,12 +189,12 @@ def filter_keyword_simple(spark, sf_dir):
 @query(
     "page_logs",
     oracle.logs(
-        f"""SELECT {COLS} FROM logs WHERE {BETWEEN} AND service_name = 'ledger-api' AND severity = 'error'
+        f"""SELECT {COLS} FROM logs WHERE {BETWEEN} AND service_name = 'svc-0' AND severity = 'error'
           ORDER BY "timestamp", id LIMIT 50"""
     ),
 )
 def page_logs(spark, sf_dir):
-    q = search.LogQuery(START, END, service_name="ledger-api", level="error", limit=50)
+    q = search.LogQuery(START, END, service_name="svc-0", level="error", limit=50)
     return search.page(tables.event_logs(spark, sf_dir), q)
 
 

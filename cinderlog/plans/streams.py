@@ -110,13 +110,13 @@ def stream_throughput(spark, sf_dir):
 @query(
     "tail_logs",
     oracle.logs("""SELECT id, "timestamp", service_name, severity, body FROM logs
-      WHERE service_name = 'gate-api' AND severity IN ('warn', 'error', 'fatal')"""),
+      WHERE service_name = 'svc-3' AND severity IN ('warn', 'error', 'fatal')"""),
 )
 def tail_logs(spark, sf_dir):
     logs = tables.event_logs(spark, sf_dir).select("id", "timestamp", "service_name", "severity", "body")
     path = scratch_path(spark, "tail")
     jobs.tail_stream(
-        _arriving(spark, logs, "rows"), path, scratch_path(spark, "ckpt"), "gate-api", "warn"
+        _arriving(spark, logs, "rows"), path, scratch_path(spark, "ckpt"), "svc-3", "warn"
     ).awaitTermination()
     return spark.read.schema(logs.schema).parquet(path)
 

@@ -12,17 +12,15 @@ import gzip
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-SERVICE = (
-    "case user_id % 5 when 0 then 'ledger-api' when 1 then 'basket-api' "
-    "when 2 then 'stock-api' when 3 then 'gate-api' else 'courier-api' end"
-)
+from cinderlog.sources import attribute_cases
+
+SERVICE = "'svc-' || cast(user_id % 5 as string)"
 SEVERITY = (
     "case event_type when 'view' then 'debug' when 'click' then 'info' when 'signup' then 'warn' "
     "when 'error' then 'error' else 'fatal' end"
 )
 BODY = "event_type || ' by user ' || cast(user_id as string)"
 SPAN_ID = "substr(md5(cast(event_id as string)), 1, 16)"
-TEXT_ID = "cast(event_id as string)"
 SCHEMA_URL = "https://opentelemetry.io/schemas/1.21.0"
 
 # Attribute object of an event, keys in order; {k} is the number inside props.
@@ -30,8 +28,8 @@ LOG_ATTRIBUTES = (
     "'{{\"duration_ms\":' || cast(cast(round(value * 100) as bigint) as string) || ',\"http.status_code\":' || "
     "cast(200 + 100 * (event_id % 4) as string) || ',\"k\":' || {k} || "
     "case when event_id % 11 = 0 then ',\"note\":null' else '' end || ',\"tags\":[\"' || "
-    "case when event_id % 3 = 0 then 'gold' else 'std' end || '\",\"trial\"],\"user\":{{\"id\":\"u_' || "
-    "cast(user_id as string) || '\",\"role\":\"' || case when event_id % 7 = 0 then 'editor' else 'reader' end || "
+    "'t' || cast(event_id % 3 as string) || '\",\"all\"],\"user\":{{\"id\":\"u_' || "
+    "cast(user_id as string) || '\",\"role\":\"' || 'r' || cast(event_id % 7 as string) || "
     "'\"}},\"user_id\":\"u_' || cast(user_id as string) || '\"}}'"
 )
 RESOURCE_ATTRIBUTES = (
@@ -76,23 +74,10 @@ PAYLOAD = (
     "else '{{\"events\":[' || {e} || ']}}' end"
 )
 
-# Attribute objects for the sanitiser, by event_id % 64.
-DEEP = "{\"p\":{\"q\":{\"r\":{\"s\":{\"t\":"
-RAW_ATTRIBUTES = (
-    "case event_id % 64 "
-    "when 1 then '{{\"9lives\":3,\"wave🌊top\":4,\"two words\":1,\"semi;colon\":' || {id} || '}}' "
-    "when 2 then '" + DEEP.replace("{", "{{") + "{{\"u\":' || {id} || '}}}}}}}}}}}}' "
-    "when 3 then '" + DEEP.replace("{", "{{") + "' || {id} || '}}}}}}}}}}' "
-    "when 4 then '{{\"host.name\":\"y\",\"ok\":' || {id} || ',\"process.pid\":1,\"service.name\":\"x\"}}' "
-    "when 5 then '{{\"payload\":{{\"service.name\":' || {id} || '}}}}' "
-    "when 6 then '{{\"big\":\"' || repeat('x', 32868) || '\",\"id\":' || {id} || '}}' "
-    "when 7 then '" + "{{" + ",".join(f'"k{i:03d}":{i}' for i in range(250)) + "}}' "
-    "when 8 then '{{\"' || repeat('a', 305) || '\":' || {id} || '}}' "
-    "when 9 then '{{\"l\":[{{\"bad key\":1}}],\"m\":{{\"x y\":' || {id} || '}}}}' "
-    "when 10 then '{{\"a b\":1,\"a-b\":' || {id} || '}}' "
-    "when 11 then '{{}}' "
-    "else '{{\"id\":' || {id} || ',\"k\":1.5,\"s\":\"plain\"}}' end"
-).format(id=TEXT_ID)
+def raw_attributes_sql() -> str:
+    """SQL for one attribute object per event: the case of its id modulo 64."""
+    cases = " ".join(f"when {slot} then {case.sent}" for slot, case in enumerate(attribute_cases.CASES))
+    return f"replace(case event_id % 64 {cases} end, '@', cast(event_id as string))"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,7 +150,7 @@ def zipped_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One attribute object per event as the sanitiser's input."""
     rows = table(spark, sf_dir, "events").selectExpr(
-        f"{BATCH_ID} as batch_id", "event_id as event_index", f"{RAW_ATTRIBUTES} as log_attributes"
+        f"{BATCH_ID} as batch_id", "event_id as event_index", f"{raw_attributes_sql()} as log_attributes"
     )
     return rows.withColumn("log_attributes", F.from_json("log_attributes", "map<string, variant>"))
 
@@ -190,7 +175,7 @@ def producer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         field("ok", "bool", bool_val="event_id % 2 = 0"),
         field("elapsed", "duration", int64_val="cast(round(value * 100) as bigint) * 10000"),
         field("error", "error", string_val="'quote \" slash \\\\ line\\n end'"),
-        field("tags", "string_slice", json_val="'[\"gold\",\"trial\"]'"),
+        field("tags", "string_slice", json_val="'[\"t0\",\"all\"]'"),
         field("user", "object", json_val="'{\"id\":\"u_' || cast(user_id as string) || '\"}'"),
         field("blob", "any", json_val="'not json {'"),
         field("dup", "int64", int64_val="event_id"),

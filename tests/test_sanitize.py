@@ -2,87 +2,73 @@
 
 import json
 
+import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from cinderlog.operators.sanitize import sanitize_column, sanitize_object, warnings as warning_rows
+from cinderlog.fixed import MAX_ATTR_VALUE_BYTES
+from cinderlog.operators.sanitize import is_clean, rebuilt, sanitize_column, sanitize_object, warnings as warning_rows
+from cinderlog.sources.attribute_cases import CASES
 from pyspark.sql import functions as F
 
 
-def nest(*keys, leaf=1):
-    for key in reversed(keys):
-        leaf = {key: leaf}
-    return leaf
+def applied(sql, number=41):
+    """The text a case's SQL stands for."""
+    parts = []
+    for piece in sql.split(" || "):
+        if piece.startswith("repeat("):
+            char, n = piece[len("repeat("):-1].split(", ")
+            parts.append(char.strip("'") * int(n))
+        else:
+            parts.append(piece[1:-1])
+    return "".join(parts).replace("@", str(number))
 
 
-def test_flat_and_nested_stay():
-    raw = {"a": 1, "b": "x", "c": True, "d": {"e": None}}
-    assert sanitize_object(raw) == (raw, [])
+@pytest.mark.parametrize("slot", range(len(CASES)))
+def test_helper_follows_the_contract(slot):
+    case = CASES[slot]
+    clean, warned = sanitize_object(json.loads(applied(case.sent)))
+    assert clean == json.loads(applied(case.clean))
+    assert warned == [(kind, applied(path)) for kind, path in case.warned]
 
 
-def test_six_levels_flatten_to_the_root():
-    clean, warned = sanitize_object(nest(*"pqrstu"))
-    assert clean == {"p": {"q": {"r": {"s": {}}}}, "p.q.r.s.t.u": 1}
-    assert warned == [("flattened", "p.q.r.s.t")]
+def test_cases_by_every_way(spark):
+    """Rows through the three ways together, and how many need Python."""
+    rows = spark.createDataFrame([(i, applied(c.sent)) for i, c in enumerate(CASES)], "event_index int, j string")
+    parsed = rows.select("event_index", F.lit(0).alias("batch_id"), F.from_json("j", "map<string,variant>").alias("log_attributes"))
+    got = {r.event_index: r for r in sanitize_column(parsed, "log_attributes").collect()}
+    for i, case in enumerate(CASES):
+        assert json.loads(got[i].log_attributes) == json.loads(applied(case.clean)), case
+        assert [(w.kind, w.path) for w in got[i].attr_warnings] == [(k, applied(p)) for k, p in case.warned]
+    ways = parsed.withColumn("t", F.to_json("log_attributes")).select(
+        is_clean("log_attributes", "t").alias("clean"), rebuilt("log_attributes").alias("r"))
+    python = ways.where(~F.col("clean") & F.col("r.odd")).count()
+    # Two objects below flattened ones, three with too many keys, one with a text too long, one with names that clash.
+    assert python == 7
 
 
-def test_five_levels_stay():
-    raw = nest(*"pqrst")
-    assert sanitize_object(raw) == (raw, [])
+def test_ingest_events_stay_native(spark, sf_dir):
+    from cinderlog.operators import ingest
+    from cinderlog.sources import tables
 
+    events = ingest.accepted_events(ingest.check(ingest.decode(tables.payloads(spark, sf_dir))))
+    python = events.withColumn("t", F.to_json("log_attributes")).where(
+        ~is_clean("log_attributes", "t") & rebuilt("log_attributes")["odd"])
+    assert events.count() > 0 and python.count() == 0
 
-def test_deeper_levels_flatten_too():
-    clean, _ = sanitize_object(nest(*"pqrstuv"))
-    assert clean["p.q.r.s.t.u.v"] == 1
 
-
-def test_keys_are_cleaned_bytewise():
-    clean, warned = sanitize_object({"two words": 1, "semi;colon": 2, "9lives": 3, "wave🌊top": 4, "": 5, "_u": 6})
-    assert clean == {"two_words": 1, "semi_colon": 2, "_lives": 3, "wave____top": 4, "_": 5, "_u": 6}
-    assert ("key-empty", "") in warned
-
-
-def test_long_values_and_keys():
-    clean, warned = sanitize_object({"big": "x" * 32868, "k" * 305: 1, "edge": "x" * 32768})
-    assert len(clean["big"]) == 32768 and "k" * 255 in clean and len(clean["edge"]) == 32768
-    assert sorted(k for k, _ in warned) == ["key-truncated", "value-truncated"]
-
-
-def test_cut_inside_a_character():
-    clean, _ = sanitize_object({"a": "x" * 32767 + "😀"})
-    assert clean["a"] == "x" * 32767 + "�"
-
-
-def test_reserved_prefixes_only_at_the_top():
-    clean, warned = sanitize_object(
-        {"service.name": 1, "host.name": 2, "process.pid": 3, "payload": {"service.name": 4}, "services": 5}
-    )
-    assert clean == {"payload": {"service.name": 4}, "services": 5}
-    assert [k for k, _ in warned] == ["reserved"] * 3
-
-
-def test_key_limit_counts_all_levels():
-    clean, warned = sanitize_object({f"k{i:03d}": i for i in range(250)})
-    assert list(clean) == [f"k{i:03d}" for i in range(200)]
-    assert len(warned) == 50
-    clean, _ = sanitize_object({"a": {f"k{i:03d}": i for i in range(250)}, "b": 1})
-    assert len(clean["a"]) == 199 and "b" not in clean
-
-
-def test_arrays_are_left_alone():
-    raw = {"l": [{"bad key": {"x": 1}}]}
-    assert sanitize_object(raw) == (raw, [])
-
-
-def test_later_key_wins_a_clash():
-    assert sanitize_object({"a b": 1, "a-b": 2})[0] == {"a_b": 2}
+def test_empty_keys_and_cut_characters():
+    clean, warned = sanitize_object({"": 5, "t": "x" * (MAX_ATTR_VALUE_BYTES - 1) + "𝄞"})
+    assert clean == {"_": 5, "t": "x" * (MAX_ATTR_VALUE_BYTES - 1) + "\ufffd"}
+    assert warned == [("key-empty", ""), ("value-truncated", "t")]
 
 
+keys = st.one_of(st.from_regex(r"[a-z][a-z0-9_.]{0,5}", fullmatch=True), st.text(max_size=4))
 values = st.recursive(
     st.none() | st.booleans() | st.integers(-(2**40), 2**40) | st.text(max_size=4),
-    lambda inner: st.lists(inner, max_size=2) | st.dictionaries(st.text(max_size=4), inner, max_size=3),
+    lambda inner: st.lists(inner, max_size=2) | st.dictionaries(keys, inner, max_size=3),
     max_leaves=6,
 )
-objects = st.dictionaries(st.one_of(st.from_regex(r"[a-z][a-z0-9_.]{0,5}", fullmatch=True), st.text(max_size=6)), values, max_size=4)
+objects = st.dictionaries(keys, values, max_size=4)
 
 
 def test_column_equals_helper(spark):
@@ -95,7 +81,7 @@ def test_column_equals_helper(spark):
         samples.append(raw)
 
     collect()
-    samples += [{"ok": 1}, {"host.x": 1}, {"hostx": 1}, {"s": "{not an object"}, {"o": {}}, {}]
+    samples += [{"s": "{not an object"}, {"o": {}}, {}, {"q\"": {"": {"a b": [1, {"c": 2}]}}, "z": {"y": {"x": {"w": {"v": {"u": "t", "2": []}}}}}}]
     rows = spark.createDataFrame(
         [(i, json.dumps(s, ensure_ascii=True)) for i, s in enumerate(samples)], "event_index int, log_attributes string"
     )

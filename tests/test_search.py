@@ -118,18 +118,18 @@ def test_plan_of_a_page(spark, tmp_path, sf_dir):
     source = tables.event_logs(spark, sf_dir).select(*LOG_COLUMNS)
     sinks.append_logs(source, str(tmp_path / "t"), "a", with_terms=False)
     table = sinks.read_logs(spark, str(tmp_path / "t"))
-    q = LogQuery(dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 4), service_name="gate-api", level="error",
+    q = LogQuery(dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 4), service_name="svc-3", level="error",
                  cursor=Cursor(dt.datetime(2024, 1, 3, 1), 7))
     text = plan(search.page(table, q))
     assert "TakeOrderedAndProject" in text and "Exchange" not in text
     # Day bounds begin at the cursor, and only finished loads are read.
     pruned = next(line for line in text.splitlines() if line.startswith("PartitionFilters"))
     assert "isnotnull(event_date" in pruned and "event_date#" in pruned and "load#" in pruned
-    for pushed in ("EqualTo(service_name,gate-api)", "EqualTo(severity,error)", "GreaterThanOrEqual(timestamp"):
+    for pushed in ("EqualTo(service_name,svc-3)", "EqualTo(severity,error)", "GreaterThanOrEqual(timestamp"):
         assert pushed in text
     from cinderlog.functions import attributes
 
-    hit = table.where(attributes.contains(F.col("log_attributes"), {"user": {"role": "editor"}})).select("id")
+    hit = table.where(attributes.contains(F.col("log_attributes"), {"user": {"role": "r0"}})).select("id")
     text = plan(hit)
     assert "EqualTo(log_attributes" in text, text  # the shredded field is filtered in the scan
 
