@@ -50,10 +50,27 @@ def drop_aged_days(
     """Drop the ``event_date=`` folders in which every row has outlived ``days``, return how many.
 
     ``logs`` are the rows of ``path``; only their times are read, and one row per
-    expired day comes to the driver.
+    expired day comes to the driver. Folders of loads that aren't committed stay, and so does the
+    day then: a load in flight must find its rows when it commits.
     """
     aged = by_row_age(logs, F.lit(as_of).cast("timestamp_ntz"), days, ts=ts).where("dropped")
-    return delete_paths(spark, [f"{path}/event_date={r['event_date']}" for r in aged.select("event_date").collect()])
+    return _drop_days(spark, path, [f"{path}/event_date={r['event_date']}" for r in aged.select("event_date").collect()])
+
+
+def _drop_days(spark: SparkSession, path: str, days: list[str]) -> int:
+    """Remove day folders; of a day with loads in flight only the committed ones. Returns how many went whole."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole, parts = [], []
+    for day in days:
+        loads = [s.getPath() for s in fs.listStatus(at(day)) if s.getPath().getName().startswith("load=")]
+        done = [str(p) for p in loads if fs.exists(at(f"{path}/_loads/{p.getName().removeprefix('load=')}"))]
+        if len(done) == len(loads):
+            whole.append(day)
+        else:
+            parts += done
+    delete_paths(spark, parts)
+    return delete_paths(spark, whole)
 
 
 def drop_old_days(
@@ -61,7 +78,7 @@ def drop_old_days(
 ) -> int:
     """Drop the expired ``event_date=`` folders of a log table, return how many.
 
-    Only the folder names are listed; no data is read.
+    Only the folder names are listed; no data is read. Loads in flight stay, as in ``drop_aged_days``.
     """
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
@@ -77,4 +94,4 @@ def drop_old_days(
                 continue  # not a day folder
             if start < cutoff:
                 expired.append(status.getPath().toString())
-    return delete_paths(spark, expired)
+    return _drop_days(spark, path, expired)

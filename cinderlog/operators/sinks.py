@@ -70,10 +70,18 @@ def append_logs(
     if _is_committed(logs.sparkSession, path, load):
         return
     rows = table_rows(logs, promote, with_terms).withColumn("load", F.lit(load))
+    _drop_attempt(logs.sparkSession, path, load)
     _write(_clustered(rows, by_service), path)
     _commit(logs.sparkSession, path, load)
 
 
+def _drop_attempt(spark: SparkSession, path: str, load: str) -> None:
+    """Remove what a try that was never committed left behind: it may have had rows of other days."""
+    fs, at = _files(spark, path)
+    for status in fs.globStatus(at(f"{path}/event_date=*/load={load}")) or []:
+        fs.delete(status.getPath(), True)
+
+
 def _write(rows: DataFrame, path: str) -> None:
     (
         rows.write.mode("overwrite")
@@ -92,6 +100,42 @@ def _files(spark: SparkSession, path: str):
     return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def writer_number(spark: SparkSession, path: str, writer: str) -> int:
+    """A small number for ``writer`` that no other writer of the table has; the same one whenever it is asked.
+
+    Numbers are files of ``<path>/_writers``. Who creates a number's file owns it. A
+    writer that broke off in between leaves a number unused.
+    """
+    fs, at = _files(spark, path)
+    home = at(f"{path}/_writers")
+    fs.mkdirs(home)
+    taken = {}
+    for status in fs.listStatus(home):
+        name = status.getPath().getName()
+        if not name.startswith("."):
+            number, _, owner = name.partition("=")
+            taken[int(number)] = owner
+    for number, owner in taken.items():
+        if owner == writer:
+            return number
+    number = max(taken, default=-1) + 1
+    while True:
+        if _make_once(fs, at(f"{path}/_writers/.{number}")):
+            fs.create(at(f"{path}/_writers/{number}={writer}")).close()
+            return number
+        number += 1
+
+
+def _make_once(fs, path) -> bool:
+    """Create an empty file unless it exists; True for the one who did."""
+    try:
+        return bool(fs.createNewFile(path))
+    except Exception:
+        if fs.exists(path):
+            return False
+        raise
+
+
 def _is_committed(spark: SparkSession, path: str, load: str) -> bool:
     fs, at = _files(spark, path)
     return fs.exists(at(f"{path}/_loads/{load}"))

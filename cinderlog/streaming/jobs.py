@@ -13,6 +13,10 @@ from cinderlog import fixed
 from cinderlog.operators import ingest, rollup, search, sinks
 
 
+# Row ids of streams: ten bits for the writer, 23 for its micro-batch, 30 for the row's place in it.
+WRITER_SHIFT, BATCH_SHIFT = 53, 30
+
+
 def _trigger(writer: DataStreamWriter, seconds: int | None) -> DataStreamWriter:
     """Every ``seconds``, or once over what is there."""
     return writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
@@ -28,18 +32,26 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Decode, check and sanitise payloads and append them; rejects go to a dead-letter table.
 
-    Both writes are keyed by the micro-batch, so a replay rewrites the same
-    folders. Row ids are the micro-batch number above the row's place in it,
-    unique without a pass over earlier loads. The checked batches are persisted
+    Both writes are keyed by the query and the micro-batch, so a replay rewrites the
+    same folders, and neither another stream into the same table nor one that
+    begins anew with a fresh checkpoint is taken for a replay. A checkpoint keeps its query's id.
+    Row ids are the query's writer number, the micro-batch number and the row's place
+    in it, unique without a pass over earlier loads. The checked batches are persisted
     and came without an exchange, so their rows keep their places.
     """
+    spark = payloads.sparkSession
+    known: dict[str, int] = {}
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if query not in known:
+            known[query] = sinks.writer_number(spark, logs_path, query)
+        load = f"{query}-{batch_id}"
         checked = ingest.check(ingest.decode(batch)).persist()
         try:
-            rows = ingest.to_log_rows(checked, batch_id << 40, now, materialize=False)
-            sinks.append_logs(rows, logs_path, f"b{batch_id}", by_service=False)
-            rejected = ingest.verdicts(checked).where(~F.col("accepted")).withColumn("load", F.lit(f"b{batch_id}"))
+            base = known[query] << WRITER_SHIFT | batch_id << BATCH_SHIFT
+            sinks.append_logs(ingest.to_log_rows(checked, base, now, materialize=False), logs_path, load, by_service=False)
+            rejected = ingest.verdicts(checked).where(~F.col("accepted")).withColumn("load", F.lit(load))
             (
                 rejected.write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")

@@ -193,3 +193,34 @@ def test_aged_days_and_bounded_reads(spark, sf_dir, tmp_path):
     trace = logs.where("trace_id is not null and event_date = '2024-01-21'").first()["trace_id"]
     found = search.trace_lookup(logs, trace, start=dt.datetime(2024, 1, 21), end=dt.datetime(2024, 1, 22))
     assert found.count() == logs.where(F.col("trace_id") == trace).count() > 0
+
+
+def _break_off(monkeypatch):
+    monkeypatch.setattr(sinks, "_commit", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+
+
+def test_retry_with_other_days_leaves_nothing_of_the_first_try(spark, sf_dir, tmp_path, monkeypatch):
+    logs = tables.event_logs(spark, sf_dir).select(*LOG_COLUMNS)
+    path, days = str(tmp_path / "t"), [r[0] for r in logs.select(F.to_date("timestamp")).distinct().orderBy(F.to_date("timestamp")).limit(2).collect()]
+    day = F.to_date("timestamp")
+    with monkeypatch.context() as m:
+        _break_off(m)
+        with pytest.raises(OSError):
+            sinks.append_logs(logs.where(day.isin(days)), path, "a")
+    assert sinks.read_logs(spark, path).count() == 0
+    sinks.append_logs(logs.where(day == days[0]), path, "a")
+    assert sinks.read_logs(spark, path).count() == logs.where(day == days[0]).count()
+
+
+def test_retention_keeps_loads_in_flight(spark, sf_dir, tmp_path, monkeypatch):
+    logs, path = tables.event_logs(spark, sf_dir).select(*LOG_COLUMNS), str(tmp_path / "t")
+    sinks.append_logs(logs.where("id % 2 = 0"), path, "a")
+    with monkeypatch.context() as m:
+        _break_off(m)
+        with pytest.raises(OSError):
+            sinks.append_logs(logs.where("id % 2 = 1"), path, "b")
+    late = dt.datetime(2100, 1, 1)
+    assert retention.drop_old_days(spark, path, late) == 0
+    sinks._commit(spark, path, "b")
+    assert sinks.read_logs(spark, path).count() == logs.where("id % 2 = 1").count()
+    assert retention.drop_old_days(spark, path, late) > 0
