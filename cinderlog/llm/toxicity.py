@@ -3,21 +3,23 @@
 A word's input is a learned vector of its hash bucket beside a vector made of its
 first and last letters' bytes by place, so that unseen words are judged by their
 letters. A word too long for these places is read in overlapping pieces, so every
-byte but the marks in it is an input. A gated recurrent network reads each window
-of ``WINDOW`` words in both directions, attention pools its states and gives the
-window a logit. Windows start at every ``STRIDE``-th word, so they overlap and each word of a text is read, but a
-phrase longer than the overlap can lie across two of them. A logistic layer over
-what they say together (the largest, the largest few, their number and share)
+byte but the marks in it is an input. A gated recurrent network reads lanes of ``LANE``
+words in both directions. All windows of ``WINDOW`` words, one for each start, are
+scored: a window's attention pools the states of its own words, which sums that run
+along the lane give for all windows at once. Lanes start every ``WINDOW`` words,
+so each window lies within one. A logistic layer over
+what the windows say together (the largest, the largest few, their number and share)
 scores the document.
 
 Everything is trained here with numpy: on at most ``MOST`` labelled documents of
 each class, chosen by hash of their ids, of which a quarter only teach the logistic
-layer; of a document the network learns from ``WINDOWS`` windows. Texts come in;
-labels, language, source and ids never do.
+layer. Any window of a document can be drawn for training. One executor task trains
+and sends the model, whose size is fixed. Texts come in; labels, language, source and ids never do.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from dataclasses import dataclass
 
@@ -31,16 +33,15 @@ from cinderlog.llm.common import id_and_text, with_whole
 
 FOLDS = 5
 MOST = 2000
-WINDOW, STRIDE = 32, 24
+WINDOW, LANE = 32, 64
 HEAD, TAIL = 8, 4
 # From one piece of a long word to the next, in bytes.
 PIECE_STEP = 4
 BUCKET_BITS = 14
 WORD_SIZE, LETTER_SIZE, STATE, ATTEND = 8, 16, 8, 8
 STEPS, BATCH, RATE = 500, 192, 0.01
-# Windows of one training document, at most.
-WINDOWS = 24
-LOT = 4096
+# Lanes computed at once, and bytes of training text read at once.
+LOT, READ = 4096, 1 << 20
 # Marks taken off either end of a word, at most.
 MARKS = 4
 IS_MARK = np.zeros(256, bool)
@@ -60,16 +61,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Distinct words of some texts, and the windows over them.
+    """Distinct words of some texts, and the lanes over them.
 
-    ``windows`` numbers words by their row in ``buckets`` and ``letters``; the last
-    row is padding. ``owner`` is the text of each window, in order.
+    ``lanes`` numbers words by their row in ``buckets`` and ``letters``; the last
+    row is padding. ``owner`` is the text of each lane, in order; its windows begin at
+    its first ``starts`` words.
     """
 
     buckets: np.ndarray
     letters: np.ndarray
-    windows: np.ndarray
+    lanes: np.ndarray
     owner: np.ndarray
+    starts: np.ndarray
+
+    def some(self, lanes: np.ndarray) -> Words:
+        return Words(self.buckets, self.letters, self.lanes[lanes], self.owner[lanes], self.starts[lanes])
 
 
 def pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,16 +131,41 @@ def read_words(data: np.ndarray, rows: np.ndarray) -> Words:
     letters = np.where(inside, lowered + 1, 0) + np.arange(HEAD + TAIL) * 257
     padding = (np.arange(HEAD + TAIL) * 257)[None, :]
     sizes = np.diff(begins)
-    # The last window reaches the end; a text without words has one empty window.
-    count = np.maximum(1, -(-(sizes - WINDOW) // STRIDE) + 1)
+    # The last window reaches the end; a text of fewer words has one window.
+    last = np.maximum(sizes - WINDOW, 0)
+    count = last // WINDOW + 1
     owner = np.repeat(np.arange(len(sizes)), count)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    at = (nth * STRIDE)[:, None] + np.arange(WINDOW)
+    starts = np.minimum(last[owner] - nth * WINDOW + 1, WINDOW)
+    at = (nth * WINDOW)[:, None] + np.arange(LANE)
     known = at < sizes[owner][:, None]
     index = np.where(known, begins[:-1][owner][:, None] + at, 0)
-    windows = np.where(known, number[index] if len(number) else 0, len(distinct))
-    buckets = np.append((distinct >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 0)
-    return Words(buckets, np.concatenate([letters, padding]), windows, owner)
+    lanes = np.where(known, number[index] if len(number) else 0, len(distinct)).astype(np.int32)
+    buckets = np.append((distinct >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), 0)
+    return Words(buckets, np.concatenate([letters, padding]).astype(np.int32), lanes, owner, starts)
+
+
+def read_texts(texts: list[bytes]) -> Words:
+    """As ``read_words``, some megabytes at a time, so that only numbers of words are held."""
+    made, lot, held = [], [], 0
+    for i, text in enumerate(texts):
+        lot.append(text)
+        held += len(text)
+        if held >= READ or i == len(texts) - 1:
+            made.append((i + 1 - len(lot), read_words(*_flat(lot))))
+            lot, held = [], 0
+    if not made:
+        return read_words(*_flat([]))
+    # Each lot's padding goes; one row at the end pads all.
+    rows = np.cumsum([0] + [len(w.buckets) - 1 for _, w in made])
+    lanes = [np.where(w.lanes == len(w.buckets) - 1, rows[-1], w.lanes + first) for (_, w), first in zip(made, rows, strict=False)]
+    last = made[-1][1]
+    return Words(
+        np.concatenate([w.buckets[:-1] for _, w in made] + [last.buckets[-1:]]),
+        np.concatenate([w.letters[:-1] for _, w in made] + [last.letters[-1:]]),
+        np.concatenate(lanes).astype(np.int32), np.concatenate([w.owner + at for at, w in made]),
+        np.concatenate([w.starts for _, w in made]),
+    )
 
 
 def fresh(seed: int = 1) -> dict[str, np.ndarray]:
@@ -189,17 +220,31 @@ def pooled(net: dict, states: np.ndarray, mask: np.ndarray):
     return weight, units, pool, pool @ net["out"] + net["out_bias"][0]
 
 
-def window_logits(net: dict, words: Words) -> np.ndarray:
-    """Logits of all windows."""
+def windows_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Lane and place in it of every window, in order of lanes."""
+    lane = np.repeat(np.arange(len(words.lanes)), words.starts)
+    return lane, np.arange(len(lane)) - np.repeat(np.cumsum(words.starts) - words.starts, words.starts)
+
+
+def window_logits(net: dict, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of all windows, and their texts."""
     x = inputs(net, words.buckets, words.letters)
     ways = [(w, x @ net[f"{w}_in"] + net[f"{w}_bias"]) for w in ("ahead", "back")]
-    out = np.empty(len(words.windows), np.float32)
-    for a in range(0, len(out), LOT):
-        index = words.windows[a : a + LOT]
-        mask = (index < len(words.buckets) - 1).astype(np.float32)
-        states = np.concatenate([walk(net, w, p, index, mask) for w, p in ways], axis=2)
-        out[a : a + LOT] = pooled(net, states, mask)[3]
-    return out
+    out = [np.zeros(0)]
+    for a in range(0, len(words.lanes), LOT):
+        part = words.some(np.arange(a, min(a + LOT, len(words.lanes))))
+        mask = (part.lanes < len(words.buckets) - 1).astype(np.float32)
+        states = np.concatenate([walk(net, w, p, part.lanes, mask) for w, p in ways], axis=2)
+        energy = np.tanh(states @ net["attend"] + net["attend_bias"]) @ net["focus"]
+        energy = np.where(mask.T > 0, energy, -np.inf).astype(np.float64)
+        top = np.maximum(energy.max(axis=0), -1e9)
+        weight = np.exp(energy - top)
+        # Running sums along the lane: a window's are differences of two.
+        sums = [np.vstack([np.zeros(len(part.lanes)), np.cumsum(v, axis=0)]) for v in (weight, weight * (states @ net["out"]))]
+        lane, at = windows_of(part)
+        total, said = (v[at + WINDOW, lane] - v[at, lane] for v in sums)
+        out.append(np.where(total > 0, said / np.maximum(total, 1e-300), 0) + net["out_bias"][0])
+    return np.concatenate(out), words.owner[windows_of(words)[0]]
 
 
 def summed(index: np.ndarray, rows: np.ndarray, into: np.ndarray) -> np.ndarray:
@@ -211,17 +256,19 @@ def summed(index: np.ndarray, rows: np.ndarray, into: np.ndarray) -> np.ndarray:
     return into
 
 
-def gradients(net: dict, words: Words, chosen: np.ndarray, wanted: np.ndarray) -> dict:
-    """Gradients of the mean cross-entropy over some windows, by backpropagation through time."""
-    index = words.windows[chosen]
+def gradients(net: dict, words: Words, chosen: np.ndarray, place: np.ndarray, wanted: np.ndarray) -> dict:
+    """Gradients of the mean cross-entropy over the windows at ``place`` of some lanes, by backpropagation through time."""
+    index = words.lanes[chosen]
     used, index = np.unique(index, return_inverse=True)
-    index = index.reshape(len(chosen), WINDOW)
-    mask = (words.windows[chosen] < len(words.buckets) - 1).astype(np.float32)
+    index = index.reshape(len(chosen), LANE)
+    mask = (words.lanes[chosen] < len(words.buckets) - 1).astype(np.float32)
+    time = np.arange(LANE) - place[:, None]
+    seen = mask * ((time >= 0) & (time < WINDOW))
     x = inputs(net, words.buckets[used], words.letters[used])
     kept: dict[str, list] = {"ahead": [], "back": []}
     parts = [walk(net, w, x @ net[f"{w}_in"] + net[f"{w}_bias"], index, mask, kept[w]) for w in kept]
     states = np.concatenate(parts, axis=2)
-    weight, units, pool, logit = pooled(net, states, mask)
+    weight, units, pool, logit = pooled(net, states, seen.astype(np.float32))
     error = ((sigmoid(logit) - wanted) / len(chosen)).astype(np.float32)
     out = {"out": pool.T @ error, "out_bias": error.sum(keepdims=True)}
     to_pool = error[:, None] * net["out"]
@@ -237,7 +284,7 @@ def gradients(net: dict, words: Words, chosen: np.ndarray, wanted: np.ndarray) -
     for k, way in enumerate(kept):
         own, recurrent = to_states[:, :, k * STATE : (k + 1) * STATE], net[f"{way}_state"]
         d_state, d_recurrent = np.zeros((len(chosen), STATE), np.float32), np.zeros_like(recurrent)
-        d_own = np.empty((WINDOW, len(chosen), 3 * STATE), np.float32)
+        d_own = np.empty((LANE, len(chosen), 3 * STATE), np.float32)
         for t, before, z, r, new, past, step in reversed(kept[way]):
             d_state = d_state + own[t]
             d_new = d_state * step * (1 - new**2)
@@ -259,6 +306,18 @@ def gradients(net: dict, words: Words, chosen: np.ndarray, wanted: np.ndarray) -
     return out
 
 
+class Draw:
+    """Windows to draw from: a text by chance, then one of its windows."""
+
+    def __init__(self, windows: np.ndarray, owner: np.ndarray) -> None:
+        self.windows = windows
+        _, self.begin, self.count = np.unique(owner[windows], return_index=True, return_counts=True)
+
+    def __call__(self, rng: np.random.Generator, n: int) -> np.ndarray:
+        text = rng.integers(len(self.begin), size=n)
+        return self.windows[self.begin[text] + (rng.random(n) * self.count[text]).astype(np.int64)]
+
+
 def train_windows(words: Words, toxic: np.ndarray, steps: int = STEPS, seed: int = 1) -> dict:
     """A network from windows that inherit their documents' labels.
 
@@ -266,22 +325,22 @@ def train_windows(words: Words, toxic: np.ndarray, steps: int = STEPS, seed: int
     window of such a text is toxic. Word vectors are often blanked, so that letters count.
     """
     rng, net = np.random.default_rng(seed), fresh(seed)
-    label = toxic[words.owner]
-    few = np.lexsort((rng.random(len(label)), words.owner))
-    place = np.arange(len(few)) - np.searchsorted(words.owner[few], words.owner[few])
-    pick = few[place < WINDOWS]
+    lane, at = windows_of(words)
+    owner = words.owner[lane]
+    label = toxic[owner]
+    classes = [Draw(np.flatnonzero(label == c), owner) for c in (0, 1) if (label == c).any()]
     first = {k: np.zeros_like(v) for k, v in net.items()}
     second = {k: np.zeros_like(v) for k, v in net.items()}
-    classes = [pick[label[pick] == c] for c in (0, 1)]
     for step in range(1, steps + 1):
         if step == steps // 2:
-            hit = sigmoid(window_logits(net, Words(words.buckets, words.letters, words.windows[classes[1]], classes[1]))) > 0.2
-            classes[1] = classes[1][hit] if hit.any() else classes[1]
-        chosen = np.concatenate([rng.choice(c, BATCH // 2) for c in classes if len(c)])
+            hit = np.flatnonzero((label == 1) & (sigmoid(window_logits(net, words)[0]) > 0.2))
+            if len(hit):
+                classes[-1] = Draw(hit, owner)
+        chosen = np.concatenate([draw(rng, BATCH // 2) for draw in classes])
         blanked = words
         if step % 2:
-            blanked = Words(np.zeros_like(words.buckets), words.letters, words.windows, words.owner)
-        slope = gradients(net, blanked, chosen, label[chosen])
+            blanked = Words(np.zeros_like(words.buckets), words.letters, words.lanes, words.owner, words.starts)
+        slope = gradients(net, blanked, lane[chosen], at[chosen], label[chosen])
         rate = RATE * min(1.0, 3 * (1 - step / (steps + 1)))
         for k, g in slope.items():
             first[k] += 0.1 * (g - first[k])
@@ -321,7 +380,7 @@ class Model:
     weights: np.ndarray
 
     def scores(self, words: Words, n: int) -> np.ndarray:
-        x = (document_features(window_logits(self.net, words), words.owner, n) - self.mean) / self.scale
+        x = (document_features(*window_logits(self.net, words), n) - self.mean) / self.scale
         return sigmoid(np.column_stack([x, np.ones(n)]) @ self.weights)
 
 
@@ -339,22 +398,45 @@ def train(texts: list[bytes], toxic: list[int], steps: int = STEPS) -> Model:
     if len(set(label[last])) < 2 or len(set(label[~last])) < 2:
         last = np.ones(len(texts), bool)
     learn = np.flatnonzero(~last) if not last.all() else np.arange(len(texts))
-    net = train_windows(read_words(*_flat([texts[i] for i in learn])), label[learn], steps)
+    net = train_windows(read_texts([texts[i] for i in learn]), label[learn], steps)
     own = np.flatnonzero(last)
-    words = read_words(*_flat([texts[i] for i in own]))
-    return Model(net, *fit_logistic(document_features(window_logits(net, words), words.owner, len(own)), label[own]))
+    logits = window_logits(net, read_texts([texts[i] for i in own]))
+    return Model(net, *fit_logistic(document_features(*logits, len(own)), label[own]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST) -> tuple[list[bytes], list[int]]:
-    """At most ``most`` training texts of each class; the bound is a parameter of the model."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
+    """(doc_id, toxic, text) of at most ``most`` training texts of each class; the bound is a parameter of the model.
+
+    Of conflicting labels 1 counts, of several texts of an id the bytewise smallest.
+    """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
-        F.col("toxic").isin(0, 1) & (fold != 0)).dropDuplicates(["doc_id"])
+        F.col("toxic").isin(0, 1) & (fold != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
-    rows = docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select(
-        "doc_id", "toxic", F.col("text").cast("binary").alias("text")).dropDuplicates(["doc_id"])
-    got = sorted(rows.collect(), key=lambda r: zlib.crc32(f"order {r.doc_id}".encode()))
-    return [bytes(r.text) for r in got], [r.toxic for r in got]
+    return docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id", "toxic").agg(
+        F.min(F.col("text").cast("binary")).alias("text"))
+
+
+def _fit(steps: int):
+    """The one task that trains: its rows come in a fixed mixed order."""
+
+    def fit(source):
+        texts, toxic = [], []
+        for batch in source:
+            texts += batch.column("text").to_pylist()
+            toxic += batch.column("toxic").to_pylist()
+        if texts:
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(train(texts, toxic, steps))]})
+
+    return fit
+
+
+def trained(docs: DataFrame, labels: DataFrame, most: int = MOST, steps: int = STEPS) -> Model:
+    """A model of the labelled sample, made by one executor task; only the model comes to the driver."""
+    mixed = F.crc32(F.concat(F.lit("order "), F.col("doc_id").cast("string")).cast("binary"))
+    rows = labelled_sample(docs, labels, most).repartition(1).sortWithinPartitions(mixed, "doc_id")
+    made = rows.select("toxic", "text").mapInArrow(_fit(steps), "model binary").collect()
+    return pickle.loads(bytes(made[0].model)) if made else train([], [], steps)
 
 
 def _score(model):
@@ -381,15 +463,15 @@ def score_toxicity(
 
     ``docs`` has doc_id and text, ``labels`` has doc_id and toxic; other columns are
     ignored, or kept in ``whole`` with ``carry``. Labels are learned from rows whose crc32(doc_id as text) is not 0 modulo
-    5; those with a NULL id or label are ignored, and of labels that repeat an id
-    one counts. ``score`` depends on the text alone, ``predicted`` is 1 from 0.5.
+    5; those with a NULL id or label are ignored, and of labels that contradict each
+    other 1 counts. ``score`` depends on the text alone, ``predicted`` is 1 from 0.5.
 
     A NULL or empty text is scored as one empty window. Rows that repeat an id are
     scored one by one; a NULL id is held out. Without labels of both classes every
     text gets the share of toxic ones. An empty table gives an empty result.
     """
     docs = id_and_text(docs, carry)
-    model = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, most), steps))
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, most, steps))
     return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(
         _score(model), with_whole("doc_id long, held_out boolean, score double, predicted int", docs)
     )

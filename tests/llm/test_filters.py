@@ -235,14 +235,15 @@ def test_gradients_match_differences():
     texts = [b"one two three four", b"bad word here", b"", b"a b c " * 30]
     words = toxicity.read_words(*toxicity._flat(texts))
     net = {k: v.astype(np.float64) + rng.normal(0, 0.05, v.shape) for k, v in toxicity.fresh().items()}
-    chosen, wanted = np.array([0, 1, 3, 4]), np.array([0.0, 1.0, 0.0, 1.0])
+    lane, at = toxicity.windows_of(words)
+    own, wanted = np.linspace(0, len(lane) - 1, 6).astype(int), np.array([0.0, 1.0, 0.0, 1.0, 1.0, 0.0])
+    chosen, place = lane[own], at[own]
 
     def loss():
-        part = toxicity.Words(words.buckets, words.letters, words.windows[chosen], words.owner[chosen])
-        logits = toxicity.window_logits(net, part).astype(np.float64)
+        logits = toxicity.window_logits(net, words)[0][own]
         return np.mean(np.log1p(np.exp(logits)) - wanted * logits)
 
-    slope = toxicity.gradients(net, words, chosen, wanted)
+    slope = toxicity.gradients(net, words, chosen, place, wanted)
     for name, g in slope.items():
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         before = net[name][at]
@@ -254,11 +255,76 @@ def test_gradients_match_differences():
         assert (up - down) / 2e-3 == pytest.approx(g[at], rel=1e-2, abs=1e-5), name
 
 
-def test_windows_cover_every_word():
-    text = " ".join(f"w{i}!" for i in range(100)).encode()
-    words = toxicity.read_words(*toxicity._flat([text, b"", b" \n", b"solo"]))
-    assert len(set(words.windows[words.owner == 0].ravel()) - {len(words.buckets) - 1}) == 100
-    assert np.bincount(words.owner).tolist() == [4, 1, 1, 1]
+def test_every_window_is_there(monkeypatch):
+    texts = [" ".join(f"w{i}!" for i in range(n)).encode() for n in (100, 0, 1, 31, 32, 33, 63, 64, 65, 96)] + [b" \n"]
+    words = toxicity.read_words(*toxicity._flat(texts))
+    lane, at = toxicity.windows_of(words)
+    seen = defaultdict(list)
+    for i, o in zip(lane, at, strict=True):
+        seen[int(words.owner[i])].append(tuple(words.lanes[i, o : o + 32]))
+    sizes = [100, 0, 1, 31, 32, 33, 63, 64, 65, 96, 0]
+    assert [len(seen[i]) for i in range(11)] == [max(1, n - 31) for n in sizes]
+    assert all(len(set(w)) == len(w) for i, w in seen.items())
+    monkeypatch.setattr(toxicity, "READ", 150)
+    lots = toxicity.read_texts(texts)
+    assert lots.owner.tolist() == words.owner.tolist() and lots.starts.tolist() == words.starts.tolist()
+    assert (lots.letters[lots.lanes] == words.letters[words.lanes]).all() and (lots.buckets[lots.lanes] == words.buckets[words.lanes]).all()
+
+
+def plain_score(model, text):
+    """Word by word and window by window in plain loops; words here have at most twelve bytes and no marks."""
+    net, said = model.net, text.lower().split()
+    tokens = [w for i, w in enumerate(said) if i == 0 or w != said[i - 1]]
+
+    def vector(word):
+        raw = word.encode()
+        data = np.frombuffer(raw, np.uint8)
+        hashed = toxicity.hashing.stretch(toxicity.hashing.running(data), np.array([0]), np.array([len(data)]))[0]
+        shape = net["letter_bias"].astype(np.float64)
+        places = [raw[i] if i < len(raw) else None for i in range(8)] + [raw[len(raw) - 4 + i] if len(raw) - 4 + i >= 0 else None for i in range(4)]
+        for i, byte in enumerate(places):
+            shape = shape + net["letter"][i * 257 + (0 if byte is None else byte + 1)]
+        return np.concatenate([net["word"][int(hashed) >> (64 - toxicity.BUCKET_BITS)], np.tanh(shape)])
+
+    def states(way, vectors):
+        state, out = np.zeros(8), []
+        for x in vectors if way == "ahead" else vectors[::-1]:
+            own, past = x @ net[f"{way}_in"] + net[f"{way}_bias"], state @ net[f"{way}_state"]
+            z, r = (1 / (1 + np.exp(-(own[a:b] + past[a:b]))) for a, b in ((0, 8), (8, 16)))
+            state = state + z * (np.tanh(own[16:] + r * past[16:]) - state)
+            out.append(state)
+        return out if way == "ahead" else out[::-1]
+
+    logits = []
+    for begin in range(max(1, len(tokens) - 31)):
+        lane = begin // 32 * 32
+        vectors = [vector(w) for w in tokens[lane : lane + 64]]
+        both = [np.concatenate(x) for x in zip(states("ahead", vectors), states("back", vectors), strict=True)]
+        both = both[begin - lane : begin - lane + 32]
+        energy = np.array([np.tanh(b @ net["attend"] + net["attend_bias"]) @ net["focus"] for b in both])
+        weight = np.exp(energy - energy.max()) if both else energy
+        pool = sum(w * b for w, b in zip(weight, both, strict=True)) / weight.sum() if both else np.zeros(16)
+        logits.append(pool @ net["out"] + net["out_bias"][0])
+    chance = [1 / (1 + np.exp(-x)) for x in logits]
+    top = sorted(logits, reverse=True)[:3]
+    top += top[-1:] * (3 - len(top))
+    x = np.array([top[0], np.mean(top), np.log1p(sum(chance)), sum(chance) / len(chance), np.log(len(chance))])
+    return 1 / (1 + np.exp(-(np.append((x - model.mean) / model.scale, 1) @ model.weights)))
+
+
+def test_scores_against_plain_loops(spark, insults):
+    rng = random.Random(8)
+    docs = spark.createDataFrame(insults, "doc_id long, text string, toxic int")
+    model = toxicity.trained(toxicity.id_and_text(docs), docs, steps=60)
+    texts = ["", "solo", "same same same"] + [t for _, t, _ in insults[:12]] + [" ".join(rng.choices("ab cé dog Nasty dreadful".split(), k=k)) for k in (33, 64, 90, 300)]
+    got = toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), docs.limit(0)).collect()
+    assert len(got) == len(texts)
+    scored = model.scores(toxicity.read_words(*toxicity._flat([t.encode() for t in texts])), len(texts))
+    assert scored == pytest.approx([plain_score(model, t) for t in texts], abs=1e-4)
+    # The query's rows are these scores, rounded.
+    rows = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, docs, steps=60).collect()}
+    for i, text, _ in insults[:8]:
+        assert rows[i] == pytest.approx(plain_score(model, text), abs=2e-4)
 
 
 def test_every_byte_of_long_words_is_read():
