@@ -33,7 +33,16 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: a cut lineage."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*settled: DataFrame) -> None:
+    """Remove settled stages that nothing reads any more: what was made of them is written itself."""
+    for df in settled:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_and_text(docs: DataFrame, carry: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.common import settle
+from cinderlog.llm.common import discard, settle
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,7 +18,8 @@ def components(links: DataFrame) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
-        edges = settle(_small_star(_large_star(edges)), "edges")
+        old, edges = edges, settle(_small_star(_large_star(edges)), "edges")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlog.llm import hashing
-from cinderlog.llm.common import id_and_text, row_key, settle, with_whole
+from cinderlog.llm.common import discard, id_and_text, row_key, settle, with_whole
 from cinderlog.llm.components import components
 
 WORDS = 5
@@ -265,8 +265,8 @@ class Join:
             links = links.union(more)
         return settle(components(links).select(F.col("node").alias("c"), "label"), "set-labels")
 
-    def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """(c, n, shingles) of the written classes ``wanted`` (c), from a text of each.
+    def sets_of(self, wanted: DataFrame, make) -> DataFrame:
+        """``make`` of the (c, n, shingles) of the written classes ``wanted`` (c), from a text of each; written.
 
         A class comes twice if a text with its key does.
         """
@@ -274,7 +274,9 @@ class Join:
         keys = settle(at.select("key").distinct(), "wanted-keys")
         found = self.texts.join(_sent(keys), "key", "left_semi").mapInArrow(_shingles, "h1 long, h2 long, shingles binary")
         # A key can bring texts of other classes.
-        return found.join(_sent(at), ["h1", "h2"]).select("c", "n", "shingles")
+        out = settle(make(found.join(_sent(at), ["h1", "h2"]).select("c", "n", "shingles")), "sets-of")
+        discard(at, keys)
+        return out
 
     def verify(self, pairs: DataFrame) -> None:
         """Add those of ``pairs`` (a, b: class numbers) that are similar to the links."""
@@ -283,11 +285,12 @@ class Join:
         fits = ordered.join(sizes, "a").join(sizes.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b").where(_near())
         fits = settle(fits.select("a", "b"), "candidates")
         wanted = settle(fits.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "candidate-classes")
-        sets = settle(self.sets_of(wanted), "candidate-sets")
+        sets = self.sets_of(wanted, lambda found: found)
         left = sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb"))
         checked = fits.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
         self.links.append(settle(checked.mapInArrow(_similar, "a long, b long"), "links"))
+        discard(fits, wanted, sets)
 
     def run(self) -> None:
         spread = self.texts.mapInArrow(_signatures, SIGNATURES).repartition("sig").sortWithinPartitions("sig", "h1")
@@ -296,6 +299,7 @@ class Join:
         members = shared.join(self.classes.select("h1", "c", "n", "odd"), "h1").drop("h1")
         sizes = shared.groupBy("sig").agg(F.count("*").alias("members"))
         grouped = settle(members.join(sizes, "sig"), "signature-groups")
+        discard(shared)
         hot = grouped.where(F.col("members") > self.small).drop("members")
         self.verify(_stars(hot))
         labels = self.labels()
@@ -305,8 +309,11 @@ class Join:
         skipped = settle(hot.join(unsettled, "sig", "left_semi").groupBy("c").agg(F.count("*").alias("skipped")), "skipped")
         few = grouped.where(F.col("members") <= self.small).join(labels, "c", "left").join(skipped, "c", "left")
         few = settle(few.select("sig", "c", "n", "odd", label, F.coalesce("skipped", F.lit(0)).alias("skipped")), "few")
+        discard(grouped, labels)
         self.verify(self._met(few))
+        discard(few)
         self.verify(self._rest(skipped))
+        discard(skipped)
 
     def _met(self, few: DataFrame) -> DataFrame:
         """Pairs in small groups and different components that share as many signatures as a link must."""
@@ -322,7 +329,9 @@ class Join:
         smallest = F.ceil(F.col("n") * PERCENT / 100)
         rest = self.classes.join(skipped, "c", "left").where(
             F.col("odd") | (F.coalesce("skipped", F.lit(0)) > _reserve(F.col("n"), smallest))).select("c")
-        sets = settle(self.sets_of(settle(rest, "rest")).dropDuplicates(["c"]).mapInArrow(_explode, "c long, n long, shingle long"), "rest-shingles")
+        rest = settle(rest, "rest")
+        each = lambda found: found.dropDuplicates(["c"]).mapInArrow(_explode, "c long, n long, shingle long")
+        sets = self.sets_of(rest, each)
         often = sets.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
         known = sets.join(often, "shingle")
         # Shingles of one set only come first in its order; they meet nobody, just their number counts.
@@ -331,6 +340,7 @@ class Join:
         rarest = known.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
         kept = settle(rarest.join(self.labels(), "c", "left").select(
             "shingle", "c", "n", F.coalesce("label", "c").alias("label"), (F.col("n") - F.col("place") + 1).alias("left")), "rest-prefixes")
+        discard(rest, sets)
         other = kept.select("shingle", *(F.col(x).alias(f"{x}_b") for x in ("c", "n", "label", "left")))
         # From the first common shingle on, enough of both sets must be left for the intersection.
         room = F.least("left", "left_b") * (100 + PERCENT) >= (F.col("n") + F.col("n_b")) * PERCENT
