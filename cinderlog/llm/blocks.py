@@ -30,7 +30,7 @@ from cinderlog.session import scratch_path
 BLOCK_BYTES = 32 << 20
 PART_BYTES = 24 << 20
 COLUMNS = "block long, doc_ids array<long>, sizes array<int>, n_words long, codes binary, words binary"
-ANSWERS = "block long, part int, answer binary"
+ANSWERS = "block long, part int, k string, answer binary"
 QUESTIONS = "part int, block long, question binary"
 
 
@@ -111,18 +111,19 @@ class BlockTable:
         """How many parts keep ``keys`` keys of ``width`` bytes within memory."""
         return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-keys * width // PART_BYTES))
 
-    def ask(self, questions, answer, label: str, given: DataFrame | None = None) -> DataFrame:
-        """Answers (block, part, answer), written.
+    def ask(self, questions, answer, parts: int, label: str, given: DataFrame | None = None) -> DataFrame:
+        """Answers (block, part, k, answer), written.
 
         ``questions(block, given)`` yields (part, bytes); ``answer(rows)`` gets all
-        (block, bytes) of one part and yields (block, bytes).
+        (block, bytes) of one part and yields (block, kind of answer, bytes). Tasks are as
+        many as parts, so that what a task holds doesn't grow with the corpus.
         """
         asked = self.with_answers(given).mapInArrow(_asking(questions), QUESTIONS)
-        dealt = asked.repartition("part").sortWithinPartitions("part", "block")
+        dealt = asked.repartition(parts, "part").sortWithinPartitions("part", "block")
         return settle(dealt.mapInArrow(_answering(answer), ANSWERS), label)
 
     def with_answers(self, given: DataFrame | None) -> DataFrame:
-        """The blocks, each with its answers as a map from (label and part) to bytes."""
+        """The blocks, each with its answers as a map from (kind and part) to bytes."""
         if given is None:
             return self.frame.withColumn("answers", F.array().cast("array<struct<k:string,part:int,answer:binary>>"))
         lists = given.where("block >= 0").groupBy("block").agg(
@@ -167,9 +168,9 @@ def _answering(answer):
         def give():
             out = list(answer(held))
             return pa.RecordBatch.from_arrays([
-                pa.array([b for b, _ in out], pa.int64()), pa.array([part] * len(out), pa.int32()),
-                pa.array([x for _, x in out], pa.binary()),
-            ], names=["block", "part", "answer"])
+                pa.array([b for b, _, _ in out], pa.int64()), pa.array([part] * len(out), pa.int32()),
+                pa.array([k for _, k, _ in out], pa.string()), pa.array([x for _, _, x in out], pa.binary()),
+            ], names=["block", "part", "k", "answer"])
 
         for batch in source:
             for p, b, q in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):

@@ -34,6 +34,8 @@ BUCKETS = 24
 FINE = 16
 ROUNDS = 60
 END, BEGIN = b"\x00end", b"\x00begin"
+# Kinds of answers: counts of all training rows, and of those outside the learning fold.
+ALL, DELETED = "all", "deleted"
 STATS = "bucket int, ml int, low int, n long"
 
 
@@ -47,21 +49,25 @@ def bucket(counts: np.ndarray) -> np.ndarray:
 
 
 class Sequence:
-    """Tokens of a block: for each its code and place in its document; END closes a document."""
+    """Tokens of a block, or of its documents in one fold: for each its code and place; END closes a document."""
 
-    def __init__(self, block) -> None:
+    def __init__(self, block, fold: int | None = None) -> None:
         n = len(block.words)
         data = np.frombuffer(b"".join([*block.words, END, BEGIN]), np.uint8)
         ends = np.cumsum([0, *map(len, block.words), len(END), len(BEGIN)])
         self.hashes = hashing.stretch(hashing.running(data), ends[:-1], ends[1:])
-        lengths = block.sizes + 1
+        folds = np.array([fold_of(i) for i in block.doc_ids], np.int8)
+        sizes, codes = block.sizes, block.codes
+        if fold is not None:
+            codes = codes[np.repeat(folds == fold, sizes)]
+            sizes, folds = sizes[folds == fold], folds[folds == fold]
+        lengths = sizes + 1
         self.begins = np.cumsum(lengths) - lengths
         self.codes = np.full(int(lengths.sum()), n, np.int32)
         inner = np.ones(len(self.codes), bool)
-        inner[self.begins + block.sizes] = False
-        self.codes[inner] = block.codes
+        inner[self.begins + sizes] = False
+        self.codes[inner] = codes
         self.place = (np.arange(len(self.codes)) - np.repeat(self.begins, lengths)).astype(np.int32)
-        folds = np.array([fold_of(i) for i in block.doc_ids], np.int8)
         self.fold = np.repeat(folds, lengths)
         self.n_begin = n + 1
 
@@ -89,13 +95,13 @@ class Sequence:
         return at, unique[dealt], np.searchsorted(part[dealt], np.arange(parts + 1)), number[which]
 
     def counts(self, order: int, parts: int, answers: dict[int, bytes]):
-        """For each token its n-gram's count and the part of it in the learning fold; 0 where there is none."""
+        """For each token its n-gram's count as answered; 0 where there is none."""
         at, keys, begins, number = self.distinct(order, parts)
-        both = np.zeros((2, len(keys)), np.int64)
+        found = np.zeros(len(keys), np.int64)
         for p in np.flatnonzero(np.diff(begins)).tolist():
-            both[:, begins[p] : begins[p + 1]] = unpack(answers[p], np.uint64).reshape(2, -1)
-        out = np.zeros((2, len(self.codes)), np.int64)
-        out[:, at] = both[:, number]
+            found[begins[p] : begins[p + 1]] = unpack(answers[p], np.uint64)
+        out = np.zeros(len(self.codes), np.int64)
+        out[at] = found[number]
         return out
 
 
@@ -125,7 +131,8 @@ def _fields(raw: bytes) -> list[bytes]:
 
 
 def _sum(rows):
-    """Answers of a part: the counts of each key over all blocks, and a summary as block -1."""
+    """Answers of a part, over all blocks: of each key of a block its count, of those its documents in the
+    learning fold hold the count without that fold, and a summary as block -1."""
     asked = [(b, _fields(q)) for b, q in rows]
     keys = [np.cumsum(unpack(f[0], np.uint64), dtype=np.uint64) for _, f in asked]
     unique, which = np.unique(np.concatenate(keys), return_inverse=True)
@@ -134,11 +141,15 @@ def _sum(rows):
         np.bincount(which, np.concatenate([unpack(f[i], np.uint32) for _, f in asked]), len(unique)).astype(np.uint64) for i in (1, 2)
     ])
     at = 0
-    for (b, _), k in zip(asked, keys, strict=True):
-        yield b, pack(both[:, which[at : at + len(k)]].ravel())
+    for (b, f), k in zip(asked, keys, strict=True):
+        total, learn = both[:, which[at : at + len(k)]]
+        yield b, ALL, pack(total)
+        taught = unpack(f[2], np.uint32) > 0
+        if taught.any():
+            yield b, DELETED, pack((total - learn)[taught])
         at += len(k)
     summary = [(both[0] > 0).sum(), both[0].sum(), (both[0] > both[1]).sum(), (both[0] - both[1]).sum()]
-    yield -1, np.array(summary, np.uint64).tobytes()
+    yield -1, "summary", np.array(summary, np.uint64).tobytes()
 
 
 class Model:
@@ -155,8 +166,7 @@ class Model:
     def probabilities(self, seq: Sequence, given: dict, upto: int, deleted: bool):
         """p of the highest order, and the last step's estimate, lower p and context count."""
         def known(k):
-            total, learn = seq.counts(k, self.parts[k - 1], given[str(k)])
-            return total - learn if deleted else total
+            return seq.counts(k, self.parts[k - 1], given.get(f"{DELETED if deleted else ALL}-{k}", {}))
 
         count = known(1)
         unigram = count
@@ -181,12 +191,17 @@ class Model:
 def _stats(model: Model, k: int):
     def run(source):
         for block, given in rows_of(source):
-            seq = Sequence(block)
+            seq = Sequence(block, LEARN_FOLD)
+            if not len(seq.codes):
+                continue
             _, ml, low, context, _ = model.probabilities(seq, given, k, deleted=True)
-            here = (seq.fold == LEARN_FOLD) & (context > 0)
+            here = context > 0
             step = lambda x: np.where(x > 0, np.round(np.log10(np.maximum(x, 1e-300)) * FINE), 1).astype(np.int64)
-            cells = np.stack([bucket(context[here]), step(ml[here]), step(low[here])])
-            cells, n = np.unique(cells, axis=1, return_counts=True)
+            # Steps lie between -300 * FINE and 1; a cell is one number of three digits.
+            base = 512 * FINE
+            coded = (bucket(context[here]) * base - step(ml[here]) + 1) * base - step(low[here]) + 1
+            coded, n = np.unique(coded, return_counts=True)
+            cells = [coded // base // base, 1 - coded // base % base, 1 - coded % base]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int32()) for c in cells] + [pa.array(n, pa.int64())], names=["bucket", "ml", "low", "n"]
             )
@@ -248,19 +263,20 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     answers, parts = None, []
     for k in range(1, order + 1):
         parts.append(table.parts(table.n_words if k == 1 else tokens, 16))
-        own = table.ask(_questions(k, parts[-1]), _sum, f"ngrams-{k}").withColumn("k", F.lit(str(k)))
+        own = table.ask(_questions(k, parts[-1]), _sum, parts[-1], f"ngrams-{k}").withColumn("k", F.concat("k", F.lit(f"-{k}")))
         answers = own if answers is None else answers.unionByName(own)
-    summaries = answers.where("block < 0 and k = '1'").select("answer").toLocalIterator()
+    summaries = answers.where("k = 'summary-1'").select("answer").toLocalIterator()
     totals = sum((np.frombuffer(r.answer, np.uint64).astype(np.int64) for r in summaries), np.zeros(4, np.int64))
     folds = table.frame.select(F.explode("doc_ids").alias("id")).select(
         F.when(F.col("id").isNull(), 0).otherwise(F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS).alias("f")
     ).agg(F.count_if(F.col("f") != 0).alias("a"), F.count_if(F.col("f") == LEARN_FOLD).alias("b")).first()
     model = Model(order, parts, totals, np.array([folds.a, folds.a - folds.b]))
     for k in range(2, order + 1):
-        lower = answers.where(F.col("k").isin([str(i) for i in range(1, k + 1)]))
+        lower = answers.where(F.col("k").isin([f"{DELETED}-{i}" for i in range(1, k + 1)]))
         stats = table.with_answers(lower).mapInArrow(_stats(model, k), STATS)
         rows = stats.groupBy("bucket", "ml", "low").agg(F.sum("n").alias("n")).collect()
         model.weights[k] = expectation_maximisation(rows)
-    out = table.with_answers(answers).mapInArrow(_scores(model), SCORES)
+    final = answers.where(F.col("k").startswith(f"{ALL}-"))
+    out = table.with_answers(final).mapInArrow(_scores(model), SCORES)
     table.forget()
     return out

@@ -3,14 +3,16 @@
 Texts are split into words at ``[\\x20\\x09-\\x0D]+``, which the vocabulary's
 normaliser and pattern never join across. Each distinct word of the corpus is
 encoded once, by the part of the word table it belongs to, and its ids return to
-every block by position. Decoding joins ids with the vocabulary's pieces, a table
-whose size the vocabulary fixes.
+every block by position. Decoding joins the distinct ids of each block with the
+vocabulary's table of (id, piece); a block then reads its texts from the pieces it
+got back.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import zlib
 
@@ -24,8 +26,6 @@ from cinderlog.llm.common import tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 LOT = 20_000
-# Longest vocabulary whose pieces are sent to every task.
-MOST_PIECES = 1 << 20
 
 
 @functools.cache
@@ -74,24 +74,46 @@ def _encode(vocabulary: str):
             ids = [table[w] for w in words]
             sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
             first, second = pack(sizes), pack(np.concatenate(ids))
-            yield b, len(first).to_bytes(8, "little") + first + second
+            yield b, "ids", len(first).to_bytes(8, "little") + first + second
 
     return answer
 
 
-def _documents(parts: int, pieces):
+def _ids(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(ids per word, ids) of an answer."""
+    n = int.from_bytes(raw[:8], "little")
+    return unpack(raw[8 : 8 + n], np.uint32), unpack(raw[8 + n :], np.uint32)
+
+
+def _distinct_ids(source):
+    for batch in source:
+        for block, raw in zip(batch.column("block").to_pylist(), batch.column("answer").to_pylist(), strict=True):
+            ids = np.unique(_ids(raw)[1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ids), block), pa.int64()), pa.array(ids, pa.int32())], names=["block", "id"]
+            )
+
+
+def pieces_of_blocks(answers: DataFrame, known: DataFrame) -> DataFrame:
+    """Answers that hold, for each block, the pieces of all ids in it: as many as the vocabulary has at most."""
+    used = answers.select("block", "answer").mapInArrow(_distinct_ids, "block long, id int").distinct()
+    found = used.join(known, "id").groupBy("block").agg(F.to_json(F.collect_list(F.struct("id", "piece"))).alias("answer"))
+    return found.select("block", F.lit(0).alias("part"), F.lit("pieces").alias("k"), F.col("answer").cast("binary").alias("answer"))
+
+
+def _documents(parts: int):
     """Ids and decoded text of each document of a block."""
 
     def read(source):
-        table = np.array(pieces.value, object)
         for block, given in rows_of(source):
             order, begins = deal(block.words, parts)
             sizes, flat = np.zeros(len(order), np.int64), []
             for p in np.flatnonzero(np.diff(begins)).tolist():
-                raw = given["ids"][p]
-                n = int.from_bytes(raw[:8], "little")
-                sizes[order[begins[p] : begins[p + 1]]] = unpack(raw[8 : 8 + n], np.uint32)
-                flat.append(unpack(raw[8 + n :], np.uint32))
+                sizes[order[begins[p] : begins[p + 1]]], ids = _ids(given["ids"][p])
+                flat.append(ids)
+            pieces = {r["id"]: r["piece"] for r in json.loads(given["pieces"][0])} if flat else {}
+            table = np.full(max(pieces, default=0) + 1, None, object)
+            table[list(pieces)] = list(pieces.values())
             flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
             # Where each word's ids begin in the answers, which follow the order asked.
             starts = np.zeros(len(order), np.int64)
@@ -151,17 +173,12 @@ def encode_and_decode(docs: DataFrame, vocabulary: str = VOCABULARY, digest: boo
         raise ValueError("this vocabulary joins its pieces by a rule of its own")
     table = BlockTable(docs, fold=False)
     parts = table.parts(table.n_words, 32)
-    answers = table.ask(_questions(parts), _encode(vocabulary), "word-ids").withColumn("k", F.lit("ids"))
-    found = pieces(spark, vocabulary)
-    if found.count() > MOST_PIECES:
-        raise ValueError("too many pieces to send to every task")
-    shown: list[str] = [""] * (found.agg(F.max("id")).first()[0] + 1)
-    for row in found.toLocalIterator():
-        shown[row.id] = row.piece
-    read = _documents(parts, spark.sparkContext.broadcast(shown))
+    answers = table.ask(_questions(parts), _encode(vocabulary), parts, "word-ids")
+    shown = pieces_of_blocks(answers, pieces(spark, vocabulary))
+    read = _documents(parts)
     kind = "doc_id long, n_tokens long, " + (
         "ids_sha256 string, decoded_sha256 string" if digest else "ids array<long>, decoded string"
     )
-    out = table.with_answers(answers).mapInArrow(_rows(read, digest), kind)
+    out = table.with_answers(answers.unionByName(shown)).mapInArrow(_rows(read, digest), kind)
     table.forget()
     return out
