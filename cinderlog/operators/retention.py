@@ -70,6 +70,8 @@ def _drop_days(spark: SparkSession, path: str, days: list[str]) -> int:
         else:
             parts += done
     delete_paths(spark, parts)
+    # The postings of what goes.
+    delete_paths(spark, ["/_terms/event_date=".join(p.rsplit("/event_date=", 1)) for p in whole + parts])
     return delete_paths(spark, whole)
 
 

@@ -5,7 +5,8 @@ one small JSON file for each finished load. A load id names one batch of rows. I
 rows are visible once its file is there, all days at once; a load that broke off
 isn't seen, and the next try writes over it. A load that has its file is never
 written again, so a replay changes nothing, also after its rows were compacted
-into another load.
+into another load. With an index, ``<path>/_terms/event_date=.../load=...`` holds
+the load's postings; they are seen exactly when the load's rows are.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cinderlog.functions import attributes, text
+from cinderlog.operators import terms
 from cinderlog.schema import LOG_DDL
 
 # Sort order inside files; min/max statistics then skip row groups.
@@ -61,9 +63,13 @@ def append_logs(
     promote: dict[str, list[str]] | None = None,
     with_terms: bool = False,
     by_service: bool = True,
+    index: str | None = None,
 ) -> None:
     """Append one load; nothing is written for an empty one.
 
+    ``index`` names a text configuration: postings of the bodies' terms are written
+    with the load, from its stored ids and bodies. Ids must be unique in the table then.
+
     Micro-batches should pass ``by_service=False``: one file per day, which
     ``compact_day`` later sorts out by service.
     """
@@ -72,14 +78,34 @@ def append_logs(
     rows = table_rows(logs, promote, with_terms).withColumn("load", F.lit(load))
     _drop_attempt(logs.sparkSession, path, load)
     _write(_clustered(rows, by_service), path)
-    _commit(logs.sparkSession, path, load)
+    if index:
+        _write_terms(terms.postings(_of_load(logs.sparkSession, path, load), index), path, load)
+    _commit(logs.sparkSession, path, load, terms=index)
+
+
+def _of_load(spark: SparkSession, path: str, load: str) -> DataFrame:
+    """Stored rows of one load, committed or not."""
+    return spark.read.schema(f"{LOG_DDL}, event_date date, load string").parquet(path).where(F.col("load") == load)
+
+
+def _write_terms(postings: DataFrame, path: str, load: str) -> None:
+    """By day, sorted by term inside each file; a term of every row has no more than one row per bucket of ids."""
+    rows = postings.withColumn("load", F.lit(load)).hint("rebalance", F.col("event_date"))
+    (
+        rows.sortWithinPartitions("event_date", "term", "bucket")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("event_date", "load")
+        .parquet(f"{path}/_terms")
+    )
 
 
 def _drop_attempt(spark: SparkSession, path: str, load: str) -> None:
     """Remove what a try that was never committed left behind: it may have had rows of other days."""
     fs, at = _files(spark, path)
-    for status in fs.globStatus(at(f"{path}/event_date=*/load={load}")) or []:
-        fs.delete(status.getPath(), True)
+    for home in (path, f"{path}/_terms"):
+        for status in fs.globStatus(at(f"{home}/event_date=*/load={load}")) or []:
+            fs.delete(status.getPath(), True)
 
 
 def _write(rows: DataFrame, path: str) -> None:
@@ -141,28 +167,49 @@ def _is_committed(spark: SparkSession, path: str, load: str) -> bool:
     return fs.exists(at(f"{path}/_loads/{load}"))
 
 
-def _commit(spark: SparkSession, path: str, load: str, day: str | None = None, replaces: list[str] | None = None) -> None:
+def _commit(
+    spark: SparkSession, path: str, load: str, day: str | None = None, replaces: list[str] | None = None, terms: str | None = None
+) -> None:
     """Make a load visible: its file appears by one rename."""
     fs, at = _files(spark, path)
     draft = at(f"{path}/_loads/.{uuid.uuid4().hex}")
     out = fs.create(draft)
-    out.write(bytearray(json.dumps({"load": load, "day": day, "replaces": replaces or []}).encode()))
+    out.write(bytearray(json.dumps({"load": load, "day": day, "replaces": replaces or [], "terms": terms}).encode()))
     out.close()
     if not fs.rename(draft, at(f"{path}/_loads/{load}")):
         raise OSError(f"could not commit load {load} of {path}")
 
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame:
-    """(load, day, replaces) of the finished loads."""
+    """(load, day, replaces, terms) of the finished loads; terms is the text configuration of the load's index."""
     fs, at = _files(spark, path)
     fs.mkdirs(at(f"{path}/_loads"))
-    return spark.read.schema("load string, day date, replaces array<string>").json(f"{path}/_loads")
+    return spark.read.schema("load string, day date, replaces array<string>, terms string").json(f"{path}/_loads")
 
 
 def read_logs(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
     """Log table as written by ``append_logs``; ``extra`` lists promoted columns as DDL."""
     ddl = LOG_DDL + (f", {extra}" if extra else "") + ", event_date date, load string"
-    rows, loads = spark.read.schema(ddl).parquet(path), _ledger(spark, path)
+    return _committed(spark.read.schema(ddl).parquet(path), _ledger(spark, path))
+
+
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    """Postings of the visible loads that have an index."""
+    fs, at = _files(spark, path)
+    fs.mkdirs(at(f"{path}/_terms"))
+    return _committed(spark.read.schema(terms.POSTINGS_DDL).parquet(f"{path}/_terms"), _ledger(spark, path))
+
+
+def split_by_index(spark: SparkSession, path: str, rows: DataFrame, config: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of loads that have an index of this configuration, and the others."""
+    loads = _ledger(spark, path).where(F.col("terms") == config).select("load")
+    few = [r["load"] for r in loads.limit(FEW_LOADS + 1).collect()]
+    if len(few) <= FEW_LOADS:
+        return rows.where(F.col("load").isin(few)), rows.where(~F.col("load").isin(few))
+    return rows.join(loads, "load", "left_semi"), rows.join(loads, "load", "left_anti")
+
+
+def _committed(rows: DataFrame, loads: DataFrame) -> DataFrame:
     few = loads.limit(FEW_LOADS + 1).collect()
     if len(few) <= FEW_LOADS:
         return rows.where(_visible(few))
@@ -190,7 +237,8 @@ def compact_day(spark: SparkSession, path: str, day: str, load: str, extra: str
     The new load is written beside the old ones and takes their place when it is
     committed, in one step. Until then, and after a crash, readers see the old
     ones. Their folders stay for readers that began before; ``sweep_day`` removes
-    them.
+    them. If all loads of the day have an index of one configuration, so has the new one:
+    their postings are merged, no text is read again.
     """
     if _is_committed(spark, path, load):
         return
@@ -198,7 +246,12 @@ def compact_day(spark: SparkSession, path: str, day: str, load: str, extra: str
     old = [r["load"] for r in rows.select("load").distinct().collect()]  # one short name per load of the day
     if old:
         _write(_clustered(rows.withColumn("load", F.lit(load))), path)
-        _commit(spark, path, load, day, old)
+        kinds = _ledger(spark, path).where(F.col("load").isin(old)).select("terms").distinct().collect()
+        index = kinds[0]["terms"] if len(kinds) == 1 else None
+        if index:
+            stored = read_terms(spark, path).where(F.col("event_date") == F.lit(day).cast("date"))
+            _write_terms(terms.merge_postings(stored), path, load)
+        _commit(spark, path, load, day, old, index)
 
 
 def sweep_day(spark: SparkSession, path: str, day: str) -> int:
@@ -206,4 +259,6 @@ def sweep_day(spark: SparkSession, path: str, day: str) -> int:
     fs, at = _files(spark, path)
     gone = _ledger(spark, path).where(F.col("day") == F.lit(day).cast("date")).select(F.explode("replaces").alias("load")).distinct()
     homes = [at(f"{path}/event_date={day}/load={r['load']}") for r in gone.collect()]
+    for r in gone.collect():
+        fs.delete(at(f"{path}/_terms/event_date={day}/load={r['load']}"), True)
     return sum(fs.delete(home, True) for home in homes if fs.exists(home))

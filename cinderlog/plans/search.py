@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cinderlog.fixed import LOG_COLUMNS
 from cinderlog.functions import attributes, cursors, severity, text, times
 from cinderlog.functions.cursors import Cursor
-from cinderlog.operators import reports, search, terms
+from cinderlog.operators import reports, search, sinks, stored, terms
 from cinderlog.plans import oracle
 from cinderlog.plans.registry import query
 from cinderlog.session import scratch_path
@@ -342,3 +342,29 @@ def term_index_search(spark, sf_dir):
     terms.write_term_index(terms.term_index(tables.document_logs(spark, sf_dir), "simple"), path)
     index = spark.read.schema("term string, id bigint, event_date date").parquet(path)
     return terms.matching_ids(index, "the of", "simple")
+
+
+WEEK = search.LogQuery(dt.datetime(2024, 1, 1, 0, 30), dt.datetime(2024, 1, 7, 12), keyword="the Licenses")
+
+
+@query(
+    "stored_keyword_search",
+    oracle.docs(
+        """SELECT id, service_name FROM docs
+          WHERE list_has_any(words, ['license', 'licenses', 'licensed', 'licensing'])
+            AND "timestamp" BETWEEN TIMESTAMP '2024-01-01 00:30:00' AND TIMESTAMP '2024-01-07 12:00:00'"""
+    ),
+)
+def stored_keyword_search(spark, sf_dir):
+    """English search of a week in a stored table: two loads with an index, one load without, one day compacted."""
+    path = scratch_path(spark, "indexed-logs")
+    docs = tables.document_logs(spark, sf_dir)
+    kinds = {"timestamp": "timestamp_ntz", "received_at": "timestamp_ntz"}
+    logs = docs.select(*[
+        F.col(c) if c in docs.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in LOG_COLUMNS
+    ])
+    for load in range(3):
+        part = logs.where(F.pmod("id", F.lit(3)) == load)
+        sinks.append_logs(part, path, f"load-{load}", index="english" if load else None)
+    sinks.compact_day(spark, path, "2024-01-02", "packed")
+    return stored.matching(spark, path, WEEK).select("id", "service_name")

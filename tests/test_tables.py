@@ -2,13 +2,14 @@
 
 import datetime as dt
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from cinderlog.fixed import LOG_COLUMNS
 from cinderlog.functions.times import ntz
-from cinderlog.operators import dedup, reconcile, retention, sinks, traces
+from cinderlog.operators import dedup, reconcile, retention, search, sinks, stored, traces
 from cinderlog.sources import tables
 
 
@@ -224,3 +225,56 @@ def test_retention_keeps_loads_in_flight(spark, sf_dir, tmp_path, monkeypatch):
     sinks._commit(spark, path, "b")
     assert sinks.read_logs(spark, path).count() == logs.where("id % 2 = 1").count()
     assert retention.drop_old_days(spark, path, late) > 0
+
+
+def indexed(spark, sf_dir, path, load, **kw):
+    rows = tables.event_logs(spark, sf_dir).select(*LOG_COLUMNS)
+    sinks.append_logs(rows.where(F.col("id") % 3 == int(load)), path, load, **kw)
+
+
+def found(spark, path, keyword, **kw):
+    q = search.LogQuery(dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 20), keyword=keyword, max_range_days=40, **kw)
+    want = search.filtered(sinks.read_logs(spark, path), q)
+    got = stored.matching(spark, path, q)
+    ids = sorted(r["id"] for r in got.collect())
+    assert ids == sorted(r["id"] for r in want.collect()), keyword
+    return ids
+
+
+def test_stored_search_reads_the_index(spark, sf_dir, tmp_path):
+    path = str(tmp_path / "t")
+    for load in "012":
+        indexed(spark, sf_dir, path, load, index="english")
+    user = tables.event_logs(spark, sf_dir).where("service_name = 'svc-3'").first()["body"].split()[-1]
+    assert found(spark, path, f"users {user}") and found(spark, path, "clicks by the user", level="info")
+    assert found(spark, path, "by the") == []  # stop words only
+    assert found(spark, path, "absent") == []
+    hits = stored.matching(spark, path, search.LogQuery(dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 5, 23, 59, 59, 999999), keyword=f"user {user}"))
+    days = {str(r["event_date"]) for r in hits.select(F.to_date("timestamp").alias("event_date")).collect()}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    read = {frozenset(re.split(", ?", found)) for found in re.findall(r"event_date#\d+ IN \(([^)]*)\)", plan)}
+    assert len(days) < 6 and read == {frozenset(days)}, plan
+
+
+def test_stored_search_is_whole_without_index_after_compaction_and_a_crash(spark, sf_dir, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    indexed(spark, sf_dir, path, "0", index="english")
+    indexed(spark, sf_dir, path, "1", index="english")
+    before = found(spark, path, "click user")
+    with monkeypatch.context() as broken:
+        broken.setattr(sinks, "_commit", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            indexed(spark, sf_dir, path, "2", index="english")
+    assert found(spark, path, "click user") == before
+    day = sinks.read_logs(spark, path).agg(F.min("event_date")).first()[0]
+    sinks.compact_day(spark, path, str(day), "packed")
+    assert found(spark, path, "click user") == before
+    sinks.sweep_day(spark, path, str(day))
+    assert found(spark, path, "click user") == before
+    assert os.listdir(f"{path}/_terms/event_date={day}") and "load=0" not in os.listdir(f"{path}/_terms/event_date={day}")
+    indexed(spark, sf_dir, path, "2")  # the retry has no index
+    assert len(found(spark, path, "click user")) > len(before)
+    assert not any("load=2" in names for _, names, _ in os.walk(f"{path}/_terms"))
+    retention.drop_old_days(spark, path, dt.datetime.combine(day, dt.time()) + dt.timedelta(days=2), days=1)
+    assert not os.path.exists(f"{path}/_terms/event_date={day}")
+    found(spark, path, "click user")
