@@ -11,19 +11,15 @@ the load's postings; they are seen exactly when the load's rows are.
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cinderlog.functions import attributes, text
-from cinderlog.operators import terms
+from cinderlog.operators import ledger, terms
+from cinderlog.operators.ledger import commit as _commit, files as _files
 from cinderlog.schema import LOG_DDL
 
 # Sort order inside files; min/max statistics then skip row groups.
 CLUSTER = ["service_name", "severity", "_hour", "timestamp"]
-# Loads that a reader spells out in its plan; with more it joins the ledger.
-FEW_LOADS = 1000
 
 
 def table_rows(
@@ -73,10 +69,10 @@ def append_logs(
     Micro-batches should pass ``by_service=False``: one file per day, which
     ``compact_day`` later sorts out by service.
     """
-    if _is_committed(logs.sparkSession, path, load):
+    if ledger.is_committed(logs.sparkSession, path, load):
         return
     rows = table_rows(logs, promote, with_terms).withColumn("load", F.lit(load))
-    _drop_attempt(logs.sparkSession, path, load)
+    ledger.drop_attempt(logs.sparkSession, path, load)
     _write(_clustered(rows, by_service), path)
     if index:
         _write_terms(terms.postings(_of_load(logs.sparkSession, path, load), index), path, load)
@@ -100,14 +96,6 @@ def _write_terms(postings: DataFrame, path: str, load: str) -> None:
     )
 
 
-def _drop_attempt(spark: SparkSession, path: str, load: str) -> None:
-    """Remove what a try that was never committed left behind: it may have had rows of other days."""
-    fs, at = _files(spark, path)
-    for home in (path, f"{path}/_terms"):
-        for status in fs.globStatus(at(f"{home}/event_date=*/load={load}")) or []:
-            fs.delete(status.getPath(), True)
-
-
 def _write(rows: DataFrame, path: str) -> None:
     (
         rows.write.mode("overwrite")
@@ -120,12 +108,6 @@ def _write(rows: DataFrame, path: str) -> None:
     )
 
 
-def _files(spark: SparkSession, path: str):
-    """The file system of ``path`` and a constructor of its paths."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
 def writer_number(spark: SparkSession, path: str, writer: str) -> int:
     """A small number for ``writer`` that no other writer of the table has; the same one whenever it is asked.
 
@@ -146,91 +128,34 @@ def writer_number(spark: SparkSession, path: str, writer: str) -> int:
             return number
     number = max(taken, default=-1) + 1
     while True:
-        if _make_once(fs, at(f"{path}/_writers/.{number}")):
+        if ledger.make_once(fs, at(f"{path}/_writers/.{number}")):
             fs.create(at(f"{path}/_writers/{number}={writer}")).close()
             return number
         number += 1
 
 
-def _make_once(fs, path) -> bool:
-    """Create an empty file unless it exists; True for the one who did."""
-    try:
-        return bool(fs.createNewFile(path))
-    except Exception:
-        if fs.exists(path):
-            return False
-        raise
-
-
-def _is_committed(spark: SparkSession, path: str, load: str) -> bool:
-    fs, at = _files(spark, path)
-    return fs.exists(at(f"{path}/_loads/{load}"))
-
-
-def _commit(
-    spark: SparkSession, path: str, load: str, day: str | None = None, replaces: list[str] | None = None, terms: str | None = None
-) -> None:
-    """Make a load visible: its file appears by one rename."""
-    fs, at = _files(spark, path)
-    draft = at(f"{path}/_loads/.{uuid.uuid4().hex}")
-    out = fs.create(draft)
-    out.write(bytearray(json.dumps({"load": load, "day": day, "replaces": replaces or [], "terms": terms}).encode()))
-    out.close()
-    if not fs.rename(draft, at(f"{path}/_loads/{load}")):
-        raise OSError(f"could not commit load {load} of {path}")
-
-
-def _ledger(spark: SparkSession, path: str) -> DataFrame:
-    """(load, day, replaces, terms) of the finished loads; terms is the text configuration of the load's index."""
-    fs, at = _files(spark, path)
-    fs.mkdirs(at(f"{path}/_loads"))
-    return spark.read.schema("load string, day date, replaces array<string>, terms string").json(f"{path}/_loads")
-
-
 def read_logs(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
     """Log table as written by ``append_logs``; ``extra`` lists promoted columns as DDL."""
     ddl = LOG_DDL + (f", {extra}" if extra else "") + ", event_date date, load string"
-    return _committed(spark.read.schema(ddl).parquet(path), _ledger(spark, path))
+    return ledger.committed(spark.read.schema(ddl).parquet(path), ledger.loads(spark, path))
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """Postings of the visible loads that have an index."""
     fs, at = _files(spark, path)
     fs.mkdirs(at(f"{path}/_terms"))
-    return _committed(spark.read.schema(terms.POSTINGS_DDL).parquet(f"{path}/_terms"), _ledger(spark, path))
+    return ledger.committed(spark.read.schema(terms.POSTINGS_DDL).parquet(f"{path}/_terms"), ledger.loads(spark, path))
 
 
 def split_by_index(spark: SparkSession, path: str, rows: DataFrame, config: str) -> tuple[DataFrame, DataFrame]:
     """Rows of loads that have an index of this configuration, and the others."""
-    loads = _ledger(spark, path).where(F.col("terms") == config).select("load")
-    few = [r["load"] for r in loads.limit(FEW_LOADS + 1).collect()]
-    if len(few) <= FEW_LOADS:
+    loads = ledger.loads(spark, path).where(F.col("terms") == config).select("load")
+    few = [r["load"] for r in loads.limit(ledger.FEW_LOADS + 1).collect()]
+    if len(few) <= ledger.FEW_LOADS:
         return rows.where(F.col("load").isin(few)), rows.where(~F.col("load").isin(few))
     return rows.join(loads, "load", "left_semi"), rows.join(loads, "load", "left_anti")
 
 
-def _committed(rows: DataFrame, loads: DataFrame) -> DataFrame:
-    few = loads.limit(FEW_LOADS + 1).collect()
-    if len(few) <= FEW_LOADS:
-        return rows.where(_visible(few))
-    done = loads.select("load", F.col("day").alias("_day"))
-    gone = loads.select(F.col("day").alias("event_date"), F.explode("replaces").alias("load"))
-    seen = rows.join(done, (rows["load"] == done["load"]) & (done["_day"].isNull() | (done["_day"] == rows["event_date"])), "left_semi")
-    return seen.join(gone, ["event_date", "load"], "left_anti")
-
-
-def _visible(loads: list) -> Column:
-    """The ledger as a predicate on the partition columns, so that other folders aren't read."""
-    day, load = F.col("event_date"), F.col("load")
-    packed = [r for r in loads if r["day"] is not None]
-    seen = load.isin([r["load"] for r in loads if r["day"] is None])
-    for r in packed:
-        seen |= (day == F.lit(r["day"])) & (load == r["load"])
-    for r in packed:
-        seen &= ~((day == F.lit(r["day"])) & load.isin(r["replaces"]))
-    return seen
-
-
 def compact_day(spark: SparkSession, path: str, day: str, load: str, extra: str = "") -> None:
     """Replace all loads of one closed day by a single sorted load.
 
@@ -240,24 +165,24 @@ def compact_day(spark: SparkSession, path: str, day: str, load: str, extra: str
     them. If all loads of the day have an index of one configuration, so has the new one:
     their postings are merged, no text is read again.
     """
-    if _is_committed(spark, path, load):
+    if ledger.is_committed(spark, path, load):
         return
     rows = read_logs(spark, path, extra).where(F.col("event_date") == F.lit(day).cast("date"))
     old = [r["load"] for r in rows.select("load").distinct().collect()]  # one short name per load of the day
     if old:
         _write(_clustered(rows.withColumn("load", F.lit(load))), path)
-        kinds = _ledger(spark, path).where(F.col("load").isin(old)).select("terms").distinct().collect()
+        kinds = ledger.loads(spark, path).where(F.col("load").isin(old)).select("terms").distinct().collect()
         index = kinds[0]["terms"] if len(kinds) == 1 else None
         if index:
             stored = read_terms(spark, path).where(F.col("event_date") == F.lit(day).cast("date"))
             _write_terms(terms.merge_postings(stored), path, load)
-        _commit(spark, path, load, day, old, index)
+        _commit(spark, path, load, day, old, terms=index)
 
 
 def sweep_day(spark: SparkSession, path: str, day: str) -> int:
     """Remove the folders of a day's replaced loads; returns how many went."""
     fs, at = _files(spark, path)
-    gone = _ledger(spark, path).where(F.col("day") == F.lit(day).cast("date")).select(F.explode("replaces").alias("load")).distinct()
+    gone = ledger.loads(spark, path).where(F.col("day") == F.lit(day).cast("date")).select(F.explode("replaces").alias("load")).distinct()
     homes = [at(f"{path}/event_date={day}/load={r['load']}") for r in gone.collect()]
     for r in gone.collect():
         fs.delete(at(f"{path}/_terms/event_date={day}/load={r['load']}"), True)

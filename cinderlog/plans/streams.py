@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from cinderlog.functions.times import ntz
-from cinderlog.operators import ingest
+from cinderlog.operators import ingest, partials, rollup
 from cinderlog.operators.sinks import read_logs
 from cinderlog.plans import oracle
 from cinderlog.plans.ingest import NOW
@@ -16,14 +18,15 @@ from cinderlog.sources import tables, topic
 from cinderlog.streaming import jobs
 
 FILES, FILES_PER_TRIGGER = 16, 8
+ROLLUP_AS_OF = "2024-02-10 12:00:00"
 
 
-def _arriving(spark, rows, label):
-    """Write rows as several files and open them as a stream of two micro-batches."""
+def _arriving(spark, rows, label, files=FILES, files_per_trigger=FILES_PER_TRIGGER):
+    """Write rows as several files and open them as a stream, by default of two micro-batches."""
     path = scratch_path(spark, label)
-    rows.repartition(FILES).write.parquet(path)
+    rows.repartition(files).write.parquet(path)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return topic.folder_payloads(spark, path, schema=ddl, files_per_trigger=FILES_PER_TRIGGER)
+    return topic.folder_payloads(spark, path, schema=ddl, files_per_trigger=files_per_trigger)
 
 
 @query(
@@ -92,6 +95,24 @@ def stream_hourly_counts(spark, sf_dir):
     return jobs.read_hourly_counts(spark, path)
 
 
+@query(
+    "rollup_compact",
+    oracle.logs(f"""SELECT service_name, severity, hour, count FROM ({HOURLY})
+      QUALIFY max(hour) OVER (PARTITION BY hour::date) + INTERVAL 30 DAY >= TIMESTAMP '{ROLLUP_AS_OF}'"""),
+)
+def rollup_compact(spark, sf_dir):
+    """Nine micro-batches merged by threes over two tiers, swept and expired; then the last micro-batch comes again."""
+    logs = tables.event_logs(spark, sf_dir).select("service_name", "severity", "timestamp")
+    path = scratch_path(spark, "partials")
+    arriving = _arriving(spark, logs, "rows", files=9, files_per_trigger=1)
+    jobs.hourly_counts_stream(arriving, path, scratch_path(spark, "ckpt")).awaitTermination()
+    partials.compact(spark, path, fanout=3)
+    partials.expire(spark, path, dt.datetime.fromisoformat(ROLLUP_AS_OF))
+    partials.sweep(spark, path)
+    partials.append(rollup.hourly_counts(logs), path, "hourly", 8)
+    return jobs.read_hourly_counts(spark, path)
+
+
 @query(
     "stream_throughput",
     oracle.logs("""SELECT to_timestamp(epoch_us("timestamp") // 10000000 * 10)::timestamp AS window_start,

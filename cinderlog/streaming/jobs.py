@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from cinderlog import fixed
-from cinderlog.operators import ingest, rollup, search, sinks
+from cinderlog.operators import ingest, partials, rollup, search, sinks
 
 
 # Row ids of streams: ten bits for the writer, 23 for its micro-batch, 30 for the row's place in it.
@@ -65,25 +65,26 @@ def ingest_stream(
     return _trigger(writer, seconds).start()
 
 
-PARTIALS_DDL = "service_name string, severity string, hour timestamp_ntz, count bigint, load bigint"
-
-
-def hourly_counts_stream(logs: DataFrame, path: str, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
+def hourly_counts_stream(
+    logs: DataFrame, path: str, checkpoint: str, seconds: int | None = None, writer: str = "hourly"
+) -> StreamingQuery:
     """Append additive partial counts of every micro-batch.
 
     There is no watermark: a row that comes late is counted like any other. A
-    replayed micro-batch overwrites its own partials.
+    replayed micro-batch counts once, also after ``partials.compact``. ``writer`` names the
+    stream in the table: a micro-batch of the same writer and number is a replay, so
+    streams into one table need names of their own.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rollup.hourly_counts(batch).write.mode("overwrite").parquet(f"{path}/load={batch_id}")
+        partials.append(rollup.hourly_counts(batch), path, writer, batch_id)
 
-    writer = logs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
-    return _trigger(writer, seconds).start()
+    job = logs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return _trigger(job, seconds).start()
 
 
 def read_hourly_counts(spark: SparkSession, path: str) -> DataFrame:
-    return rollup.merge_counts(spark.read.schema(PARTIALS_DDL).parquet(path))
+    return rollup.merge_counts(partials.read(spark, path))
 
 
 THROUGHPUT_DDL = "window_start timestamp_ntz, events bigint, load bigint"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cinderlog.fixed import LOG_COLUMNS
 from cinderlog.functions.times import ntz
-from cinderlog.operators import dedup, reconcile, retention, search, sinks, stored, traces
+from cinderlog.operators import dedup, ledger, reconcile, retention, search, sinks, stored, traces
 from cinderlog.sources import tables
 
 
@@ -108,7 +108,7 @@ def test_correlate_keeps_rows_without_ids(spark):
 
 @pytest.mark.parametrize("few", [1000, 0])
 def test_compaction_is_one_step(spark, sf_dir, tmp_path, monkeypatch, few):
-    monkeypatch.setattr(sinks, "FEW_LOADS", few)
+    monkeypatch.setattr(ledger, "FEW_LOADS", few)
     path = str(tmp_path / "t")
     logs = tables.event_logs(spark, sf_dir).select(*LOG_COLUMNS)
     parts = {load: logs.where(F.col("id") % 3 == "abc".index(load)) for load in "abc"}
