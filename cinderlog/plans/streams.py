@@ -101,15 +101,15 @@ def stream_hourly_counts(spark, sf_dir):
       QUALIFY max(hour) OVER (PARTITION BY hour::date) + INTERVAL 30 DAY >= TIMESTAMP '{ROLLUP_AS_OF}'"""),
 )
 def rollup_compact(spark, sf_dir):
-    """Nine micro-batches merged by threes over two tiers, swept and expired; then the last micro-batch comes again."""
+    """Four micro-batches merged by twos over two tiers, swept and expired; then the last micro-batch comes again."""
     logs = tables.event_logs(spark, sf_dir).select("service_name", "severity", "timestamp")
     path = scratch_path(spark, "partials")
-    arriving = _arriving(spark, logs, "rows", files=9, files_per_trigger=1)
+    arriving = _arriving(spark, logs, "rows", files=4, files_per_trigger=1)
     jobs.hourly_counts_stream(arriving, path, scratch_path(spark, "ckpt")).awaitTermination()
-    partials.compact(spark, path, fanout=3)
+    partials.compact(spark, path, fanout=2)
     partials.expire(spark, path, dt.datetime.fromisoformat(ROLLUP_AS_OF))
     partials.sweep(spark, path)
-    partials.append(rollup.hourly_counts(logs), path, "hourly", 8)
+    partials.append(rollup.hourly_counts(logs), path, "hourly", 3)
     return jobs.read_hourly_counts(spark, path)
 
 
