@@ -86,17 +86,23 @@ def _ids(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct_ids(source):
+    """The distinct ids of each block, from all its answers together."""
     for batch in source:
-        for block, raw in zip(batch.column("block").to_pylist(), batch.column("answer").to_pylist(), strict=True):
-            ids = np.unique(_ids(raw)[1])
+        for block, held in zip(batch.column("block").to_pylist(), batch.column("answers"), strict=True):
+            ids = np.unique(np.concatenate([_ids(answer.as_py())[1] for answer in held.values]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(ids), block), pa.int64()), pa.array(ids, pa.int32())], names=["block", "id"]
             )
 
 
 def pieces_of_blocks(answers: DataFrame, known: DataFrame) -> DataFrame:
-    """Answers that hold, for each block, the pieces of all ids in it: as many as the vocabulary has at most."""
-    used = answers.select("block", "answer").mapInArrow(_distinct_ids, "block long, id int").distinct()
+    """Answers that hold, for each block, the pieces of all ids in it: as many as the vocabulary has at most.
+
+    A block's answers meet before their ids are listed, so an id makes one row for each
+    block and not one for each part that answered.
+    """
+    gathered = answers.groupBy("block").agg(F.collect_list("answer").alias("answers"))
+    used = gathered.mapInArrow(_distinct_ids, "block long, id int")
     found = used.join(known, "id").groupBy("block").agg(F.to_json(F.collect_list(F.struct("id", "piece"))).alias("answer"))
     return found.select("block", F.lit(0).alias("part"), F.lit("pieces").alias("k"), F.col("answer").cast("binary").alias("answer"))
 
