@@ -278,3 +278,15 @@ def test_stored_search_is_whole_without_index_after_compaction_and_a_crash(spark
     retention.drop_old_days(spark, path, dt.datetime.combine(day, dt.time()) + dt.timedelta(days=2), days=1)
     assert not os.path.exists(f"{path}/_terms/event_date={day}")
     found(spark, path, "click user")
+
+
+def test_postings_of_a_lopsided_load_are_made_by_all_cores(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(400).selectExpr(
+        "id", "timestamp_ntz'2024-01-01 00:00:00' as timestamp", "'svc' as service_name", "'info' as severity",
+        "concat('word', id) as body", "null as resource_attributes", "null as log_attributes")
+    sinks._write(rows.selectExpr("*", "date'2024-01-01' as event_date", "'a' as load").coalesce(1), path)
+    of_load = sinks._of_load(spark, path, "a")
+    sizes = [r["count"] for r in of_load.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 200 and sum(sizes) == 400
+    assert sorted(r["id"] for r in of_load.collect()) == list(range(400))
