@@ -290,3 +290,8 @@ def test_postings_of_a_lopsided_load_are_made_by_all_cores(spark, tmp_path):
     sizes = [r["count"] for r in of_load.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 200 and sum(sizes) == 400
     assert sorted(r["id"] for r in of_load.collect()) == list(range(400))
+
+
+def test_events_are_dealt_before_they_become_wide(spark, sf_dir):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tables.raw_attributes(spark, sf_dir).rdd.getNumPartitions() == parts
