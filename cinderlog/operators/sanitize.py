@@ -10,8 +10,9 @@ plan is so large and its lambdas so slow that it took twice the time.
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cinderlog import fixed
@@ -25,20 +26,21 @@ _INNER = _LETTERS | frozenset(b"0123456789_.")
 _TO_INNER = bytes(b if b in _INNER else 0x5F for b in range(256))
 
 
-def _clean_key(key: str, warn) -> str:
+def _clean_key(key: str) -> tuple[str, tuple[str, ...]]:
+    """The clean name and the kinds of its corrections."""
     raw = key.encode("utf-8", "replace")
-    if len(raw) > fixed.MAX_ATTR_KEY_BYTES:
-        raw = raw[: fixed.MAX_ATTR_KEY_BYTES]
-        warn("key-truncated", key)
+    cut = ("key-truncated",) if len(raw) > fixed.MAX_ATTR_KEY_BYTES else ()
+    raw = raw[: fixed.MAX_ATTR_KEY_BYTES]
     if not raw:
-        warn("key-empty", key)
-        return "_"
+        return "_", ("key-empty",)
     clean = raw.translate(_TO_INNER)
     if clean[0] not in _LETTERS:
         clean = b"_" + clean[1:]
-    if clean != raw:
-        warn("key-rewritten", key)
-    return clean.decode("ascii")
+    return clean.decode("ascii"), cut if clean == raw else (*cut, "key-rewritten")
+
+
+# Keys come again in most objects; over-long ones aren't remembered.
+_known_key = lru_cache(maxsize=1 << 16)(_clean_key)
 
 
 def _cut_text(text: str) -> str:
@@ -66,7 +68,9 @@ def sanitize_object(raw: dict) -> tuple[dict, list[tuple[str, str]]]:
             warn("key-limit", path)
             return False
         used += 1
-        if isinstance(value, str) and len(value.encode("utf-8", "replace")) > fixed.MAX_ATTR_VALUE_BYTES:
+        # A character has four bytes at most.
+        long = isinstance(value, str) and 4 * len(value) > fixed.MAX_ATTR_VALUE_BYTES
+        if long and len(value.encode("utf-8", "replace")) > fixed.MAX_ATTR_VALUE_BYTES:
             warn("value-truncated", path)
             value = _cut_text(value)
         target[name] = value
@@ -76,7 +80,9 @@ def sanitize_object(raw: dict) -> tuple[dict, list[tuple[str, str]]]:
         """``target`` None means below the depth limit: leaves go to the root."""
         for key in sorted(source):
             value = source[key]
-            name = _clean_key(key, warn)
+            name, kinds = (_known_key if len(key) <= fixed.MAX_ATTR_KEY_BYTES else _clean_key)(key)
+            for kind in kinds:
+                warn(kind, key)
             path = f"{prefix}.{name}" if prefix else name
             if not prefix and name.startswith(tuple(fixed.RESERVED_PREFIXES)):
                 warn("reserved", path)
@@ -96,18 +102,22 @@ def sanitize_object(raw: dict) -> tuple[dict, list[tuple[str, str]]]:
     return root, warnings
 
 
-@F.pandas_udf(RESULT)
-def _sanitize_text(texts: pd.Series) -> pd.DataFrame:
-    out, warned = [], []
-    for text in texts:
+@F.arrow_udf(RESULT)
+def _sanitize_text(texts: pa.Array) -> pa.Array:
+    out, kinds, paths, ends = [], [], [], [0]
+    for text in texts.to_pylist():
         if text is None:
             out.append(None)
-            warned.append([])
-            continue
-        clean, warnings = sanitize_object(json.loads(text))
-        out.append(json.dumps(clean, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
-        warned.append([{"kind": k, "path": p} for k, p in warnings])
-    return pd.DataFrame({"attributes": out, "warnings": warned})
+        else:
+            clean, warnings = sanitize_object(json.loads(text))
+            out.append(json.dumps(clean, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+            for kind, path in warnings:
+                kinds.append(kind)
+                paths.append(path)
+        ends.append(len(kinds))
+    each = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(paths, pa.string())], ["kind", "path"])
+    warned = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+    return pa.StructArray.from_arrays([pa.array(out, pa.string()), warned], ["attributes", "warnings"])
 
 
 # SQL text: building the unrolled check from Column objects takes the driver much longer.

@@ -95,3 +95,15 @@ def test_duplicate_keys_last_wins(spark):
     rows = spark.createDataFrame([('{"a":1,"b":0,"a":2}',)], "j string")
     done = sanitize_column(rows.select(F.from_json("j", "map<string,variant>").alias("j")), "j").first()
     assert json.loads(done["j"]) == {"a": 2, "b": 0}
+
+
+def test_a_key_is_cleaned_once_however_often_it_comes():
+    from cinderlog.operators import sanitize
+
+    before = sanitize._known_key.cache_info().misses
+    for i in range(50):
+        assert sanitize_object({"once only": i}) == ({"once_only": i}, [("key-rewritten", "once only")])
+    assert sanitize._known_key.cache_info().misses == before + 1
+    long = "k" * 300
+    assert sanitize_object({long: 1}) == ({"k" * 255: 1}, [("key-truncated", long)])
+    assert sanitize._known_key.cache_info().misses == before + 1
