@@ -24,7 +24,8 @@ ROLLUP_AS_OF = "2024-02-10 12:00:00"
 def _arriving(spark, rows, label, files=FILES, files_per_trigger=FILES_PER_TRIGGER):
     """Write rows as several files and open them as a stream, by default of two micro-batches."""
     path = scratch_path(spark, label)
-    rows.repartition(files).write.parquet(path)
+    # Small row groups, so that more tasks than files can read a micro-batch.
+    rows.repartition(files).write.option("parquet.block.size", 8 << 20).parquet(path)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return topic.folder_payloads(spark, path, schema=ddl, files_per_trigger=files_per_trigger)
 

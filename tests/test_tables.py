@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from cinderlog.fixed import LOG_COLUMNS
 from cinderlog.functions.times import ntz
 from cinderlog.operators import dedup, ledger, reconcile, retention, search, sinks, stored, traces
+from cinderlog.plans import streams
+from cinderlog.session import shared_dir
 from cinderlog.sources import tables
 
 
@@ -295,3 +297,20 @@ def test_postings_of_a_lopsided_load_are_made_by_all_cores(spark, tmp_path):
 def test_events_are_dealt_before_they_become_wide(spark, sf_dir):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert tables.raw_attributes(spark, sf_dir).rdd.getNumPartitions() == parts
+
+
+def test_payload_text_is_made_behind_the_only_exchange(spark, sf_dir):
+    plan = tables.payloads(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange " in line]
+    assert len(exchanges) == 1 and "batch_id" in exchanges[0] and "span_id" not in plan[plan.index("Exchange "):]
+
+
+def test_arriving_files_can_be_read_by_more_tasks_than_files(spark):
+    from pyarrow import parquet
+
+    text = "array_join(transform(sequence(1, 3000), x -> md5(concat(id, '-', x))), '') as payload"
+    streams._arriving(spark, spark.range(400).selectExpr("id as batch_id", text), "wide", files=1)
+    home = os.path.join(shared_dir(spark).removeprefix("file:"), "cinderlog")
+    (folder,) = [os.path.join(home, f) for f in os.listdir(home) if f.startswith("wide-")]
+    (file,) = [f for f in os.listdir(folder) if f.endswith(".parquet")]
+    assert parquet.ParquetFile(os.path.join(folder, file)).num_row_groups > 1
