@@ -38,7 +38,7 @@ from cinderlog.llm.common import id_and_text, settle, tokenizer_path
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Text of a block; some fifty bytes of arrays stand beside each of its bytes.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 # Bytes of a lane at least, if the text is longer.
 LANE = 2048
 MOST = 400_000

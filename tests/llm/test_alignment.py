@@ -100,3 +100,18 @@ def test_lanes_do_not_change_links(lane, libraries, sf_dir):
 
 def test_no_rows(spark):
     assert alignment.align_documents(no_docs(spark)).collect() == []
+
+
+def test_a_full_block_takes_bounded_memory(sf_dir):
+    import tracemalloc
+
+    both = alignment.shared(alignment.A_VOCABULARY, alignment.B_VOCABULARY)
+    texts = [t for _, t in sample_texts(sf_dir) if t]
+    texts *= 1 + alignment.BLOCK_BYTES // sum(len(t.encode()) for t in texts)
+    alignment.align(both, texts[:50])
+    tracemalloc.start()
+    try:
+        alignment.align(both, texts)
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
