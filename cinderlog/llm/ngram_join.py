@@ -29,6 +29,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,7 @@ PERCENT = 80
 U = np.uint64
 SETS = "doc_id long, key long, n_shingles long, h1 long, h2 long, odd boolean"
 SIGNATURES = "sig long, h1 long"
+GROUPS = "sig long, h1 long, hot boolean"
 SHINGLES = "h1 long, h2 long, n int, shingles binary"
 
 
@@ -161,22 +163,44 @@ def _rows(rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], names=["sig", "h1"])
 
 
-def _shared(source):
-    """Of rows sorted by (sig, h1): one per sig and set, where at least two sets have the sig."""
-    held, twin = np.zeros((2, 0), np.int64), False
-    for batch in source:
-        rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in (0, 1)])], axis=1)
-        keep = np.ones(rows.shape[1], bool)
-        keep[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
-        rows = rows[:, keep]
-        same = rows[0, 1:] == rows[0, :-1]
-        many = np.concatenate([[twin], same])
-        # The last row waits for its successor, and knows whether it has a twin before it.
-        held, twin = rows[:, -1:], bool(many[-1])
-        many[:-1] |= same
-        yield _rows(rows[:, :-1][:, many[:-1]])
-    if twin:
-        yield _rows(held)
+def _shared(small: int):
+    """Of rows sorted by (sig, h1): one per group and set, for each sig that at least two sets have.
+
+    Groups are numbered, which packs better than their signatures. ``hot``: more than ``small``
+    sets are in the group; no more rows than that wait for its end.
+    """
+
+    def run(source):
+        base, n, going, held = TaskContext.get().partitionId() << 40, 0, False, np.zeros((2, 0), np.int64)
+
+        def rows(found, number, hot):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(base + number), pa.array(found[1]), pa.array(hot)], names=["sig", "h1", "hot"])
+
+        for batch in source:
+            found = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in (0, 1)])], axis=1)
+            keep = np.ones(found.shape[1], bool)
+            keep[1:] = (found[:, 1:] != found[:, :-1]).any(axis=0)
+            found = found[:, keep]
+            if not found.shape[1]:
+                continue
+            group = np.concatenate([[0], np.cumsum(found[0, 1:] != found[0, :-1])])
+            sizes = np.bincount(group)
+            hot = sizes > small
+            # A group that was hot before goes on; its held row is out already.
+            hot[0] |= going
+            give = (hot | (sizes > 1))[group]
+            give[0] &= not going
+            ends = hot[-1]
+            if not ends:
+                give[group == group[-1]] = False
+            yield rows(found[:, give], n + group[give], hot[group[give]])
+            held = found[:, -1:] if ends else found[:, group == group[-1]]
+            going, n = bool(ends), n + int(group[-1])
+        if not going and held.shape[1] > 1:
+            yield rows(held, np.full(held.shape[1], n), np.zeros(held.shape[1], bool))
+
+    return run
 
 
 def _shingles(source):
@@ -294,20 +318,18 @@ class Join:
 
     def run(self) -> None:
         spread = self.texts.mapInArrow(_signatures, SIGNATURES).repartition("sig").sortWithinPartitions("sig", "h1")
-        shared = settle(spread.mapInArrow(_shared, SIGNATURES), "signatures")
+        shared = settle(spread.mapInArrow(_shared(self.small), GROUPS), "signatures")
         # Classes that share their first hash all take part.
-        members = shared.join(self.classes.select("h1", "c", "n", "odd"), "h1").drop("h1")
-        sizes = shared.groupBy("sig").agg(F.count("*").alias("members"))
-        grouped = settle(members.join(sizes, "sig"), "signature-groups")
+        grouped = settle(shared.join(self.classes.select("h1", "c", "n", "odd"), "h1").drop("h1"), "signature-groups")
         discard(shared)
-        hot = grouped.where(F.col("members") > self.small).drop("members")
+        hot = grouped.where("hot").drop("hot")
         self.verify(_stars(hot))
         labels = self.labels()
         label = F.coalesce("label", "c").alias("label")
         hot = hot.join(labels, "c", "left").select("sig", "c", label)
         unsettled = hot.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
         skipped = settle(hot.join(unsettled, "sig", "left_semi").groupBy("c").agg(F.count("*").alias("skipped")), "skipped")
-        few = grouped.where(F.col("members") <= self.small).join(labels, "c", "left").join(skipped, "c", "left")
+        few = grouped.where("not hot").join(labels, "c", "left").join(skipped, "c", "left")
         few = settle(few.select("sig", "c", "n", "odd", label, F.coalesce("skipped", F.lit(0)).alias("skipped")), "few")
         discard(grouped, labels)
         self.verify(self._met(few))

@@ -98,3 +98,22 @@ def test_signatures_meet(spark):
             (x, odd_a), (y, odd_b) = ngram_join.signatures(np.sort(a)), ngram_join.signatures(np.sort(b))
             least = ngram_join.reserve(ngram_join.difference(n, len(b)))
             assert (odd_a and odd_b) or len(np.intersect1d(x, y)) > (0 if odd_a or odd_b else least)
+
+
+@pytest.mark.parametrize("cut", [1, 3, 7, 1000])
+def test_shared_groups_are_whole_however_batches_are_cut(cut, monkeypatch):
+    from itertools import groupby
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2)))
+    draw = random.Random(cut)
+    rows = sorted((sig, draw.randrange(12)) for sig in range(-40, 40) for _ in range(draw.choice([1, 2, 3, 4, 5, 30])))
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a:a + cut]], pa.int64()) for i in (0, 1)], names=["sig", "h1"])
+               for a in range(0, len(rows), cut)]
+    out = [tuple(r.values()) for b in ngram_join._shared(4)(iter(batches)) for r in b.to_pylist()]
+    got = [(sorted(h for _, h, _ in g), {x for _, _, x in g}) for _, r in groupby(out, lambda r: r[0]) for g in [list(r)]]
+    want = [sorted(s) for _, g in groupby(rows, lambda r: r[0]) for s in [{h for _, h in g}] if len(s) > 1]
+    assert got == [(s, {len(s) > 4}) for s in want]
+    assert len({sig for sig, _, _ in out}) == len(want) and all(sig >> 40 == 2 for sig, _, _ in out)
