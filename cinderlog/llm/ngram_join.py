@@ -17,7 +17,9 @@ signature whose members all end in one component needs no more work. The others
 are skipped; a pair is still met elsewhere while the reserve covers what its sets
 skip. Sets that skip more, and sets with too few non-empty segments, are joined among
 themselves by their rarest shingles, so many that similar sets can't lack them all.
-Every candidate is verified by its exact sets.
+Most candidates share a passage and no more. Counts of shingles by the last bits of
+their hashes bound from below in how many a pair differs; only where that bound allows
+a link are the exact sets fetched, and they decide.
 
 No group is gathered in a task: signatures are sorted by Spark and read as a
 stream, and a set has one row per signature. Equal sets are one class throughout.
@@ -47,7 +49,8 @@ MOST_SENT = 1 << 19
 PERCENT = 80
 
 U = np.uint64
-SETS = "doc_id long, key long, n_shingles long, h1 long, h2 long, odd boolean"
+SHIFTS = np.array([0, 2, 4, 6], np.uint8)
+SETS = "doc_id long, key long, n_shingles long, h1 long, h2 long, odd boolean, sketch binary"
 SIGNATURES = "sig long, h1 long"
 GROUPS = "sig long, h1 long, hot boolean"
 SHINGLES = "h1 long, h2 long, n int, shingles binary"
@@ -136,12 +139,32 @@ def signatures(shingles: np.ndarray) -> tuple[np.ndarray, bool]:
     return np.concatenate(out), odd
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles have each value of their hashes' last bits, at most 3 of each: four counts to a byte.
+
+    There are one to two values for each shingle, a power of two, and four at least.
+    """
+    if not len(shingles):
+        return b""
+    size = max(4, 1 << (len(shingles) - 1).bit_length())
+    counts = np.minimum(np.bincount((shingles & U(size - 1)).astype(np.int64), minlength=size), 3).astype(np.uint8)
+    return (counts.reshape(-1, 4) << SHIFTS).sum(axis=1, dtype=np.uint8).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """The fewest shingles in which sets with these sketches differ; the larger is folded to what it is at the size of the other."""
+    x, y = sorted((((np.frombuffer(v, np.uint8)[:, None] >> SHIFTS) & 3).astype(np.int64).ravel() for v in (a, b)), key=len)
+    while len(y) > len(x):
+        y = np.minimum(y[: len(y) // 2] + y[len(y) // 2 :], 3)
+    return int(np.abs(x - y).sum())
+
+
 def _sets(source):
     for table in hashing.batches(source, "text"):
-        rows = [(len(s), *set_hash(s), bool(len(s)) and signatures(s)[1]) for s in shingle_sets(table)]
+        rows = [(len(s), *set_hash(s), bool(len(s)) and signatures(s)[1], sketch(s)) for s in shingle_sets(table)]
         columns = [pa.array(c) for c in zip(*rows, strict=True)]
         out = [table.column("doc_id"), table.column("key"), *columns]
-        out = pa.table(out, names=["doc_id", "key", "n_shingles", "h1", "h2", "odd"])
+        out = pa.table(out, names=["doc_id", "key", "n_shingles", "h1", "h2", "odd", "sketch"])
         if "whole" in table.column_names:
             out = out.append_column("whole", table.column("whole"))
         yield from out.combine_chunks().to_batches()
@@ -220,15 +243,31 @@ def _explode(source):
                 [pa.array(x) for x in (*columns, np.concatenate(sets))], names=["c", "n", "shingle"])
 
 
-def _similar(source):
-    for batch in source:
-        keep = []
-        for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        pairs = [batch.column("a"), batch.column("b")]
-        yield pa.RecordBatch.from_arrays(pairs, names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _may_link(n: int, m: int, a: bytes, b: bytes) -> bool:
+    """Whether sets of n and m shingles can link, by their sketches."""
+    most = difference(n, m)
+    return abs(n - m) <= most and least_difference(a, b) <= most
+
+
+def _similar(n: int, m: int, a: bytes, b: bytes) -> bool:
+    """Whether sets of n and m shingles, as bytes of these in order, link."""
+    both = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+    return 100 * both >= PERCENT * (n + m - both)
+
+
+def _compared(pairs: DataFrame, of: DataFrame, column: str, holds) -> DataFrame:
+    """Those of ``pairs`` (a, b: class numbers) of which ``holds(n, n_b, value, value_b)``, by ``column`` of ``of`` (c, n, column)."""
+
+    def run(source):
+        for batch in source:
+            values = (batch.column(c).to_pylist() for c in ("n", "n_b", "value", "value_b"))
+            keep = pa.array([holds(*v) for v in zip(*values, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
+
+    left = of.select(F.col("c").alias("a"), F.col("n").alias("n"), F.col(column).alias("value"))
+    right = of.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col(column).alias("value_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "n_b", "value", "value_b")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _near(a: str = "n", b: str = "n_b") -> Column:
@@ -278,7 +317,8 @@ class Join:
         self.texts = texts.drop("whole")
         # A class is a set of shingles; its number is fixed once written.
         classes = self.sets.where("n_shingles > 0").groupBy("h1", "h2").agg(
-            F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("odd").alias("odd"))
+            F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("odd").alias("odd"),
+            F.first("sketch").alias("sketch"))
         self.classes = settle(classes.withColumn("c", F.monotonically_increasing_id()), "set-classes")
         self.links: list[DataFrame] = []
 
@@ -304,17 +344,14 @@ class Join:
 
     def verify(self, pairs: DataFrame) -> None:
         """Add those of ``pairs`` (a, b: class numbers) that are similar to the links."""
-        sizes = self.classes.select(F.col("c").alias("a"), F.col("n").alias("n"))
         ordered = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fits = ordered.join(sizes, "a").join(sizes.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b").where(_near())
-        fits = settle(fits.select("a", "b"), "candidates")
-        wanted = settle(fits.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "candidate-classes")
+        fits = settle(ordered, "candidates")
+        may = settle(_compared(fits, self.classes, "sketch", _may_link), "likely")
+        discard(fits)
+        wanted = settle(may.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "likely-classes")
         sets = self.sets_of(wanted, lambda found: found)
-        left = sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa"))
-        right = sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb"))
-        checked = fits.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-        self.links.append(settle(checked.mapInArrow(_similar, "a long, b long"), "links"))
-        discard(fits, wanted, sets)
+        self.links.append(settle(_compared(may, sets, "shingles", _similar), "links"))
+        discard(may, wanted, sets)
 
     def run(self) -> None:
         spread = self.texts.mapInArrow(_signatures, SIGNATURES).repartition("sig").sortWithinPartitions("sig", "h1")

@@ -117,3 +117,48 @@ def test_shared_groups_are_whole_however_batches_are_cut(cut, monkeypatch):
     want = [sorted(s) for _, g in groupby(rows, lambda r: r[0]) for s in [{h for _, h in g}] if len(s) > 1]
     assert got == [(s, {len(s) > 4}) for s in want]
     assert len({sig for sig, _, _ in out}) == len(want) and all(sig >> 40 == 2 for sig, _, _ in out)
+
+
+def test_sketches_never_part_similar_sets():
+    """The bound of two sketches is at most the true difference, and parts unlike sets."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 40), 64, 65, 127, 129, 500, 1025]:
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for cut in {0, n // 9, n // 2, n}:
+            for added in {0, n // 9, n // 5, n}:
+                b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, added, dtype=np.uint64)]))
+                true = len(np.setxor1d(a, b))
+                if len(b):
+                    least = ngram_join.least_difference(ngram_join.sketch(a), ngram_join.sketch(b))
+                    assert least == ngram_join.least_difference(ngram_join.sketch(b), ngram_join.sketch(a)) <= true
+        other = ngram_join.sketch(rng.integers(0, 2**63, n, dtype=np.uint64))
+        assert n < 30 or ngram_join.least_difference(ngram_join.sketch(a), other) > ngram_join.difference(n, n)
+    # Counts are capped at 3, so these look equal.
+    equal = np.arange(8, dtype=np.uint64) << np.uint64(32)
+    assert ngram_join.least_difference(ngram_join.sketch(equal), ngram_join.sketch(equal[:6])) == 0
+
+
+def test_sets_of_unlike_candidates_stay_where_they_are(spark, monkeypatch):
+    """Texts with a passage in common are candidates; the sets of pairs that can't link are not fetched."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    passage = rng.choices(words, k=60)
+    rows = [(i, " ".join(rng.choices(words, k=60) + passage + rng.choices(words, k=20))) for i in range(60)]
+    rows += [(60 + i, text + " end") for i, text in rows[:4]]
+    counts = {"candidates": 0, "sets": 0}
+    real = ngram_join.settle
+
+    def settle(df, label):
+        out = real(df, label)
+        if label == "candidates":
+            counts["candidates"] += out.count()
+        elif "shingles" in out.columns:
+            counts["sets"] += out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "settle", settle)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(ngram_join.link_documents(docs)) == all_pairs(rows)
+    assert counts["candidates"] > 50 and 8 <= counts["sets"] <= 12
